@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import common, exact_dedup, mixing, quality, secret_scan
+import public_tokenizers
+
+from rasterloom.llm import bpe, common, exact_dedup, langid, mixing, quality, secret_scan, toxicity
 
 #: Word characters are all but these; A-Z alone are lower-cased.
 SQL_WORD = r"[^\x20\x09-\x0D]+"
@@ -99,5 +101,25 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op5_exact_dedup": op5_exact_dedup, "op6_quality": op6_quality, "op9_mixing": op9_mixing, "op10_secrets": op10_secrets}
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.encode_table(common.documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    learn = docs.where(common.fold_of("doc_id", 5) != 0)
+    model = toxicity.fit(learn, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = toxicity.score_table(docs, model)
+    return found.select("doc_id", (common.fold_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    model = langid.fit(docs.where(common.fold_of("doc_id", 4) != 2))
+    found = docs.select("doc_id", langid.language_of(model, F.col("text")).alias("p"))
+    return found.select("doc_id", (common.fold_of("doc_id", 4) == 2).alias("held_out"), "p.lang_pred", "p.score", "p.rejected")
+
+
+QUERIES = {"op2_bpe": op2_bpe, "op5_exact_dedup": op5_exact_dedup, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_language": op8_language, "op9_mixing": op9_mixing, "op10_secrets": op10_secrets}
 ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op6_quality": OP6_SQL, "op9_mixing": OP9_SQL}
