@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from rasterloom.llm import bpe, common, exact_dedup, jaccard, langid, mixing, quality, secret_scan, toxicity
+from rasterloom.llm import bpe, common, exact_dedup, jaccard, langid, mixing, quality, secret_scan, suffix_dedup, toxicity
 
 #: Word characters are all but these; A-Z alone are lower-cased.
 SQL_WORD = r"[^\x20\x09-\x0D]+"
 SQL_UPPER, SQL_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(common.documents(spark, sf_dir))
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(common.documents(spark, sf_dir), width=3, num=90, den=100)
 
@@ -125,5 +129,5 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (common.fold_of("doc_id", 4) == 2).alias("held_out"), "p.lang_pred", "p.score", "p.rejected")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op4_jaccard": op4_jaccard, "op5_exact_dedup": op5_exact_dedup, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_language": op8_language, "op9_mixing": op9_mixing, "op10_secrets": op10_secrets}
+QUERIES = {"op2_bpe": op2_bpe, "op3_suffix": op3_suffix, "op4_jaccard": op4_jaccard, "op5_exact_dedup": op5_exact_dedup, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_language": op8_language, "op9_mixing": op9_mixing, "op10_secrets": op10_secrets}
 ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op6_quality": OP6_SQL, "op9_mixing": OP9_SQL}
