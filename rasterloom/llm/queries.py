@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from rasterloom.llm import bpe, common, exact_dedup, jaccard, langid, mixing, quality, secret_scan, suffix_dedup, toxicity
+from rasterloom.llm import bpe, common, exact_dedup, gru_lm, jaccard, langid, mixing, quality, secret_scan, suffix_dedup, toxicity
 
 #: Word characters are all but these; A-Z alone are lower-cased.
 SQL_WORD = r"[^\x20\x09-\x0D]+"
@@ -109,6 +109,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score_table(common.documents(spark, sf_dir), common.fold_of("doc_id", 5) == 1)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.encode_table(common.documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
@@ -129,5 +133,5 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (common.fold_of("doc_id", 4) == 2).alias("held_out"), "p.lang_pred", "p.score", "p.rejected")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_suffix": op3_suffix, "op4_jaccard": op4_jaccard, "op5_exact_dedup": op5_exact_dedup, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_language": op8_language, "op9_mixing": op9_mixing, "op10_secrets": op10_secrets}
+QUERIES = {"op1_lm_score": op1_lm_score, "op2_bpe": op2_bpe, "op3_suffix": op3_suffix, "op4_jaccard": op4_jaccard, "op5_exact_dedup": op5_exact_dedup, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_language": op8_language, "op9_mixing": op9_mixing, "op10_secrets": op10_secrets}
 ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op6_quality": OP6_SQL, "op9_mixing": OP9_SQL}
