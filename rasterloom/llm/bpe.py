@@ -16,6 +16,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -167,18 +168,20 @@ def encode_table(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = shared_model(ranks.value, pattern)
         token_bytes = {str(t).encode(): d for t, d in bpe.bytes_of.items()}.__getitem__
-        for batch in batches:
-            n, encoded, decoded, ids = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                joined, count = bpe.encode_to_text(text or "")
-                line = joined.encode()
-                n.append(count)
-                encoded.append(hashlib.sha256(line).hexdigest())
-                decoded.append(hashlib.sha256(b"".join(map(token_bytes, line.split()))).hexdigest())
-                if with_ids:
-                    ids.append([int(x) for x in line.split()])
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names)
+        for whole in batches:
+            for at in range(0, len(whole), 256):  # lists of ids are large
+                batch = whole.slice(at, 256)
+                n, encoded, decoded, ids = [], [], [], []
+                for text in batch.column(1).to_pylist():
+                    joined, count = bpe.encode_to_text(text or "")
+                    line = joined.encode()
+                    n.append(count)
+                    encoded.append(hashlib.sha256(line).hexdigest())
+                    decoded.append(hashlib.sha256(b"".join(map(token_bytes, line.split()))).hexdigest())
+                    if with_ids:
+                        ids.append(np.fromstring(line, np.int32, sep=" "))
+                columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names)
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return chosen.mapInArrow(run, schema)
