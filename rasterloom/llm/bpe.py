@@ -22,8 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Encoded pieces that a Python worker remembers.
-PIECES = 200_000
+#: Encoded pieces that a Python worker remembers, in each of two generations.
+PIECES = 500_000
 _NO_TOKEN = -1
 
 
@@ -43,9 +43,9 @@ class PrefixEncoder:
         """Add bytes at the end; only their own prefixes are computed."""
         data = self.data = self.data + more
         ranks, last, fits = self.bpe.ranks, self.last, self.bpe.fits
-        longest = self.bpe.longest
+        reach = self.bpe.reach
         for end in range(len(last), len(data) + 1):
-            for start in range(max(0, end - longest), end):
+            for start in range(max(0, end - reach.get(data[max(0, end - 2) : end], 1)), end):
                 token = ranks.get(data[start:end])
                 if token is not None and (start == 0 or fits(last[start], token)):
                     last.append(token)
@@ -72,10 +72,10 @@ class Bpe:
         lines = (line.split() for line in rank_file.splitlines() if line)
         self.ranks = {base64.b64decode(a): int(b) for a, b in lines}
         self.bytes_of = {b: a for a, b in self.ranks.items()}
-        self.longest = max(map(len, self.ranks))
         self.pattern = regex.compile(pattern)
         self._fits: dict[int, bool] = {}
-        self._pieces: dict[str, tuple[str, int]] = {}
+        self._young: dict[str, str] = {}
+        self._old: dict[str, str] = {}
         # A token is of use only if merging its own bytes gives it back.
         self.halves: dict[int, tuple[int, int]] = {}
         for data, token in self.ranks.items():
@@ -83,6 +83,10 @@ class Bpe:
             if len(parts) == 2:
                 self.halves[token] = parts[0], parts[1]
         self.ranks = {d: t for d, t in self.ranks.items() if len(d) == 1 or t in self.halves}
+        # The longest token that ends in the same two bytes.
+        self.reach: dict[bytes, int] = {}
+        for data in self.ranks:
+            self.reach[data[-2:]] = max(len(data), self.reach.get(data[-2:], 1))
 
     def _merged(self, data: bytes, below: int) -> list[int]:
         """Merge bytes, lowest rank first and leftmost on ties, with ranks under `below` only."""
@@ -130,22 +134,27 @@ class Bpe:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def encode_to_text(self, text: str) -> tuple[str, int]:
-        """(ids in decimal, joined by one space; how many), with pieces seen before taken from memory."""
-        known = self._pieces
+    def _remembered(self, piece: str) -> str:
+        """The ids of a piece in decimal; pieces in use pass from the old generation to the young one."""
+        found = self._old.get(piece)
+        if found is None:
+            found = " ".join(map(str, self.encode_bytes(piece.encode())))
+        if len(self._young) >= PIECES:
+            self._old, self._young = self._young, {}
+        self._young[piece] = found
+        return found
+
+    def encode_to_text(self, text: str) -> str:
+        """The ids of a text in decimal, joined by one space; pieces seen before are taken from memory."""
         pieces = self.pattern.findall(text)
-        found = []
-        total = 0
-        for piece in pieces:
-            hit = known.get(piece)
-            if hit is None:
-                if len(known) >= PIECES:
-                    known.clear()
-                ids = self.encode_bytes(piece.encode())
-                hit = known[piece] = " ".join(map(str, ids)), len(ids)
-            found.append(hit[0])
-            total += hit[1]
-        return " ".join(found), total
+        found = list(map(self._young.get, pieces))
+        at = -1
+        try:
+            while True:
+                at = found.index(None, at + 1)
+                found[at] = self._remembered(pieces[at])
+        except ValueError:  # none is missing any more
+            return " ".join(found)
 
 
 _models: dict[str, Bpe] = {}
@@ -173,11 +182,11 @@ def encode_table(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str =
                 batch = whole.slice(at, 256)
                 n, encoded, decoded, ids = [], [], [], []
                 for text in batch.column(1).to_pylist():
-                    joined, count = bpe.encode_to_text(text or "")
-                    line = joined.encode()
-                    n.append(count)
+                    line = bpe.encode_to_text(text or "").encode()
+                    parts = line.split()
+                    n.append(len(parts))
                     encoded.append(hashlib.sha256(line).hexdigest())
-                    decoded.append(hashlib.sha256(b"".join(map(token_bytes, line.split()))).hexdigest())
+                    decoded.append(hashlib.sha256(b"".join(map(token_bytes, parts))).hexdigest())
                     if with_ids:
                         ids.append(np.fromstring(line, np.int32, sep=" "))
                 columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())]
