@@ -41,14 +41,18 @@ MAX_HUB_ROUNDS = 6
 
 
 class WordHashes(dict):
+    """word -> 64-bit hash. Frequent words come early, so once full it remembers no more."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(self) < 500_000:
+            self[word] = value
         return value
 
 
 _words = WordHashes()
+#: Odd multipliers that tell the places of a shingle's words apart: the golden ratio's bits times odd numbers.
+_ODD = [0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1 for k in range(16)]
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -67,10 +71,10 @@ def shingle_set(lowered: bytes, width: int) -> np.ndarray:
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     span = min(width, len(words))
     n = len(words) - span + 1
-    total = np.full(n, span, np.uint64)
-    for k in range(span):
-        total = mix(total + h[k : k + n])
-    return np.unique(total)
+    total = h[:n] * np.uint64(_ODD[0])
+    for k in range(1, span):
+        total += h[k : k + n] * np.uint64(_ODD[k % len(_ODD)] + 2 * (k // len(_ODD)))
+    return np.unique(mix(total, span))
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -162,9 +166,9 @@ def prefix_table(docs: DataFrame, classes, width: int, num: int, den: int) -> Da
     return docs.mapInArrow(run, "token long, doc_id long, n long")
 
 
-def feature_table(docs: DataFrame, classes, width: int, num: int, den: int) -> DataFrame:
-    """(doc_id, hashes, more): the set, and its prefixes under the other orders."""
-    schema = "doc_id long, hashes binary, " + ", ".join(f"order{k} array<long>" for k in range(1, ORDERS))
+def order_table(docs: DataFrame, classes, width: int, num: int, den: int) -> DataFrame:
+    """(doc_id, order1, ...): the prefixes of each set under the other orders."""
+    schema = "doc_id long, " + ", ".join(f"order{k} array<long>" for k in range(1, ORDERS))
     kinds, names = common.arrow_types(schema), [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,29 +177,49 @@ def feature_table(docs: DataFrame, classes, width: int, num: int, den: int) -> D
             for doc_id, body in zip(batch.column(0).to_pylist(), common.lowered(batch.column(1)), strict=True):
                 hashes = shingle_set(body, width)
                 columns[0].append(doc_id)
-                columns[1].append(hashes.tobytes())
                 for k in range(1, ORDERS):
-                    columns[1 + k].append(prefix(hashes, classes.value, k, num, den).view(np.int64))
+                    columns[k].append(prefix(hashes, classes.value, k, num, den).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     return docs.mapInArrow(run, schema)
 
 
+def set_table(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, hashes): the sets themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(body, width).tobytes() for body in common.lowered(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "hashes"])
+
+    return docs.mapInArrow(run, "doc_id long, hashes binary")
+
+
 def similar_sizes(n: Column, m: Column, num: int, den: int) -> Column:
     return F.least(n, m) * den >= F.greatest(n, m) * num
 
 
-def verified(pairs: DataFrame, features: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link: they share prefix shingles under every order, and their sets are alike enough."""
+def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text) that stand in some pair."""
+    ids = common.stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    return docs.join(common.checked(ids), "doc_id", "left_semi")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link: they share prefix shingles under every order, and their sets are alike enough.
+
+    Sets are only formed for texts in pairs that pass the orders, so little but true links is ever moved.
+    """
     orders = [f"order{k}" for k in range(1, ORDERS)]
+    prefixes = common.stage(order_table(texts_of(docs, pairs), classes, width, num, den), "orders")
     for side in ("a", "b"):
-        own = features.select(F.col("doc_id").alias(side), *[F.col(o).alias(f"{o}_{side}") for o in orders])
-        pairs = pairs.join(own, side)
+        pairs = pairs.join(prefixes.select(F.col("doc_id").alias(side), *[F.col(o).alias(f"{o}_{side}") for o in orders]), side)
     for o in orders:
         pairs = pairs.where(F.arrays_overlap(f"{o}_a", f"{o}_b"))
-    pairs = pairs.select("a", "b")
+    pairs = common.stage(pairs.select("a", "b"), "passed")
+    sets = common.stage(set_table(texts_of(docs, pairs), width), "sets")
     for side in ("a", "b"):
-        pairs = pairs.join(features.select(F.col("doc_id").alias(side), F.col("hashes").alias(f"set_{side}")), side)
+        pairs = pairs.join(sets.select(F.col("doc_id").alias(side), F.col("hashes").alias(f"set_{side}")), side)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,9 +251,7 @@ def similar_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     prefixes = common.stage(prefix_table(reps, classes, width, num, den), "prefixes")
     hubs = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("doc_id", "n")).alias("hub")).where("texts > 1")
     shared = common.stage(prefixes.join(hubs, "token"), "shared")
-    in_buckets = common.stage(shared.select("doc_id").distinct(), "in-buckets")
-    n_texts = in_buckets.count()
-    features = common.stage(feature_table(reps.join(common.checked(in_buckets, n_texts), "doc_id", "left_semi"), classes, width, num, den), "features")
+    n_texts = shared.select("doc_id").distinct().count()
 
     def pair(x: Column, y: Column) -> list[Column]:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
@@ -237,7 +259,7 @@ def similar_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     alike = similar_sizes(F.col("n"), F.col("hub.n"), num, den)
     pairs = common.stage(shared.where(alike & (F.col("doc_id") != F.col("hub.doc_id"))).select(*pair(F.col("doc_id"), F.col("hub.doc_id"))).distinct(), "pairs")
     tried = pairs
-    edges = common.stage(verified(pairs, features, num, den), "links")
+    edges = common.stage(verified(pairs, reps, classes, width, num, den), "links")
     found = graph.components(edges)
     for turn in range(1, MAX_HUB_ROUNDS + 1):
         placed = shared.select("token", "doc_id", "n", "texts").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -259,7 +281,7 @@ def similar_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
         else:
             new = apart.where(similar_sizes(F.col("n"), F.col("hub.n"), num, den)).select(*pair(F.col("doc_id"), F.col("hub.doc_id")))
         new = common.stage(new.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = common.stage(verified(new, features, num, den), "links")
+        more = common.stage(verified(new, reps, classes, width, num, den), "links")
         if not more.isEmpty():
             edges = edges.unionByName(more)
             found = graph.components(edges)
