@@ -42,26 +42,48 @@ def fill_border(buffer: np.ndarray, gx: int, gy: int, halo: int, info: RasterInf
 
 
 def box_means(a: np.ndarray, radius: int, axis: int) -> np.ndarray:
-    """Rounded means of 2 radius + 1 samples along an axis, edges repeated."""
+    """Rounded means of 2 radius + 1 samples along an axis, edges repeated. Running sums, so the radius costs nothing."""
     count = 2 * radius + 1
     pad = [(0, 0)] * a.ndim
     pad[axis] = (radius + 1, radius)
-    total = np.cumsum(np.pad(a, pad, mode="edge"), axis=axis, dtype=np.int64)
+    total = np.cumsum(np.pad(a, pad, mode="edge"), axis=axis, dtype=np.int32)
     n = a.shape[axis]
-    ahead, behind = np.take(total, range(count, count + n), axis), np.take(total, range(n), axis)
-    return ((ahead - behind + count // 2) // count).astype(np.uint8)
+    ahead, behind = (total[count : count + n], total[:n]) if axis == 0 else (total[:, count : count + n], total[:, :n])
+    sums = ahead - behind
+    sums += count // 2
+    sums //= count
+    return sums.astype(np.uint8)
 
 
-def bilinear(data: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
-    """Samples of data at (by, bx), held inside it, truncated to whole values."""
-    h, w = data.shape[:2]
-    hx, hy = np.clip(bx, 0.0, w - 1.0), np.clip(by, 0.0, h - 1.0)
-    left, top = np.floor(hx).astype(np.int64), np.floor(hy).astype(np.int64)
-    right, bottom = np.minimum(left + 1, w - 1), np.minimum(top + 1, h - 1)
-    fx, fy = (hx - left)[..., None], (hy - top)[..., None]
-    p = [data[r, c].astype(np.float64) for r, c in ((top, left), (top, right), (bottom, left), (bottom, right))]
-    value = (1.0 - fy) * ((1.0 - fx) * p[0] + fx * p[1]) + fy * ((1.0 - fx) * p[2] + fx * p[3])
-    return np.clip(value, 0.0, 255.0).astype(np.uint8)
+def neighbours(v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The two samples around each coordinate, held inside 0..n-1, and the weight of the second."""
+    held = np.clip(v, 0.0, n - 1.0)
+    low = np.floor(held).astype(np.int64)
+    return low, np.minimum(low + 1, n - 1), held - low
+
+
+def truncated(value: np.ndarray) -> np.ndarray:
+    return np.clip(value, 0.0, 255.0, out=value).astype(np.uint8)
+
+
+def bilinear_grid(data: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Samples at every pair of a row's coordinate by and a column's coordinate bx: blended along x, then along y."""
+    left, right, fx = neighbours(bx, data.shape[1])
+    top, bottom, fy = neighbours(by, data.shape[0])
+    used, back = np.unique(np.r_[top, bottom], return_inverse=True)
+    rows, fx, fy = data[used], fx[None, :, None], fy[:, None, None]
+    across = (1.0 - fx) * rows[:, left] + fx * rows[:, right]
+    return truncated((1.0 - fy) * across[back[: len(top)]] + fy * across[back[len(top) :]])
+
+
+def bilinear_points(data: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Samples at single points, one row of channels for each."""
+    h, w, channels = data.shape
+    left, right, fx = neighbours(bx, w)
+    top, bottom, fy = neighbours(by, h)
+    flat, fx, fy = data.reshape(-1, channels), fx[:, None], fy[:, None]
+    p = [flat.take(r * w + c, axis=0) for r, c in ((top, left), (top, right), (bottom, left), (bottom, right))]
+    return truncated((1.0 - fy) * ((1.0 - fx) * p[0] + fx * p[1]) + fy * ((1.0 - fx) * p[2] + fx * p[3]))
 
 
 def apply_step(step: Step, tile: TileArray, info: RasterInfo) -> TileArray:
@@ -88,17 +110,18 @@ def apply_step(step: Step, tile: TileArray, info: RasterInfo) -> TileArray:
             return TileArray(nx, ny, 0, 0, 0, tile.data[:0, :0])
         sx = ((nx + np.arange(nw)).astype(np.float64) + 0.5) * (1.0 / float(np.float32(step.sx))) - 0.5
         sy = ((ny + np.arange(nh)).astype(np.float64) + 0.5) * (1.0 / float(np.float32(step.sy))) - 0.5
-        bx, by = np.meshgrid(sx - (float(tile.gx) - tile.halo), sy - (float(tile.gy) - tile.halo))
-        return TileArray(nx, ny, nw, nh, 0, bilinear(tile.data, bx, by))
+        return TileArray(nx, ny, nw, nh, 0, bilinear_grid(tile.data, sx - (float(tile.gx) - tile.halo), sy - (float(tile.gy) - tile.halo)))
     if isinstance(step, Rotate):
         cos, sin = step.turn
         mid_x, mid_y = (info.width - 1.0) * 0.5, (info.height - 1.0) * 0.5
-        dx, dy = np.meshgrid(tile.gx + np.arange(tile.cw, dtype=np.float64) - mid_x, tile.gy + np.arange(tile.ch, dtype=np.float64) - mid_y)
+        dx = (tile.gx + np.arange(tile.cw, dtype=np.float64) - mid_x)[None, :]
+        dy = (tile.gy + np.arange(tile.ch, dtype=np.float64) - mid_y)[:, None]
         bx = mid_x + (cos * dx + sin * dy) - (float(tile.gx) - tile.halo)
         by = mid_y + (-sin * dx + cos * dy) - (float(tile.gy) - tile.halo)
         h, w = tile.data.shape[:2]
-        out = bilinear(tile.data, bx, by)
-        out[(bx < 0) | (bx >= w - 1) | (by < 0) | (by >= h - 1)] = 0
+        seen = (bx >= 0) & (bx < w - 1) & (by >= 0) & (by < h - 1)  # all else stays black
+        out = np.zeros((tile.ch, tile.cw, tile.data.shape[2]), np.uint8)
+        out[seen] = bilinear_points(tile.data, bx[seen], by[seen])
         return TileArray(tile.gx, tile.gy, tile.cw, tile.ch, 0, out)
     return TileArray(tile.gx, tile.gy, tile.cw, tile.ch, 0, tile.core())
 
