@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 #: A set of ids is broadcast up to so many rows (a hash relation of about 40 MB); beyond, it is joined by shuffle.
 BROADCAST_ROWS = 500_000
-#: Rows of an Arrow batch hold whole texts, so a batch is kept small.
+#: Rows of an Arrow batch, which may hold whole texts.
+BATCH_ROWS = 1000
 ASCII_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 _own_dir: dict[str, str] = {}
@@ -58,6 +59,18 @@ def checked(small: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(small) if n <= BROADCAST_ROWS else small
 
 
+def in_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """mapInArrow with small batches: texts are long, and a batch is held by the JVM and by Python at once."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str, list]]], schema: str) -> DataFrame:
     """mapInArrow over record batches; fn yields dictionaries of columns for each batch."""
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
@@ -68,7 +81,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str, l
             for out in fn(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, kinds, strict=True)], names)
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def arrow_types(schema: str) -> list[pa.DataType]:

@@ -35,9 +35,9 @@ from rasterloom.llm import common, graph
 
 SKETCH_BITS, BLOCK_BITS = 21, 16
 ORDERS = 3
-#: Pairs beyond this multiple of the texts in buckets call for another round of hubs first.
-PAIRS_PER_TEXT = 20
-MAX_HUB_ROUNDS = 6
+#: Pairs to be weighed (not made) beyond this multiple of the texts in buckets call for another round of hubs first.
+PAIRS_PER_TEXT = 200
+MAX_HUB_ROUNDS = 4
 
 
 class WordHashes(dict):
@@ -81,11 +81,17 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def prefix(hashes: np.ndarray, classes: np.ndarray, order: int, num: int, den: int) -> np.ndarray:
-    """The first shingles of a set in a given order: by frequency class, then by the order's own hash."""
-    length = prefix_length(len(hashes), num, den)
-    key = classes[hashes >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(56) | mix(hashes, order) >> np.uint64(8)
-    return hashes if length >= len(hashes) else hashes[np.argpartition(key, length - 1)[:length]]
+def order_keys(hashes: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
+    """Keys whose order is the given one: frequency class first, then the order's own hash."""
+    return classes[hashes >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(56) | mix(hashes, order) >> np.uint64(8)
+
+
+def prefix(hashes: np.ndarray, classes: np.ndarray, order: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a set in a given order, in that order, and their keys."""
+    length, keys = prefix_length(len(hashes), num, den), order_keys(hashes, classes, order)
+    chosen = np.argpartition(keys, length - 1)[:length] if 0 < length < len(keys) else np.arange(len(keys))
+    chosen = chosen[np.lexsort((hashes[chosen], keys[chosen]))]
+    return hashes[chosen], keys[chosen]
 
 
 def _chosen(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -127,7 +133,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
                 none = [pa.nulls(1).cast(k) for k in kinds[:3]]
                 yield pa.RecordBatch.from_arrays([*none, pa.array([block], kinds[3]), pa.array([part], kinds[4]), pa.array([zlib.compress(counts.tobytes(), 1)], kinds[5])], names)
 
-    return docs.mapInArrow(run, schema)
+    return common.in_arrow(docs, run, schema)
 
 
 def frequency_classes(blocks: DataFrame) -> np.ndarray:
@@ -148,27 +154,27 @@ def frequency_classes(blocks: DataFrame) -> np.ndarray:
 
 
 def prefix_table(docs: DataFrame, classes, width: int, num: int, den: int) -> DataFrame:
-    """(token, doc_id, n): the prefix of each set under the first order."""
+    """(token, key, doc_id, n, place): the prefix of each set under the first order, with each shingle's place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tokens, sizes = [], [], []
+            columns: list[list[np.ndarray]] = [[] for _ in range(5)]
             for doc_id, body in zip(batch.column(0).to_pylist(), common.lowered(batch.column(1)), strict=True):
                 hashes = shingle_set(body, width)
                 if len(hashes):
-                    found = prefix(hashes, classes.value, 0, num, den)
-                    ids.append(np.full(len(found), doc_id, np.int64))
-                    sizes.append(np.full(len(found), len(hashes), np.int64))
-                    tokens.append(found.view(np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, ids, sizes)], ["token", "doc_id", "n"])
+                    found, keys = prefix(hashes, classes.value, 0, num, den)
+                    same = lambda x: np.full(len(found), x, np.int32)  # noqa: B023, E731
+                    for out, x in zip(columns, (found.view(np.int64), keys.view(np.int64), same(0).astype(np.int64) + doc_id, same(len(hashes)), np.arange(len(found), dtype=np.int32)), strict=True):
+                        out.append(x)
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], ["token", "key", "doc_id", "n", "place"])
 
-    return docs.mapInArrow(run, "token long, doc_id long, n long")
+    return common.in_arrow(docs, run, "token long, key long, doc_id long, n int, place int")
 
 
 def order_table(docs: DataFrame, classes, width: int, num: int, den: int) -> DataFrame:
-    """(doc_id, order1, ...): the prefixes of each set under the other orders."""
-    schema = "doc_id long, " + ", ".join(f"order{k} array<long>" for k in range(1, ORDERS))
+    """(doc_id, n, order1, ...): the prefixes of each set under the other orders."""
+    schema = "doc_id long, n int, " + ", ".join(f"order{k} array<long>" for k in range(1, ORDERS))
     kinds, names = common.arrow_types(schema), [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,11 +183,12 @@ def order_table(docs: DataFrame, classes, width: int, num: int, den: int) -> Dat
             for doc_id, body in zip(batch.column(0).to_pylist(), common.lowered(batch.column(1)), strict=True):
                 hashes = shingle_set(body, width)
                 columns[0].append(doc_id)
+                columns[1].append(len(hashes))
                 for k in range(1, ORDERS):
-                    columns[k].append(prefix(hashes, classes.value, k, num, den).view(np.int64))
+                    columns[1 + k].append(prefix(hashes, classes.value, k, num, den)[0].view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    return docs.mapInArrow(run, schema)
+    return common.in_arrow(docs, run, schema)
 
 
 def set_table(docs: DataFrame, width: int) -> DataFrame:
@@ -192,11 +199,16 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
             sets = [shingle_set(body, width).tobytes() for body in common.lowered(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "hashes"])
 
-    return docs.mapInArrow(run, "doc_id long, hashes binary")
+    return common.in_arrow(docs, run, "doc_id long, hashes binary")
 
 
-def similar_sizes(n: Column, m: Column, num: int, den: int) -> Column:
-    return F.least(n, m) * den >= F.greatest(n, m) * num
+def may_link(n: Column, place: Column, m: Column, other: Column, num: int, den: int) -> Column:
+    """Can sets of n and m link whose first common shingle in an order is at these places (from 0) of each?
+
+    What comes before is in one set only, so at most the rest of either is common. A pair is tested at each of its
+    common shingles in a prefix; one that links passes at the first.
+    """
+    return F.least(n - place, m - other).cast("long") * (num + den) >= (n + m).cast("long") * num
 
 
 def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -206,16 +218,18 @@ def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link: they share prefix shingles under every order, and their sets are alike enough.
+    """The pairs (a, b) that link: under every order their first common shingle comes early enough, and their sets are alike.
 
     Sets are only formed for texts in pairs that pass the orders, so little but true links is ever moved.
     """
     orders = [f"order{k}" for k in range(1, ORDERS)]
     prefixes = common.stage(order_table(texts_of(docs, pairs), classes, width, num, den), "orders")
     for side in ("a", "b"):
-        pairs = pairs.join(prefixes.select(F.col("doc_id").alias(side), *[F.col(o).alias(f"{o}_{side}") for o in orders]), side)
+        pairs = pairs.join(prefixes.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), *[F.col(o).alias(f"{o}_{side}") for o in orders]), side)
     for o in orders:
-        pairs = pairs.where(F.arrays_overlap(f"{o}_a", f"{o}_b"))
+        pairs = pairs.withColumn("first", F.get(F.array_intersect(f"{o}_a", f"{o}_b"), F.lit(0))).where("first is not null")
+        at = [(F.array_position(f"{o}_{side}", F.col("first")) - 1).cast("int") for side in ("a", "b")]
+        pairs = pairs.where(may_link(F.col("n_a"), at[0], F.col("n_b"), at[1], num, den))
     pairs = common.stage(pairs.select("a", "b"), "passed")
     sets = common.stage(set_table(texts_of(docs, pairs), width), "sets")
     for side in ("a", "b"):
@@ -231,7 +245,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes, width: int, num: int, d
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
+    return common.in_arrow(pairs.select("a", "b", "set_a", "set_b"), compare, "a long, b long")
 
 
 def similar_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,24 +263,30 @@ def similar_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     reps = chosen.where("doc_id is not null").join(spare, "doc_id", "left_anti")
 
     prefixes = common.stage(prefix_table(reps, classes, width, num, den), "prefixes")
-    hubs = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("doc_id", "n")).alias("hub")).where("texts > 1")
+    # Shingles of one passage mostly have the same texts. Of buckets with equal texts (by their number and two sums of
+    # 64-bit hashes) the first in the order stays, which yields the same pairs.
+    member = F.xxhash64("doc_id")
+    hubs = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("texts"), F.bit_xor(member).alias("x"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(38,0)")).alias("s"), F.min("key").alias("key"), F.min(F.struct("doc_id", "n", "place")).alias("hub")).where("texts > 1")
+    hubs = hubs.groupBy("texts", "x", "s").agg(F.min(F.struct("key", "token", "hub")).alias("kept")).select("kept.token", "texts", "kept.hub")
+    hubs = common.stage(hubs, "hubs")  # tables of their own, so that a hot key's rows can be split among tasks
     shared = common.stage(prefixes.join(hubs, "token"), "shared")
     n_texts = shared.select("doc_id").distinct().count()
 
     def pair(x: Column, y: Column) -> list[Column]:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-    alike = similar_sizes(F.col("n"), F.col("hub.n"), num, den)
+    alike = may_link(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place"), num, den)
     pairs = common.stage(shared.where(alike & (F.col("doc_id") != F.col("hub.doc_id"))).select(*pair(F.col("doc_id"), F.col("hub.doc_id"))).distinct(), "pairs")
     tried = pairs
     edges = common.stage(verified(pairs, reps, classes, width, num, den), "links")
     found = graph.components(edges)
     for turn in range(1, MAX_HUB_ROUNDS + 1):
-        placed = shared.select("token", "doc_id", "n", "texts").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        placed = shared.select("token", "doc_id", "n", "place", "texts").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
         # The hub of the turn stands for its component; min by a hash picks another text each time.
         seed = F.xxhash64("doc_id", F.lit(turn))
-        turn_hubs = placed.groupBy("token").agg(F.min_by(F.struct("doc_id", "n", "component"), seed).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").drop("low", "high")
+        turn_hubs = placed.groupBy("token").agg(F.min_by(F.struct("doc_id", "n", "place", "component"), seed).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").drop("low", "high")
+        turn_hubs = common.stage(turn_hubs, "hubs")
         placed = common.stage(placed.join(turn_hubs, "token"), "placed")
         apart = placed.where("component <> hub.component")
         waiting = apart.agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0]
@@ -274,12 +294,12 @@ def similar_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
         if waiting == 0:
             break
         if last:
-            one = apart.select("token", *[F.col(c).alias(f"{c}_1") for c in ("doc_id", "n", "component")])
-            two = placed.select("token", "doc_id", "n", "component")
-            new = one.join(two, (one["token"] == two["token"]) & (F.col("component") != F.col("component_1")) & similar_sizes(F.col("n"), F.col("n_1"), num, den))
+            one = apart.select("token", *[F.col(c).alias(f"{c}_1") for c in ("doc_id", "n", "place", "component")])
+            two = placed.select("token", "doc_id", "n", "place", "component")
+            new = one.join(two, (one["token"] == two["token"]) & (F.col("component") != F.col("component_1")) & may_link(F.col("n"), F.col("place"), F.col("n_1"), F.col("place_1"), num, den))
             new = new.select(*pair(F.col("doc_id"), F.col("doc_id_1")))
         else:
-            new = apart.where(similar_sizes(F.col("n"), F.col("hub.n"), num, den)).select(*pair(F.col("doc_id"), F.col("hub.doc_id")))
+            new = apart.where(alike).select(*pair(F.col("doc_id"), F.col("hub.doc_id")))
         new = common.stage(new.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         more = common.stage(verified(new, reps, classes, width, num, den), "links")
         if not more.isEmpty():
