@@ -32,6 +32,8 @@ WORD_SLOTS, HEAD_SLOTS, HEAD_LETTERS = 1 << 15, 1 << 13, 4
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 SIZE = 12
+#: Empty words after each text, so that no window reaches into the next one.
+GAP = max(WIDTHS)
 #: Words taken through the filters at once.
 CHUNK_WORDS = 200_000
 _PUNCTUATION = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
@@ -86,17 +88,19 @@ class ToxicModel:
 
     def padded(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Vectors of texts in a row, each followed by empty words, and where each text begins."""
-        gap = max(WIDTHS) - 1 or 1
         lengths = np.array([len(t) for t in texts])
-        starts = np.r_[0, np.cumsum(lengths + gap)]
+        starts = np.r_[0, np.cumsum(lengths + GAP)]
         x = np.zeros((starts[-1] + max(WIDTHS) - 1, SIZE), np.float32)
-        place = np.arange(lengths.sum()) + np.repeat(np.arange(len(texts)) * gap, lengths)
+        place = np.arange(lengths.sum()) + np.repeat(np.arange(len(texts)) * GAP, lengths)
         x[place] = self.vectors(np.concatenate(texts))
         return x, starts[:-1]
 
     def pooled(self, texts: list[np.ndarray]) -> np.ndarray:
+        """The maxima over the windows that begin at a word of a text; an empty text has one window of nothing."""
         x, starts = self.padded(texts)
-        return np.maximum(np.maximum.reduceat(self.responses(x), starts, axis=0) + self.bias, 0)
+        ends = starts + np.array([max(len(t), 1) for t in texts])
+        peaks = np.maximum.reduceat(self.responses(x), np.column_stack([starts, ends]).ravel(), axis=0)[::2]
+        return np.maximum(peaks + self.bias, 0)
 
     def raw(self, texts: list[np.ndarray]) -> np.ndarray:
         """Probabilities before the thresholds."""
@@ -158,7 +162,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 6, batch: i
             chosen = [texts[i] for i in rows]
             x, starts = model.padded(chosen)
             responses = model.responses(x)
-            ends = np.r_[starts[1:], len(responses)]
+            ends = starts + np.array([max(len(t), 1) for t in chosen])
             place = np.stack([responses[s:e].argmax(axis=0) + s for s, e in zip(starts, ends, strict=True)])
             peak = np.take_along_axis(responses, place, axis=0) + model.bias
             hidden = np.maximum(peak, 0)
@@ -174,9 +178,8 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 6, batch: i
             model.bias -= step * gradient / np.sqrt(sums[3])
             model.base -= float(rate * error.sum())
             slots = np.full(len(x), -1, np.int64)
-            gap = max(WIDTHS) - 1 or 1
             lengths = np.array([len(t) for t in chosen])
-            slots[np.arange(lengths.sum()) + np.repeat(np.arange(len(chosen)) * gap, lengths)] = np.concatenate(chosen)
+            slots[np.arange(lengths.sum()) + np.repeat(np.arange(len(chosen)) * GAP, lengths)] = np.concatenate(chosen)
             on_filters, on_words = np.zeros_like(model.filters), []
             for shift in range(max(WIDTHS)):
                 wide = np.flatnonzero(width_of > shift)
@@ -227,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([word_slots(t).tobytes() for t in b.column(3).to_pylist()], pa.binary())], ["doc_id", "lang", "toxic", "slots"])
 
     chosen = learnable.join(F.broadcast(sample), "doc_id").select("doc_id", "lang", "toxic", "text")  # a bounded sample
-    rows = sorted((r[0], r[1] or "", r[2], bytes(r[3])) for r in chosen.mapInArrow(slots, "doc_id long, lang string, toxic int, slots binary").collect())
+    rows = sorted((r[0], r[1] or "", r[2], bytes(r[3])) for r in common.in_arrow(chosen, slots, "doc_id long, lang string, toxic int, slots binary").collect())
     texts = [np.frombuffer(r[3], np.uint32) for r in rows]
     y = np.array([r[2] for r in rows], np.float32)
     aside = np.array([zlib.crc32(f"aside:{r[0]}".encode()) % 4 == 0 for r in rows], bool)
@@ -259,4 +262,4 @@ def score_table(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([ids.slice(at, 512), pa.array(found, pa.float64())], ["doc_id", "score"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(score, "doc_id long, score double")
+    return common.in_arrow(chosen, score, "doc_id long, score double")
