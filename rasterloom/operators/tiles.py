@@ -98,28 +98,53 @@ def run_tiles(tiles: DataFrame, steps: list[Step], info: RasterInfo) -> DataFram
     return tiles.mapInArrow(run, TILE)
 
 
-def pixels_from_tiles(tiles: DataFrame, info: RasterInfo, keys: bool = False) -> DataFrame:
-    """The cores' samples as a pixel table; with keys, also tile_row and tile_col."""
+def pixels_from_tiles(tiles: DataFrame, info: RasterInfo) -> DataFrame:
+    """The cores' samples as a pixel table."""
     kinds = [pa.string(), *[pa.int32()] * 4]
     names = ["image_id", "y", "x", "c", "v"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for image_id, row, col, tile, _ in tile_rows(batch, info.channels):
+            for image_id, _, _, tile, _ in tile_rows(batch, info.channels):
                 core = tile.core()
                 y, x, c = (a.ravel().astype(np.int32) for a in np.indices(core.shape))
                 columns = [pa.array([image_id] * core.size, kinds[0]), *[pa.array(a) for a in (y + np.int32(tile.gy), x + np.int32(tile.gx), c, core.ravel().astype(np.int32))]]
-                if keys:
-                    columns += [pa.array(np.full(core.size, k, np.int32)) for k in (row, col)]
-                yield pa.RecordBatch.from_arrays(columns, names + ["tile_row", "tile_col"] * keys)
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return tiles.mapInArrow(run, PIXEL + ", tile_row int, tile_col int" * keys)
+    return tiles.mapInArrow(run, PIXEL)
 
 
-def mosaic_pixels(tiles: DataFrame, info: RasterInfo, overlapping: bool) -> DataFrame:
-    """(y, x, c, v) of tiles on their canvas; the last tile in raster order wins where they overlap."""
-    placed = pixels_from_tiles(tiles, info, keys=overlapping)
-    if not overlapping:
-        return placed.select("y", "x", "c", "v")
-    last = F.max(F.struct("tile_row", "tile_col", "v"))
-    return placed.groupBy("y", "x", "c").agg(last.alias("last")).select("y", "x", "c", F.col("last.v").alias("v"))
+def canvas_tiles(tiles: DataFrame, canvas: RasterInfo, tile_size: int) -> DataFrame:
+    """The whole canvas as a grid of tiles: pieces in raster order of the tiles they come from, so the last one wins,
+    over zeros. A shuffle moves each piece once; samples are never rows."""
+    columns, rows = grid_size(canvas.width, canvas.height, tile_size)
+    names, kinds = ["to_row", "to_col", "tile_row", "tile_col", "y", "x", "h", "w", "piece"], [pa.int32()] * 8 + [pa.binary()]
+    schema = ", ".join(f"{n} {'binary' if n == 'piece' else 'int'}" for n in names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, row, col, tile, _ in tile_rows(batch, canvas.channels):
+                if tile.gx + tile.cw > canvas.width or tile.gy + tile.ch > canvas.height:
+                    raise ValueError(f"a tile reaches {tile.gx + tile.cw} x {tile.gy + tile.ch}, beyond the canvas of {canvas.width} x {canvas.height}")
+                out, core = [], tile.core()
+                for r in range(tile.gy // tile_size, (tile.gy + tile.ch - 1) // tile_size + 1):
+                    for c in range(tile.gx // tile_size, (tile.gx + tile.cw - 1) // tile_size + 1):
+                        top, left = max(tile.gy, r * tile_size), max(tile.gx, c * tile_size)
+                        bottom, right = min(tile.gy + tile.ch, (r + 1) * tile_size), min(tile.gx + tile.cw, (c + 1) * tile_size)
+                        part = core[top - tile.gy : bottom - tile.gy, left - tile.gx : right - tile.gx]
+                        out.append((r, c, row, col, top, left, bottom - top, right - left, part.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    def lay(frame: pd.DataFrame) -> pd.DataFrame:
+        row, col = int(frame["to_row"].iloc[0]), int(frame["to_col"].iloc[0])
+        gx, gy = col * tile_size, row * tile_size
+        cw, ch = min(tile_size, canvas.width - gx), min(tile_size, canvas.height - gy)
+        whole = np.zeros((ch, cw, canvas.channels), np.uint8)
+        for y, x, h, w, piece in zip(*(frame.sort_values(["tile_row", "tile_col"])[n] for n in names[4:]), strict=True):
+            whole[y - gy : y - gy + h, x - gx : x - gx + w] = np.frombuffer(piece, np.uint8).reshape(h, w, canvas.channels)
+        values = [canvas.image_id, row, col, gx, gy, cw, ch, 0, canvas.fmt, whole.tobytes()]
+        return pd.DataFrame({n: [v] for n, v in zip(_NAMES, values, strict=True)})
+
+    blank = tiles.sparkSession.range(columns * rows).selectExpr(f"cast(id div {columns} as int) to_row", f"cast(id % {columns} as int) to_col", "-1 tile_row", "-1 tile_col", "0 y", "0 x", "0 h", "0 w", "cast('' as binary) piece")
+    blank = blank.withColumns({"y": F.col("to_row") * tile_size, "x": F.col("to_col") * tile_size})
+    return tiles.mapInArrow(cut, schema).unionByName(blank).groupBy("to_row", "to_col").applyInPandas(lay, TILE)

@@ -113,11 +113,9 @@ def render(pixels: DataFrame, info: RasterInfo, chain: Chain, config: RunConfig
 
 
 def render_tiles(tiles: DataFrame, info: RasterInfo, chain: Chain, config: RunConfig | None = None, canvas: str = "input") -> DataFrame:
-    """render over a table of tiles."""
+    """The chain's image as a table of tiles that cover the canvas, from a table of tiles."""
     config = config or RunConfig()
-    target = canvas_of(chain, info, canvas)
-    done = run_on_tiles(tiles, info, chain, config)
-    return on_canvas(tile_ops.mosaic_pixels(done, info, chain.overlapping), target)
+    return tile_ops.canvas_tiles(run_on_tiles(tiles, info, chain, config), canvas_of(chain, info, canvas), config.tile_size)
 
 
 def render_global(pixels: DataFrame, info: RasterInfo, chain: Chain, border: str = "clamp", canvas: str = "input") -> DataFrame:

@@ -34,7 +34,8 @@ def image(name: str, raster: str, steps: list[Step], tile_size: int, halo: int,
         pixels, info = RASTERS[raster](spark, sf_dir)
         if engine == "pixels":
             return chains.render(pixels, info, chain, config)
-        return chains.render_tiles(tile_ops.tiles_from_pixels(pixels, info, tile_size), info, chain, config)
+        tiles = chains.render_tiles(tile_ops.tiles_from_pixels(pixels, info, tile_size), info, chain, config)
+        return tile_ops.pixels_from_tiles(tiles, info)
 
     register(name, run, oracle.render_sql(raster, steps, tile_size, max(halo, chain.halo), border))
 

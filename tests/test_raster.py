@@ -86,7 +86,7 @@ def test_engines_agree_with_the_tile_algorithm(spark, steps, tile_size, border):
     want = by_tiles(array, steps, tile_size, max(16, chain.halo), border)
     assert (array_of(render(pixels, info, chain, config), info) == want).all()
     tiles = tile_ops.tiles_from_pixels(pixels, info, tile_size)
-    assert (array_of(render_tiles(tiles, info, chain, config), info) == want).all()
+    assert (array_of(tile_ops.pixels_from_tiles(render_tiles(tiles, info, chain, config), info), info) == want).all()
 
 
 def test_halo_wider_than_tiles_and_image(spark):
@@ -97,7 +97,7 @@ def test_halo_wider_than_tiles_and_image(spark):
         want = by_tiles(array, [Blur(9)], 2, 9, border)
         assert (array_of(render(pixels, info, Chain((Blur(9),)), config), info) == want).all()
         tiles = tile_ops.tiles_from_pixels(pixels, info, 2)
-        assert (array_of(render_tiles(tiles, info, Chain((Blur(9),)), config), info) == want).all()
+        assert (array_of(tile_ops.pixels_from_tiles(render_tiles(tiles, info, Chain((Blur(9),)), config), info), info) == want).all()
 
 
 def test_reflect_vector(spark):
@@ -182,6 +182,9 @@ def test_errors(spark):
     for line in ("crop 0 0 4 4 | blur 4", "identity | blur 4", "resize 2 2"):
         with pytest.raises(ValueError):
             render(pixels, info, Chain.parse(line))
+        tiles = tile_ops.tiles_from_pixels(pixels, info, 512)
+        with pytest.raises(Exception, match="halo|beyond"):
+            render_tiles(tiles, info, Chain.parse(line)).collect()
     for line in ("blur -1", "sharpen 3", "crop 1 2", "blur x", "resize -1 1"):
         with pytest.raises(ValueError):
             Chain.parse(line)
