@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Weights of red, green and blue in gray, in 1024ths.
+GRAY_WEIGHTS = (306, 601, 117)
+
+
 def by_pixel(pixels: DataFrame, channels: int) -> DataFrame:
     """(image_id, y, x, c0, c1, ...): the samples of a pixel side by side. One shuffle, with partial aggregation."""
     parts = [F.max(F.when(F.col("c") == k, F.col("v"))).alias(f"c{k}") for k in range(channels)]
@@ -28,7 +32,8 @@ def _whole(x: Column) -> Column:
 
 
 def gray_of(r: Column, g: Column, b: Column) -> Column:
-    return F.shiftright(r * 306 + g * 601 + b * 117, 10)
+    red, green, blue = GRAY_WEIGHTS
+    return F.shiftright(r * red + g * green + b * blue, 10)
 
 
 def rgb_to_gray(pixels: DataFrame) -> DataFrame:

@@ -20,6 +20,10 @@ from rasterloom.operators.grid import BOX, KEY, tile_grid, tiled
 from rasterloom.operators.halo import check_halo
 
 
+#: The halos that resizing and rotation ask for.
+RESIZE_HALO, ROTATE_HALO = 1, 256
+
+
 @dataclass(frozen=True)
 class Tiles:
     info: RasterInfo  # of the original image, whatever the steps so far
@@ -227,7 +231,7 @@ class Resize(Resample):
 
     @property
     def halo(self) -> int:
-        return 1
+        return RESIZE_HALO
 
     def new_boxes(self, boxes: DataFrame) -> DataFrame:
         for axis, size, scale in (("gx", "cw", self.sx), ("gy", "ch", self.sy)):
@@ -256,7 +260,7 @@ class Rotate(Resample):
 
     @property
     def halo(self) -> int:
-        return 256
+        return ROTATE_HALO
 
     @property
     def turn(self) -> tuple[float, float]:

@@ -11,8 +11,19 @@ from pyspark.sql import functions as F
 from rasterloom.plans.chain import Chain
 
 
+#: The reasons a tile is routed by, in the order in which their rules apply.
+NO_GPU = "No GPU available"
+CPU_STEP = "CPU preferred for identity/crop"
+SMALL_TILE = "Tile too small for GPU"
+TRANSFER = "PCIe transfer dominates"
+FULL_QUEUE = "GPU queue full"
+HEAVY = "Compute-heavy transform"
+
+
 @dataclass(frozen=True)
 class SchedulerConfig:
+    """The model's assumed rates and thresholds, none of them measured."""
+
     gpu_available: bool = True
     min_gpu_tile_pixels: int = 1
     bytes_per_sec: float = 8.0e9
@@ -49,14 +60,14 @@ def route_tiles(tiles: DataFrame, chain: Chain, config: SchedulerConfig | None =
     ratio = kernel_time(pixels, preference, config) / (transfer_time(buffer, config) + F.lit(1e-12))
     full = held_to_one(F.lit(occupancy) if isinstance(occupancy, float) else occupancy)
     reason = (
-        F.when(F.lit(not config.gpu_available), "No GPU available")
-        .when(F.lit(preference == "CPU_PREFERRED"), "CPU preferred for identity/crop")
-        .when(pixels < config.min_gpu_tile_pixels, "Tile too small for GPU")
-        .when(ratio < 1.0, "PCIe transfer dominates")
-        .when(full >= config.spill_occupancy, "GPU queue full")
-        .otherwise("Compute-heavy transform")
+        F.when(F.lit(not config.gpu_available), NO_GPU)
+        .when(F.lit(preference == "CPU_PREFERRED"), CPU_STEP)
+        .when(pixels < config.min_gpu_tile_pixels, SMALL_TILE)
+        .when(ratio < 1.0, TRANSFER)
+        .when(full >= config.spill_occupancy, FULL_QUEUE)
+        .otherwise(HEAVY)
     )
-    return tiles.withColumn("reason", reason).withColumn("device", F.when(F.col("reason") == "Compute-heavy transform", "GPU").otherwise("CPU"))
+    return tiles.withColumn("reason", reason).withColumn("device", F.when(F.col("reason") == HEAVY, "GPU").otherwise("CPU"))
 
 
 def route_summary(routed: DataFrame) -> DataFrame:
