@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: A set of ids is broadcast up to so many rows (a hash relation of about 40 MB); beyond, it is joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: Rows of an Arrow batch, which may hold whole texts.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 ASCII_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 _own_dir: dict[str, str] = {}
@@ -59,16 +59,26 @@ def checked(small: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(small) if n <= BROADCAST_ROWS else small
 
 
-def in_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """mapInArrow with small batches: texts are long, and a batch is held by the JVM and by Python at once."""
+def in_arrow(df: DataFrame, run: Callable, schema: str, after: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow in small batches. `after` runs at the end of each task: Python workers live on between tasks and
+    stages, and what one operator remembers should not weigh on the next."""
     small_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if after is not None:
+                after()
+
+    return df.mapInArrow(whole, schema)
 
 
 def small_batches(spark: SparkSession) -> None:
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Texts are long: a batch of them is held by the scan, by Arrow and by Python at once."""
+    for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+            spark.conf.set(name, str(BATCH_ROWS))
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str, list]]], schema: str) -> DataFrame:

@@ -45,12 +45,18 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000:
+        if len(self) < 200_000:
             self[word] = value
         return value
 
 
 _words = WordHashes()
+
+
+def forget() -> None:
+    _words.clear()
+
+
 #: Odd multipliers that tell the places of a shingle's words apart: the golden ratio's bits times odd numbers.
 _ODD = [0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1 for k in range(16)]
 
@@ -86,12 +92,11 @@ def order_keys(hashes: np.ndarray, classes: np.ndarray, order: int) -> np.ndarra
     return classes[hashes >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(56) | mix(hashes, order) >> np.uint64(8)
 
 
-def prefix(hashes: np.ndarray, classes: np.ndarray, order: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first shingles of a set in a given order, in that order, and their keys."""
+def prefix(hashes: np.ndarray, classes: np.ndarray, order: int, num: int, den: int) -> np.ndarray:
+    """The first shingles of a set in a given order, in that order."""
     length, keys = prefix_length(len(hashes), num, den), order_keys(hashes, classes, order)
     chosen = np.argpartition(keys, length - 1)[:length] if 0 < length < len(keys) else np.arange(len(keys))
-    chosen = chosen[np.lexsort((hashes[chosen], keys[chosen]))]
-    return hashes[chosen], keys[chosen]
+    return hashes[chosen[np.lexsort((hashes[chosen], keys[chosen]))]]
 
 
 def _chosen(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -133,7 +138,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
                 none = [pa.nulls(1).cast(k) for k in kinds[:3]]
                 yield pa.RecordBatch.from_arrays([*none, pa.array([block], kinds[3]), pa.array([part], kinds[4]), pa.array([zlib.compress(counts.tobytes(), 1)], kinds[5])], names)
 
-    return common.in_arrow(docs, run, schema)
+    return common.in_arrow(docs, run, schema, forget)
 
 
 def frequency_classes(blocks: DataFrame) -> np.ndarray:
@@ -154,22 +159,22 @@ def frequency_classes(blocks: DataFrame) -> np.ndarray:
 
 
 def prefix_table(docs: DataFrame, classes, width: int, num: int, den: int) -> DataFrame:
-    """(token, key, doc_id, n, place): the prefix of each set under the first order, with each shingle's place in it."""
+    """(token, doc_id, n, place): the prefix of each set under the first order, with each shingle's place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+            columns: list[list[np.ndarray]] = [[] for _ in range(4)]
             for doc_id, body in zip(batch.column(0).to_pylist(), common.lowered(batch.column(1)), strict=True):
                 hashes = shingle_set(body, width)
                 if len(hashes):
-                    found, keys = prefix(hashes, classes.value, 0, num, den)
-                    same = lambda x: np.full(len(found), x, np.int32)  # noqa: B023, E731
-                    for out, x in zip(columns, (found.view(np.int64), keys.view(np.int64), same(0).astype(np.int64) + doc_id, same(len(hashes)), np.arange(len(found), dtype=np.int32)), strict=True):
+                    found = prefix(hashes, classes.value, 0, num, den)
+                    n = len(found)
+                    for out, x in zip(columns, (found.view(np.int64), np.full(n, doc_id, np.int64), np.full(n, len(hashes), np.int32), np.arange(n, dtype=np.int32)), strict=True):
                         out.append(x)
             if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], ["token", "key", "doc_id", "n", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], ["token", "doc_id", "n", "place"])
 
-    return common.in_arrow(docs, run, "token long, key long, doc_id long, n int, place int")
+    return common.in_arrow(docs, run, "token long, doc_id long, n int, place int", forget)
 
 
 def order_table(docs: DataFrame, classes, width: int, num: int, den: int) -> DataFrame:
@@ -185,10 +190,10 @@ def order_table(docs: DataFrame, classes, width: int, num: int, den: int) -> Dat
                 columns[0].append(doc_id)
                 columns[1].append(len(hashes))
                 for k in range(1, ORDERS):
-                    columns[1 + k].append(prefix(hashes, classes.value, k, num, den)[0].view(np.int64))
+                    columns[1 + k].append(prefix(hashes, classes.value, k, num, den).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    return common.in_arrow(docs, run, schema)
+    return common.in_arrow(docs, run, schema, forget)
 
 
 def set_table(docs: DataFrame, width: int) -> DataFrame:
@@ -199,7 +204,7 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
             sets = [shingle_set(body, width).tobytes() for body in common.lowered(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "hashes"])
 
-    return common.in_arrow(docs, run, "doc_id long, hashes binary")
+    return common.in_arrow(docs, run, "doc_id long, hashes binary", forget)
 
 
 def may_link(n: Column, place: Column, m: Column, other: Column, num: int, den: int) -> Column:
@@ -263,13 +268,17 @@ def similar_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     reps = chosen.where("doc_id is not null").join(spare, "doc_id", "left_anti")
 
     prefixes = common.stage(prefix_table(reps, classes, width, num, den), "prefixes")
+    # Most prefix shingles are in one text only; they go before anything wider than a count is moved. Each of these tables
+    # is staged, so that the rows of a hot key can be split among tasks in the join.
+    several = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    several = prefixes.join(common.stage(several, "several"), "token")
+    several = common.stage(several, "buckets")
     # Shingles of one passage mostly have the same texts. Of buckets with equal texts (by their number and two sums of
-    # 64-bit hashes) the first in the order stays, which yields the same pairs.
+    # 64-bit hashes) the first in the order stays, which is the one with the smallest places; it yields the same pairs.
     member = F.xxhash64("doc_id")
-    hubs = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("texts"), F.bit_xor(member).alias("x"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(38,0)")).alias("s"), F.min("key").alias("key"), F.min(F.struct("doc_id", "n", "place")).alias("hub")).where("texts > 1")
-    hubs = hubs.groupBy("texts", "x", "s").agg(F.min(F.struct("key", "token", "hub")).alias("kept")).select("kept.token", "texts", "kept.hub")
-    hubs = common.stage(hubs, "hubs")  # tables of their own, so that a hot key's rows can be split among tasks
-    shared = common.stage(prefixes.join(hubs, "token"), "shared")
+    hubs = several.groupBy("token").agg(F.max("texts").alias("texts"), F.bit_xor(member).alias("x"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(38,0)")).alias("s"), F.sum("place").alias("places"), F.min(F.struct("doc_id", "n", "place")).alias("hub"))
+    hubs = hubs.groupBy("texts", "x", "s").agg(F.min(F.struct("places", "token", "hub")).alias("kept")).select("kept.token", "kept.hub")
+    shared = common.stage(several.join(common.stage(hubs, "hubs"), "token"), "shared")
     n_texts = shared.select("doc_id").distinct().count()
 
     def pair(x: Column, y: Column) -> list[Column]:

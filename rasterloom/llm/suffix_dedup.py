@@ -7,6 +7,10 @@ sorted by what follows them (first the next `least` / 2 words, then the next `le
 hashes); neighbours in that order are compared and their matches are extended left and right, word by word, in the
 texts themselves. Matches of `least` words or more are reported, merged for each text.
 
+The longest match to the left need not be with a neighbour to the right. So windows of `least` words that begin up to
+a selection window before a kept suffix, and that no match covers, are looked up by their hash in a last step. With it,
+exactly those words are reported that lie in some window of `least` words which another text holds too.
+
 Texts that are equal as word sequences are collapsed first and are reported as repeated from end to end. Only suffixes
 whose next words occur in another text take part in the sort. It is a sort by range, so a passage that millions of
 texts share is spread over many tasks; every suffix meets its two neighbours only, never all texts that share a key.
@@ -34,6 +38,12 @@ GRAM = 8
 _ROOT = 0x9E3779B97F4A7C15 | 1
 _ROOT_INVERSE = pow(_ROOT, -1, 1 << 64)
 _words = WordHashes()
+
+
+def forget() -> None:
+    _words.clear()
+
+
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -99,7 +109,7 @@ def suffix_table(docs: DataFrame, least: int) -> DataFrame:
             none = pa.nulls(len(own))
             yield pa.RecordBatch.from_arrays([pa.array(own), none.cast(kinds[1]), none.cast(kinds[2]), pa.array(places), pa.array(near), pa.array(far)], names)
 
-    return docs.mapInArrow(run, schema)
+    return common.in_arrow(docs, run, schema, forget)
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
@@ -135,7 +145,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
         if row is not None:
             yield table([(row[2], row[3], None, None, row[0], row[1], True)])
 
-    return rows.select("near", "far", "doc_id", "place").mapInArrow(run, schema)
+    return common.in_arrow(rows.select("near", "far", "doc_id", "place"), run, schema)
 
 
 def sorted_neighbours(rows: DataFrame) -> DataFrame:
@@ -166,23 +176,73 @@ def extended(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], least
     return found
 
 
+def joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Sorted (start, end, other) with overlapping or touching spans as one, which takes the smallest other."""
+    found: list[tuple[int, int, int]] = []
+    for start, end, other in spans:
+        if found and start <= found[-1][1]:
+            before = found.pop()
+            start, end, other = before[0], max(before[1], end), min(before[2], other)
+        found.append((start, end, other))
+    return found
+
+
 def match_table(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
     """(doc_id, start, end, other): both sides of each match between the texts of each pair."""
     for side in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("doc_id").alias(f"doc_{side}"), F.col("text").alias(f"text_{side}")), f"doc_{side}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed: dict[int, np.ndarray] = {}  # rows come sorted by one side, so a text is often that of the row before
         for batch in batches:
-            out = []
+            found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
             bodies = common.lowered(batch.column(3)), common.lowered(batch.column(4))
             for doc_a, doc_b, anchors, body_a, body_b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), *bodies, strict=True):
+                if len(hashed) > 64:
+                    hashed.clear()
+                for doc, body in ((doc_a, body_a), (doc_b, body_b)):
+                    if doc not in hashed:
+                        hashed[doc] = word_hashes(body)
                 places = [(x["at_a"], x["at_b"]) for x in anchors]
-                for x, y, n in extended(word_hashes(body_a), word_hashes(body_b), places, least):
-                    out += [(doc_a, x, x + n, doc_b), (doc_b, y, y + n, doc_a)]
+                for x, y, n in extended(hashed[doc_a], hashed[doc_b], places, least):
+                    found[doc_a].append((x, x + n, doc_b))
+                    found[doc_b].append((y, y + n, doc_a))
+            # What one text has in common with several others is merged here first.
+            out = [(doc, *span) for doc, spans in found.items() for span in joined(sorted(spans))]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "start", "end", "other"])
 
-    return pairs.select("doc_a", "doc_b", "anchors", "text_a", "text_b").mapInArrow(run, "doc_id long, start int, end int, other long")
+    return common.in_arrow(pairs.select("doc_a", "doc_b", "anchors", "text_a", "text_b"), run, "doc_id long, start int, end int, other long", forget)
+
+
+def open_windows(bodies: DataFrame, kept: DataFrame, spans: DataFrame, least: int) -> DataFrame:
+    """(doc_id, place, key): windows that hold a kept suffix early enough, and that no span covers."""
+    back = least - least // 2
+    places = kept.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    covers = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("covers"))
+    rows = bodies.join(places, "doc_id").join(covers, "doc_id", "left").select("doc_id", "text", "places", "covers")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, body, own, covers in zip(batch.column(0).to_pylist(), common.lowered(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                h = word_hashes(body)
+                if len(h) < least:
+                    continue
+                wanted = np.zeros(len(h) - least + 2, np.int64)
+                own = np.array(own)
+                np.add.at(wanted, np.clip(own - back, 0, len(wanted) - 1), 1)
+                np.add.at(wanted, np.minimum(own + 1, len(wanted) - 1), -1)
+                wanted = np.cumsum(wanted)[:-1] > 0
+                for c in covers or []:
+                    wanted[c["start"] : max(c["start"], c["end"] - least + 1)] = False
+                starts = np.flatnonzero(wanted)
+                if len(starts):
+                    root, inverse = powers(len(h))
+                    total = np.r_[np.uint64(0), np.cumsum(h * root[: len(h)])]
+                    keys = range_hashes(total, starts, starts + least, inverse)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), doc_id, np.int64)), pa.array(starts.astype(np.int32)), pa.array(keys.view(np.int64))], ["doc_id", "place", "key"])
+
+    return common.in_arrow(rows, run, "doc_id long, place int, key long", forget)
 
 
 def merged(spans: DataFrame) -> DataFrame:
@@ -191,18 +251,11 @@ def merged(spans: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = []
-            for doc_id, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for s in own:
-                    if out and out[-1][0] == doc_id and s["start"] <= out[-1][2]:
-                        out[-1][2] = max(out[-1][2], s["end"])
-                        out[-1][3] = min(out[-1][3], s["other"])
-                    else:
-                        out.append([doc_id, s["start"], s["end"], s["other"]])
+            out = [(doc_id, *span) for doc_id, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for span in joined([(x["start"], x["end"], x["other"]) for x in own])]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "start", "end", "other"])
 
-    return lists.mapInArrow(run, "doc_id long, start int, end int, other long")
+    return common.in_arrow(lists, run, "doc_id long, start int, end int, other long", forget)
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,11 +264,13 @@ def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS, id_col: str = "
     table = common.stage(suffix_table(chosen, least), "suffixes")
     texts = table.where("sig is not null").select("doc_id", "n", "sig")
     groups = texts.groupBy("sig").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    groups = common.stage(groups, "groups")
     copies = common.stage(texts.join(groups, "sig"), "copies")
     whole = copies.select("doc_id", F.lit(0).alias("start"), F.col("n").alias("end"), F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other")).distinct()
     spare = common.checked(common.stage(copies.where("doc_id <> low").select("doc_id").distinct(), "spare"))
     suffixes = table.where("sig is null").select("near", "far", "doc_id", "place").join(spare, "doc_id", "left_anti")
     common_keys = suffixes.groupBy("near").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("near")
+    common_keys = common.stage(common_keys, "common-keys")  # as a table of its own, so that a hot key's rows can be split among tasks
     kept = common.stage(suffixes.join(common_keys, "near", "left_semi"), "kept")
     found = sorted_neighbours(kept)
     low_first = F.col("doc_a") < F.col("doc_b")
@@ -224,7 +279,11 @@ def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS, id_col: str = "
     pairs = common.stage(pairs, "pairs")
     ids = common.stage(pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct(), "ids")
     bodies = chosen.join(common.checked(ids), "doc_id", "left_semi")
-    spans = match_table(pairs, bodies, least)
+    spans = common.stage(match_table(pairs, bodies, least), "spans")
+    windows = common.stage(open_windows(bodies, kept, spans, least), "windows")
+    shared = windows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    shared = common.stage(shared, "shared-windows")
+    late = windows.join(shared, "key").select("doc_id", F.col("place").alias("start"), (F.col("place") + least).alias("end"), F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other"))
     # A copy stands for its whole group: what its first text shares with others lies inside the whole-text row.
-    merged_rows = merged(spans.unionByName(whole))
+    merged_rows = merged(spans.unionByName(late).unionByName(whole))
     return merged_rows.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"), F.col("other").alias("other_id"))

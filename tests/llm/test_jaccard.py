@@ -68,7 +68,7 @@ def test_prefixes_of_linked_sets_share_a_shingle_under_every_order():
         both = len(np.intersect1d(a, b))
         if 100 * both >= 80 * (len(a) + len(b) - both):
             for order in range(jaccard.ORDERS):
-                x, y = (jaccard.prefix(s, classes, order, 80, 100)[0].tolist() for s in (a, b))
+                x, y = (jaccard.prefix(s, classes, order, 80, 100).tolist() for s in (a, b))
                 first = next(t for t in x if t in set(y))
                 assert min(len(a) - x.index(first), len(b) - y.index(first)) * 180 >= (len(a) + len(b)) * 80
 
