@@ -87,21 +87,25 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_all, n_unseen = keys.count(), first.count()
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if n_unseen < n_all:
-        # Rows that need no scan: those of known blobs, and of each blob all rows but the first.
-        idle = keys.join(first.select("blob", F.col("doc_id").alias("__first")), "blob", "left").where(~F.col("doc_id").eqNullSafe(F.col("__first")) | F.col("__first").isNull())
-        idle = common.stage(idle.select("doc_id").where("doc_id is not null"), "idle")
+        # Rows that need no scan: those of known blobs, and of each blob all rows but the first. An id that is the first
+        # of some blob is scanned whatever else it holds.
+        firsts = first.select(F.col("doc_id").alias("__first"))
+        idle = keys.join(first.select("blob", F.col("doc_id").alias("__own")), "blob", "left").where(F.col("__own").isNull() | (F.col("doc_id") != F.col("__own")))
+        idle = idle.select("doc_id").where("doc_id is not null").distinct().join(firsts, F.col("doc_id") == F.col("__first"), "left_anti")
+        idle = common.stage(idle, "idle")
         n_idle = idle.count()
         if n_idle <= n_unseen or n_idle <= common.BROADCAST_ROWS:
             chosen = chosen.join(common.checked(idle, n_idle), "doc_id", "left_anti")
         else:
-            chosen = chosen.join(common.checked(first.select("doc_id"), n_unseen), "doc_id", "left_semi")
+            firsts = common.checked(firsts, n_unseen)
+            chosen = chosen.join(firsts, F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi")
     fresh = scan_blobs(chosen.select("text"), rules).withColumn("rule_version", F.lit(rule_version))
     if ledger is None:
-        findings = common.stage(fresh.where(F.size("starts") > 0), "findings")
+        findings = fresh.where(F.size("starts") > 0)
     else:
         fresh.write.mode("append").parquet(ledger)
         findings = spark.read.parquet(ledger).where((F.col("rule_version") == rule_version) & (F.size("starts") > 0))
-    findings = findings.select("blob", "starts", "places", "ends").dropDuplicates(["blob"])
+    findings = common.stage(findings.select("blob", "starts", "places", "ends").dropDuplicates(["blob"]), "findings")
     return keys.join(findings, "blob", "left")
 
 
