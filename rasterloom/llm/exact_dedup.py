@@ -96,7 +96,7 @@ def repeated_fingerprints(keys: DataFrame, rows: int) -> DataFrame:
         remainders, counts = merge_sorted(runs)
         return pd.DataFrame({"fp": remainders[counts > 1].view(np.int64)})
 
-    filters = keys.select("fp").mapInArrow(build, "block long, remainders binary, counts binary")
+    filters = common.in_arrow(keys.select("fp"), build, "block long, remainders binary, counts binary")
     return filters.groupBy("block").applyInPandas(merge, "fp long")
 
 

@@ -72,7 +72,7 @@ def count_words(learn: DataFrame, text_col: str = "text") -> DataFrame:
                     counts.clear()
         yield table()
 
-    partial = learn.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word binary, c long")
+    partial = common.in_arrow(learn.select(F.col(text_col).cast("string").alias("text")), run, "word binary, c long")
     return partial.groupBy("word").agg(F.sum("c").alias("c"))
 
 
@@ -180,7 +180,7 @@ def build_lexicon(counts: DataFrame) -> Lexicon:
                 kinds += np.bincount(own, minlength=RARE_CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array(range(RARE_CLASSES), pa.int32()), pa.array(mass), pa.array(kinds)], ["k", "mass", "kinds"])
 
-    found = counts.mapInArrow(rare_totals, "k int, mass long, kinds long").groupBy("k").agg(F.sum("mass"), F.sum("kinds")).collect()
+    found = common.in_arrow(counts, rare_totals, "k int, mass long, kinds long").groupBy("k").agg(F.sum("mass"), F.sum("kinds")).collect()
     mass, kinds = np.zeros(RARE_CLASSES), np.zeros(RARE_CLASSES)
     for k, a, b in found:
         mass[k], kinds[k] = a, b
@@ -382,7 +382,7 @@ def sample_codes(learn: DataFrame, lexicon: Lexicon, train_tokens: int, id_col:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([shared.value.encode(b)[0].astype(np.int32).tobytes() for b in common.lowered(batch.column(0))], pa.binary())], ["codes"])
 
-    rows = learn.where(bar).select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "codes binary").collect()
+    rows = common.in_arrow(learn.where(bar).select(F.col(text_col).cast("string").alias("text")), run, "codes binary").collect()
     return [np.frombuffer(x, np.int32) for x in sorted(bytes(r[0]) for r in rows)]
 
 
@@ -439,7 +439,7 @@ def score_table(docs: DataFrame, held_out: Column, train_tokens: int = TRAIN_TOK
         yield from pour()
 
     chosen = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    rows = chosen.mapInArrow(run, schema)
+    rows = common.in_arrow(chosen, run, schema)
     tail_counts = counts.where(F.col("c") < lexicon.least)
     joined = rows.join(tail_counts, "word", "left")
     tail_log = F.when(F.col("times") > 0, F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).otherwise(F.lit(0.0))

@@ -3,7 +3,7 @@
 A text becomes a vector of hashed byte 2- and 3-grams of its lower-cased letters, weighted by log frequency and
 inverse document frequency and normalised. Each language keeps several centroids, found by spherical k-means over the
 vectors of its sample. A text takes the language of the most similar centroid (cosine) and is rejected if the distance
-1 - cosine is beyond what any sampled text shows from its own language.
+1 - cosine is beyond what any sampled text shows from its own language, within fixed bounds.
 
 The sample is bounded: rows_per_language rows of each language, chosen by a hash of the id, whole texts. Everything
 else reads all rows.
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import common
@@ -33,8 +33,9 @@ ROWS_PER_LANGUAGE = 600
 CENTROIDS = 4
 #: Room beyond the largest distance that the sample shows.
 MARGIN = 1.05
-#: A text this far from every centroid is rejected in any case.
-FARTHEST = 0.97
+#: However the sample turns out, a text nearer than this is kept, as few words are far from any centroid, and one
+#: farther than this is rejected.
+NEAR_ENOUGH, FARTHEST = 0.93, 0.97
 LETTER = re.compile(r"[^\W\d_]")
 #: All ASCII but letters becomes a space; bytes of other scripts stay.
 _TO_SPACE = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -71,8 +72,8 @@ class CentroidModel:
         """(language, score, rejected) of each text."""
         names, scores, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         with_letters = [i for i, x in enumerate(texts) if x and LETTER.search(x)] if self.languages else []
-        for at in range(0, len(with_letters), 256):
-            rows = with_letters[at : at + 256]
+        for at in range(0, len(with_letters), 64):
+            rows = with_letters[at : at + 64]
             cosines = self.similar(np.stack([gram_counts(texts[i]) for i in rows]))
             best = cosines.argmax(axis=1)
             for i, k in zip(rows, best, strict=True):
@@ -117,7 +118,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
                     yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([slots.astype(np.uint16).tobytes()], pa.binary()), pa.array([counts[slots].astype(np.uint32).tobytes()], pa.binary())], ["lang", "slots", "counts"])
 
     chosen = known.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text")  # a bounded sample
-    rows = sorted(chosen.mapInArrow(sparse, "lang string, slots binary, counts binary").collect(), key=lambda r: (r[0], bytes(r[1]), bytes(r[2])))
+    rows = sorted(common.in_arrow(chosen, sparse, "lang string, slots binary, counts binary").collect(), key=lambda r: (r[0], bytes(r[1]), bytes(r[2])))
     counts = np.zeros((len(rows), DIMENSIONS), np.float32)
     for i, (_, slots, n) in enumerate(rows):
         counts[i, np.frombuffer(slots, np.uint16)] = np.frombuffer(n, np.uint32)
@@ -132,13 +133,15 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     model.centroids = np.concatenate(parts)
     model.owner = np.repeat(np.arange(len(languages)), [len(p) for p in parts])
     cosines = np.concatenate([model.similar(counts[i : i + 256]) for i in range(0, len(counts), 256)])
-    model.limit = float(min(FARTHEST, (1 - cosines[np.arange(len(own)), own]).max() * MARGIN))
+    model.limit = float(np.clip((1 - cosines[np.arange(len(own)), own]).max() * MARGIN, NEAR_ENOUGH, FARTHEST))
     return model
 
 
 def language_of(model: CentroidModel, text: Column) -> Column:
     """struct(lang_pred, score, rejected) of a text column."""
 
+    common.small_batches(SparkSession.active())
+
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
