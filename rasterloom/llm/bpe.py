@@ -22,8 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm import common
+
 #: Encoded pieces that a Python worker remembers, in each of two generations.
-PIECES = 500_000
+PIECES = 350_000
 _NO_TOKEN = -1
 
 
@@ -103,7 +105,7 @@ class Bpe:
         key = left << 32 | right
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > 500_000:
                 self._fits.clear()
             known = self._fits[key] = self._crosses_not(left, right)
         return known
@@ -193,4 +195,4 @@ def encode_table(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str =
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names)
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, schema)
+    return common.in_arrow(chosen, run, schema)

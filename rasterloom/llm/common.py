@@ -35,10 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, so a lost executor costs no recomputation."""
+def stage(df: DataFrame, name: str, rows: int | None = None, rows_per_file: int = 100_000) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage, so a lost executor costs no recomputation.
+
+    rows: a bound on its rows, if one is known. A small table is then written in few files, however many partitions it
+    has; a large one keeps them all.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stages/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // rows_per_file)))
     df.write.parquet(path)
     _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -38,6 +38,8 @@ ORDERS = 3
 #: Pairs to be weighed (not made) beyond this multiple of the texts in buckets call for another round of hubs first.
 PAIRS_PER_TEXT = 200
 MAX_HUB_ROUNDS = 4
+#: Pairs that one task compares, where there are few in all.
+PAIRS_PER_TASK = 5000
 
 
 class WordHashes(dict):
@@ -218,7 +220,7 @@ def may_link(n: Column, place: Column, m: Column, other: Column, num: int, den:
 
 def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text) that stand in some pair."""
-    ids = common.stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     return docs.join(common.checked(ids), "doc_id", "left_semi")
 
 
@@ -228,6 +230,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes, width: int, num: int, d
     Sets are only formed for texts in pairs that pass the orders, so little but true links is ever moved.
     """
     orders = [f"order{k}" for k in range(1, ORDERS)]
+    n = pairs.count()
     prefixes = common.stage(order_table(texts_of(docs, pairs), classes, width, num, den), "orders")
     for side in ("a", "b"):
         pairs = pairs.join(prefixes.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), *[F.col(o).alias(f"{o}_{side}") for o in orders]), side)
@@ -235,7 +238,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes, width: int, num: int, d
         pairs = pairs.withColumn("first", F.get(F.array_intersect(f"{o}_a", f"{o}_b"), F.lit(0))).where("first is not null")
         at = [(F.array_position(f"{o}_{side}", F.col("first")) - 1).cast("int") for side in ("a", "b")]
         pairs = pairs.where(may_link(F.col("n_a"), at[0], F.col("n_b"), at[1], num, den))
-    pairs = common.stage(pairs.select("a", "b"), "passed")
+    pairs = common.stage(pairs.select("a", "b"), "passed", n, PAIRS_PER_TASK)
     sets = common.stage(set_table(texts_of(docs, pairs), width), "sets")
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("doc_id").alias(side), F.col("hashes").alias(f"set_{side}")), side)
@@ -261,33 +264,37 @@ def similar_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     sets = described.where("block is null").select("doc_id", "n", "sig")
     classes = spark.sparkContext.broadcast(frequency_classes(described.where("block is not null")))
     groups = sets.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    groups = common.stage(groups, "groups")
+    n_rows = described.count()
+    groups = common.stage(groups, "groups", n_rows)
     alone = groups.where("copies > 1")
     spare = sets.join(alone, "sig").where("doc_id <> rep").select("doc_id").distinct()
-    spare = common.checked(common.stage(spare, "spare"))
+    spare = common.checked(common.stage(spare, "spare", n_rows))
     reps = chosen.where("doc_id is not null").join(spare, "doc_id", "left_anti")
 
     prefixes = common.stage(prefix_table(reps, classes, width, num, den), "prefixes")
     # Most prefix shingles are in one text only; they go before anything wider than a count is moved. Each of these tables
     # is staged, so that the rows of a hot key can be split among tasks in the join.
+    n_prefixes = prefixes.count()
     several = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
-    several = prefixes.join(common.stage(several, "several"), "token")
-    several = common.stage(several, "buckets")
+    several = prefixes.join(common.stage(several, "several", n_prefixes), "token")
+    several = common.stage(several, "buckets", n_prefixes)
     # Shingles of one passage mostly have the same texts. Of buckets with equal texts (by their number and two sums of
     # 64-bit hashes) the first in the order stays, which is the one with the smallest places; it yields the same pairs.
     member = F.xxhash64("doc_id")
     hubs = several.groupBy("token").agg(F.max("texts").alias("texts"), F.bit_xor(member).alias("x"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(38,0)")).alias("s"), F.sum("place").alias("places"), F.min(F.struct("doc_id", "n", "place")).alias("hub"))
     hubs = hubs.groupBy("texts", "x", "s").agg(F.min(F.struct("places", "token", "hub")).alias("kept")).select("kept.token", "kept.hub")
-    shared = common.stage(several.join(common.stage(hubs, "hubs"), "token"), "shared")
+    n_several = several.count()
+    shared = common.stage(several.join(common.stage(hubs, "hubs", n_several), "token"), "shared", n_several)
+    n_shared = shared.count()
     n_texts = shared.select("doc_id").distinct().count()
 
     def pair(x: Column, y: Column) -> list[Column]:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
     alike = may_link(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place"), num, den)
-    pairs = common.stage(shared.where(alike & (F.col("doc_id") != F.col("hub.doc_id"))).select(*pair(F.col("doc_id"), F.col("hub.doc_id"))).distinct(), "pairs")
+    pairs = common.stage(shared.where(alike & (F.col("doc_id") != F.col("hub.doc_id"))).select(*pair(F.col("doc_id"), F.col("hub.doc_id"))).distinct(), "pairs", n_shared)
     tried = pairs
-    edges = common.stage(verified(pairs, reps, classes, width, num, den), "links")
+    edges = common.stage(verified(pairs, reps, classes, width, num, den), "links", pairs.count(), PAIRS_PER_TASK)
     found = graph.components(edges)
     for turn in range(1, MAX_HUB_ROUNDS + 1):
         placed = shared.select("token", "doc_id", "n", "place", "texts").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -295,8 +302,8 @@ def similar_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
         # The hub of the turn stands for its component; min by a hash picks another text each time.
         seed = F.xxhash64("doc_id", F.lit(turn))
         turn_hubs = placed.groupBy("token").agg(F.min_by(F.struct("doc_id", "n", "place", "component"), seed).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").drop("low", "high")
-        turn_hubs = common.stage(turn_hubs, "hubs")
-        placed = common.stage(placed.join(turn_hubs, "token"), "placed")
+        turn_hubs = common.stage(turn_hubs, "hubs", n_shared)
+        placed = common.stage(placed.join(turn_hubs, "token"), "placed", n_shared)
         apart = placed.where("component <> hub.component")
         waiting = apart.agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0]
         last = waiting <= PAIRS_PER_TEXT * max(n_texts, 1) or turn == MAX_HUB_ROUNDS
@@ -310,7 +317,7 @@ def similar_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
         else:
             new = apart.where(alike).select(*pair(F.col("doc_id"), F.col("hub.doc_id")))
         new = common.stage(new.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = common.stage(verified(new, reps, classes, width, num, den), "links")
+        more = common.stage(verified(new, reps, classes, width, num, den), "links", new.count(), PAIRS_PER_TASK)
         if not more.isEmpty():
             edges = edges.unionByName(more)
             found = graph.components(edges)
@@ -327,5 +334,5 @@ def similar_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
 def keep_one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns unchanged, whose id is the smallest of its component; a null id stays."""
     found = similar_components(docs, width, num, den, id_col, text_col)
-    lost = common.stage(found.where("doc_id <> component_id").select("doc_id").distinct(), "lost").withColumnRenamed("doc_id", "__lost")
+    lost = common.stage(found.where("doc_id <> component_id").select("doc_id").distinct(), "lost", docs.count()).withColumnRenamed("doc_id", "__lost")
     return docs.join(common.checked(lost), docs[id_col].cast("long") == F.col("__lost"), "left_anti")
