@@ -6,8 +6,10 @@ letters they are made of. A word's probability is that of its class, given the s
 its class: a softmax over the class for frequent words, and smoothed counts over the whole corpus for rarer ones. Each
 rare class keeps a share for words that were never seen, so all probabilities add up to one.
 
-The network is trained on the driver by truncated backpropagation on a bounded sample of whole learning texts
-(train_tokens, chosen by a hash of the id). Texts are scored on the executors in lanes: windows of steps over many
+The network learns from all learning texts, once each, by truncated backpropagation. The driver begins with about
+train_tokens tokens of whole texts, chosen by a hash of id and text. All other texts are dealt by the same hash to parts
+of about PART_TOKENS tokens, in ROUNDS rounds: in each, the executors go on from the same weights with one part each,
+and the weights and Adagrad sums that they reach are averaged. Texts are scored on the executors in lanes: windows of steps over many
 texts at once, the state carried from window to window to the end of each text.
 
 Words beyond the head of the count table are not looked up from a broadcast: each text's tail words are joined with
@@ -28,6 +30,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,11 @@ HEAD_WORDS = 150_000
 TRAIN_TOKENS = 1_500_000
 STEPS = 16
 TRAIN_LANES = 64
+#: Learning on the executors: rounds of averaging, tokens of a part, its lanes, and pieces that weights are summed in.
+ROUNDS = 4
+PART_TOKENS = 2_000_000
+PART_LANES = 256
+PIECES = 64
 LANES = 512
 #: Words of a task that are scored together.
 CHUNK_WORDS = 3_000_000
@@ -245,12 +253,22 @@ class Gru:
         return found
 
 
+def start_sums(model: Gru) -> dict[str, np.ndarray]:
+    return {k: np.full_like(v, 1e-4) for k, v in vars(model).items()}
+
+
 def train(lexicon: Lexicon, texts: list[np.ndarray], rate: float = 0.05, epochs: int = 1, seed: int = 9) -> Gru:
-    """Adagrad over windows of STEPS tokens in TRAIN_LANES lanes; gradients stop at the window, states do not."""
-    model, rng = Gru.start(lexicon), np.random.default_rng(seed)
+    """A model that learned from texts alone."""
+    model = Gru.start(lexicon)
+    learn_texts(model, start_sums(model), texts, TRAIN_LANES, rate, epochs, seed)
+    return model
+
+
+def learn_texts(model: Gru, squares: dict[str, np.ndarray], texts: list[np.ndarray], lanes: int, rate: float = 0.05, epochs: int = 1, seed: int = 9) -> None:
+    """Adagrad over windows of STEPS tokens in lanes; gradients stop at the window, states do not. Changes model and squares."""
+    rng = np.random.default_rng(seed)
     if not texts:
-        return model
-    squares = {k: np.full_like(v, 1e-4) for k, v in vars(model).items()}
+        return
 
     def move(name: str, gradient: np.ndarray, rows=slice(None)) -> None:
         squares[name][rows] += gradient**2
@@ -261,9 +279,9 @@ def train(lexicon: Lexicon, texts: list[np.ndarray], rate: float = 0.05, epochs:
         stream = np.concatenate([texts[i] for i in order])
         fresh = np.zeros(len(stream), bool)
         fresh[np.r_[0, np.cumsum([len(texts[i]) for i in order])[:-1]]] = True
-        lanes = min(TRAIN_LANES, len(stream))
-        length = len(stream) // lanes
-        stream, fresh = (x[: lanes * length].reshape(lanes, length).T for x in (stream, fresh))
+        lanes = min(lanes, len(stream))
+        length = -(-len(stream) // lanes)  # the last lane fills up from the first text, so that no token is left out
+        stream, fresh = (np.resize(x, lanes * length).reshape(lanes, length).T for x in (stream, fresh))
         h = np.zeros((lanes, UNITS), np.float32)
         for at in range(0, length, STEPS):
             codes, new = stream[at : at + STEPS], fresh[at : at + STEPS]
@@ -316,11 +334,25 @@ def train(lexicon: Lexicon, texts: list[np.ndarray], rate: float = 0.05, epochs:
                 through = through * update + d_loop @ model.loop.T + back[t]
                 through *= ~first[:, None]
             move("loop", np.clip(on_loop, -1, 1))
-            words, inverse = np.unique(codes[::-1].ravel(), return_inverse=True)
-            summed = np.zeros((len(words), 3 * UNITS), np.float32)
-            np.add.at(summed, inverse, np.concatenate(on_inputs))
+            met = codes[::-1].ravel()
+            by_word = np.argsort(met, kind="stable")
+            words, begins = np.unique(met[by_word], return_index=True)
+            summed = np.add.reduceat(np.concatenate(on_inputs)[by_word], begins, axis=0)
             move("inputs", np.clip(summed, -1, 1), words)
-    return model
+
+
+def to_vector(model: Gru, squares: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([x.ravel() for x in (*vars(model).values(), *squares.values())])
+
+
+def from_vector(vector: np.ndarray, like: Gru) -> tuple[Gru, dict[str, np.ndarray]]:
+    """Copies of the weights and sums in a vector."""
+    found, at = [], 0
+    for x in (*vars(like).values(), *vars(like).values()):
+        found.append(vector[at : at + x.size].reshape(x.shape).astype(np.float32))
+        at += x.size
+    half = len(found) // 2
+    return Gru(*found[:half]), dict(zip(vars(like), found[half:], strict=True))
 
 
 def score_texts(model: Gru, texts: list[np.ndarray], lanes: int = LANES) -> np.ndarray:
@@ -373,17 +405,85 @@ def score_texts(model: Gru, texts: list[np.ndarray], lanes: int = LANES) -> np.n
     return found
 
 
-def sample_codes(learn: DataFrame, lexicon: Lexicon, train_tokens: int, id_col: str, text_col: str) -> list[np.ndarray]:
-    share = min(1.0, train_tokens / max(lexicon.total, 1))
-    bar = F.crc32(F.concat(F.lit("lm:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")) < F.lit(int(share * (1 << 32)))
+def encoded(learn: DataFrame, lexicon: Lexicon, bar: int, parts: int, id_col: str, text_col: str) -> DataFrame:
+    """(part, codes) of each learning text, dealt by a hash of id and text: part -1 below the bar, of 1 << 32, else 0 to parts - 1."""
+    text = F.col(text_col).cast("string")
+    place = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), text), 32)
+    part = F.when(place < bar, F.lit(-1)).otherwise(F.floor((place - bar) * F.lit(parts) / F.lit(float(max(1, (1 << 32) - bar))))).cast("int")
     shared = learn.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([shared.value.encode(b)[0].astype(np.int32).tobytes() for b in common.lowered(batch.column(0))], pa.binary())], ["codes"])
+            codes = [shared.value.encode(b)[0].astype(np.uint16).tobytes() for b in common.lowered(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], ["part", "codes"])
+
+    return common.in_arrow(learn.select(part.alias("part"), text.alias("text")), run, "part int, codes binary")
+
 
-    rows = common.in_arrow(learn.where(bar).select(F.col(text_col).cast("string").alias("text")), run, "codes binary").collect()
-    return [np.frombuffer(x, np.int32) for x in sorted(bytes(r[0]) for r in rows)]
+def learn_round(coded: DataFrame, model: Gru, squares: dict[str, np.ndarray], first: int, parts: int) -> tuple[Gru, dict[str, np.ndarray], int]:
+    """Learn from parts first to first + parts - 1 of the table, each from the same weights, and average by tokens.
+
+    Weights and sums travel in pieces, each summed in one place, so that only one model reaches the driver.
+    """
+    context = coded.sparkSession.sparkContext
+    shared = context.broadcast((model, squares))  # of a fixed size
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pieces() -> pa.RecordBatch:
+            own, sums = from_vector(to_vector(*shared.value), shared.value[0])
+            n = sum(map(len, texts))
+            learn_texts(own, sums, texts, max(1, min(PART_LANES, n // (4 * STEPS))))
+            found = [x.tobytes() for x in np.array_split(to_vector(own, sums), PIECES)]
+            return pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([n] * PIECES, pa.int64()), pa.array(found, pa.binary())], ["piece", "n", "vector"])
+
+        at, texts = None, []
+        for batch in batches:
+            for part, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part != at and texts:
+                    yield pieces()
+                    texts.clear()
+                at = part
+                texts.append(np.frombuffer(codes, np.uint16))
+        if texts:
+            yield pieces()
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        tokens: Counter[int] = Counter()
+        for batch in batches:
+            for piece, n, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                x = np.frombuffer(vector, np.float32) * np.float64(n)
+                sums[piece] = sums[piece] + x if piece in sums else x
+                tokens[piece] += n
+        found = [(x / tokens[k]).astype(np.float32).tobytes() for k, x in sums.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([tokens[k] for k in sums], pa.int64()), pa.array(found, pa.binary())], ["piece", "n", "vector"])
+
+    schema = "piece int, n long, vector binary"
+    own = coded.where((F.col("part") >= first) & (F.col("part") < first + parts))
+    dealt = own.repartitionById(parts, F.col("part") - F.lit(first)).sortWithinPartitions("part", "codes")
+    rows = common.in_arrow(common.in_arrow(dealt, learned, schema).repartition("piece"), summed, schema).collect()
+    shared.unpersist()
+    if not rows:
+        return model, squares, 0
+    vector = np.concatenate([np.frombuffer(r["vector"], np.float32) for r in sorted(rows, key=lambda r: r["piece"])])
+    return *from_vector(vector, model), rows[0]["n"]
+
+
+def fit(learn: DataFrame, lexicon: Lexicon, train_tokens: int = TRAIN_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> tuple[Gru, int]:
+    """The model of all learning texts, and the number of tokens that it learned from, which is that of all."""
+    bar = int(min(1.0, train_tokens / max(lexicon.total, 1)) * (1 << 32))
+    parts = max(1, -(-max(0, lexicon.total - train_tokens) // (ROUNDS * PART_TOKENS)))
+    coded = encoded(learn, lexicon, bar, ROUNDS * parts, id_col, text_col).persist(StorageLevel.DISK_ONLY)  # read in every round
+    begun = [np.frombuffer(x, np.uint16) for x in sorted(bytes(r[0]) for r in coded.where("part < 0").select("codes").collect())]
+    model = Gru.start(lexicon)
+    squares = start_sums(model)
+    learn_texts(model, squares, begun, TRAIN_LANES)
+    learned = sum(map(len, begun))
+    for k in range(ROUNDS if learned < lexicon.total else 0):
+        model, squares, n = learn_round(coded, model, squares, k * parts, parts)
+        learned += n
+    coded.unpersist()
+    return model, learned
 
 
 def score_table(docs: DataFrame, held_out: Column, train_tokens: int = TRAIN_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -395,7 +495,7 @@ def score_table(docs: DataFrame, held_out: Column, train_tokens: int = TRAIN_TOK
     learn = docs.where(~held_out)
     counts = common.stage(count_words(learn, text_col), "counts")
     lexicon = build_lexicon(counts)
-    model = train(lexicon, sample_codes(learn, lexicon, train_tokens, id_col, text_col))
+    model, _ = fit(learn, lexicon, train_tokens, id_col, text_col)
     shared = spark.sparkContext.broadcast((lexicon, model))  # of bounded size
     schema = "row long, doc_id long, held_out boolean, word binary, times long, n_tokens long, n_known long, base double, score double"
     kinds, names = common.arrow_types(schema), [f.split()[0] for f in schema.split(", ")]

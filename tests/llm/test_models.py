@@ -213,3 +213,20 @@ def test_language_model_of_odd_and_empty_tables(odd_docs, no_docs, clashing):
     unlearned = gru_lm.score_table(odd_docs, F.lit(True)).collect()
     assert {r["train_tokens"] for r in unlearned} == {0}
     assert all(abs(r["base_score"]) < 1e-12 for r in unlearned)
+
+
+def test_the_network_learns_from_all_texts(spark, monkeypatch):
+    """However few tokens the driver begins with, every learning token is learned from, and what they show is known."""
+    monkeypatch.setattr(gru_lm, "PART_TOKENS", 2000)
+    rng = np.random.default_rng(6)
+    cycle = [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join(cycle[(at + k) % 40] for k in range(70))) for i, at in enumerate(rng.integers(0, 40, 600))]
+    docs = spark.createDataFrame([*rows, (600, None), (600, ""), (None, "w1 w2")], "doc_id long, text string").repartition(3)
+    counts = gru_lm.count_words(docs).cache()
+    lexicon = gru_lm.build_lexicon(counts)
+    assert lexicon.total == 600 * 71 + 2 + 3
+    assert [gru_lm.fit(docs, lexicon, n)[1] for n in (0, 5000, 10**6)] == [lexicon.total] * 3
+    again = gru_lm.fit(docs.repartition(7), lexicon, 5000)[0]
+    assert np.allclose(gru_lm.fit(docs, lexicon, 5000)[0].loop, again.loop, atol=1e-5)
+    found = gru_lm.score_table(docs, F.lit(False), train_tokens=1).collect()
+    assert sum(r["score"] for r in found) > 0.8 * sum(r["base_score"] for r in found)
