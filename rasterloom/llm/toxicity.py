@@ -3,11 +3,13 @@
 A word's vector is the sum of two hashed embeddings, of the word and of its first letters. Filters of several widths
 slide over the words of a text, each is max-pooled over the whole text, and a logistic layer reads the maxima. Only the
 windows that hold a maximum receive a gradient, so training is sparse. A threshold is then calibrated for each language
-on rows left out of the training, and scores are bent so that the threshold of a language lies at 0.5.
+on all labelled rows that the network did not learn from, by counts per bin of score that the executors gather, and scores
+are bent so that the threshold of a language lies at 0.5. A language without toxic or without clean rows there takes the
+threshold of all languages together.
 
 The language that selects a threshold is predicted from the text alone (nearest centroid); lang, source, ids and labels
-are never read when scoring. Fitting uses a bounded sample of labelled rows (rows_per_label of each label, whole
-texts); scoring reads every row and whole texts.
+are never read when scoring. The network learns from a bounded sample of labelled rows (rows_per_label of each label,
+whole texts, a quarter of them set aside); scoring reads every row and whole texts.
 
 Cases: a null or empty text is scored from zero maxima; a text of one word fills up with empty words; with labels of
 one kind only, or none, every score is that of the base rate; rows that repeat score alike.
@@ -34,6 +36,8 @@ FILTERS = 8
 SIZE = 12
 #: Empty words after each text, so that no window reaches into the next one.
 GAP = max(WIDTHS)
+#: Bins of equal width that scores are counted in for the thresholds.
+BINS = 4096
 #: Words taken through the filters at once.
 CHUNK_WORDS = 200_000
 _PUNCTUATION = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
@@ -203,18 +207,60 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 6, batch: i
     return model
 
 
-def best_threshold(p: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
-    """The threshold of the best F1 under row weights; in the middle of the gap to the next lower score."""
-    if len(p) < 20 or not 0 < labels.mean() < 1:
-        return 0.5
-    order = np.argsort(-p, kind="stable")
-    p, hit = p[order], np.cumsum((labels * weights)[order])
-    wrong = np.cumsum(((1 - labels) * weights)[order])
-    f1 = 2 * hit / (hit + wrong + (labels * weights).sum())
-    last = np.r_[p[1:] != p[:-1], True]
-    k = int(np.where(last, f1, -1).argmax())
-    below = p[k + 1] if k + 1 < len(p) else 0.0
-    return float(np.clip((p[k] + below) / 2, 0.02, 0.98))
+def best_threshold(toxic: np.ndarray, clean: np.ndarray) -> float | None:
+    """The threshold of the best F1 over weights per bin of score; in the middle of the gap to the next lower bin in use.
+    None if one of the labels is missing."""
+    if not (toxic.any() and clean.any()):
+        return None
+    hit, wrong = toxic[::-1].cumsum()[::-1], clean[::-1].cumsum()[::-1]
+    used = toxic + clean > 0
+    f1 = np.where(used, 2 * hit / np.maximum(hit + wrong + toxic.sum(), 1e-9), -1)
+    k = len(f1) - 1 - int(f1[::-1].argmax())
+    below = np.flatnonzero(used[:k])
+    low = (below[-1] + 1) / BINS if len(below) else 0.0
+    return float(np.clip((k / BINS + low) / 2, 0.02, 0.98))
+
+
+def count_scores(learnable: DataFrame, marked: DataFrame, model: ToxicModel, trained: set[int]) -> DataFrame:
+    """(lang, toxic, bin, n) over all rows of learnable that are marked; bin -1 for rows that the network learned from.
+
+    Rows are scored before they meet their labels, so that no text is shuffled.
+    """
+    shared = learnable.sparkSession.sparkContext.broadcast((model, trained))  # of a fixed size
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, trained = shared.value
+        for batch in batches:
+            p = model.raw([word_slots(t) for t in batch.column(2).to_pylist()])
+            found = np.minimum((p * BINS).astype(np.int32), BINS - 1)
+            found[[i in trained for i in batch.column(0).to_pylist()]] = -1
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int32())], ["doc_id", "lang", "bin"])
+
+    chosen = learnable.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("lang"), F.col("text").cast("string"))
+    rows = common.in_arrow(chosen, bins, "doc_id long, lang string, bin int")
+    return rows.join(marked, "doc_id").groupBy("lang", "toxic", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def thresholds_of(counts: list) -> dict[str, float]:
+    """Thresholds by language, and under "" of all together, from the rows of count_scores. Rows of a language and label
+    that the network learned from are made up for by the weight of the others."""
+    tables: dict[str, np.ndarray] = {}
+    learned: dict[str, np.ndarray] = {}
+    for r in counts:
+        table, seen = tables.setdefault(r["lang"], np.zeros((2, BINS))), learned.setdefault(r["lang"], np.zeros(2))
+        if r["bin"] < 0:
+            seen[r["toxic"]] += r["n"]
+        else:
+            table[r["toxic"], r["bin"]] += r["n"]
+    for name, table in tables.items():
+        own = table.sum(axis=1)
+        table *= (1 + learned[name] / np.maximum(own, 1))[:, None]
+    if not tables:
+        return {}
+    found = {name: best_threshold(table[1], table[0]) for name, table in tables.items() if name}
+    whole = sum(tables.values())
+    over_all = best_threshold(whole[1], whole[0])
+    return {"": 0.5 if over_all is None else over_all} | {k: v for k, v in sorted(found.items()) if v is not None}
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> ToxicModel:
@@ -222,7 +268,6 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     learnable = docs.select("doc_id", "lang", "text")
     ids = marked.join(learnable.select("doc_id"), "doc_id", "left_semi")
-    counts = {r[0]: r[1] for r in ids.groupBy("toxic").count().collect()}
     sample = langid.hash_sample(ids, "doc_id", "toxic", rows_per_label, "toxic")
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,15 +281,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL
     aside = np.array([zlib.crc32(f"aside:{r[0]}".encode()) % 4 == 0 for r in rows], bool)
     learn = np.flatnonzero(~aside)
     model = train([texts[i] for i in learn], y[learn])
-    if aside.any():
-        p = model.raw([texts[i] for i in np.flatnonzero(aside)])
-        weight = np.array([counts.get(r[2], 1) for r in rows], float) / max(1, rows_per_label)
-        weight = np.maximum(weight, 1.0)[aside]
-        lang = np.array([r[1] for r in rows])[aside]
-        model.thresholds = {"": best_threshold(p, y[aside], weight)}
-        for name in sorted(set(lang) - {""}):
-            own = lang == name
-            model.thresholds[name] = best_threshold(p[own], y[aside][own], weight[own])
+    if rows:
+        model.thresholds = thresholds_of(count_scores(learnable, marked, model, {rows[i][0] for i in learn}).collect())
     model.languages = langid.fit(docs)
     return model
 

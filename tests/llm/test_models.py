@@ -123,6 +123,21 @@ def test_toxicity_without_labels(docs, spark, no_docs):
     assert toxicity.score_table(no_docs, model).count() == 0
 
 
+def test_thresholds_are_of_all_labelled_rows(marked, spark):
+    """A language of few rows has its own threshold; one without both labels takes the threshold of all."""
+    docs, labels, truth = marked
+    name = F.when(F.col("doc_id") % 20 == 0, "fr").when(F.col("doc_id") % 31 == 0, "it").otherwise(F.col("lang"))
+    docs = docs.withColumn("lang", name)
+    labels = labels.withColumn("toxic", F.when((F.col("doc_id") % 20 != 0) & (F.col("doc_id") % 31 == 0), 0).otherwise(F.col("toxic")))
+    model = toxicity.fit(docs, labels, rows_per_label=100)
+    assert set(model.thresholds) == {"", "en", "de", "fr"}
+    assert model.thresholds["fr"] != 0.5
+    counts = toxicity.count_scores(docs, labels, model, {0, 20, 40}).collect()
+    assert sum(r["n"] for r in counts) == len(truth)
+    assert sum(r["n"] for r in counts if r["bin"] < 0) == 3
+    assert sum(r["n"] for r in counts if r["lang"] == "fr") == 80
+
+
 # -- language model ----------------------------------------------------------------------------------------------
 
 
