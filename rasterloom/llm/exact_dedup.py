@@ -1,8 +1,8 @@
-"""Exact deduplication with counting quotient filters.
+"""Exact deduplication with sorted counted runs of fingerprints.
 
-Each partition packs the 64-bit fingerprints of its texts into a counting quotient filter: the high bits (the
-quotient) choose a block, the low bits (the remainder) are kept in sorted order with a count. Filters of one block
-merge without loss by a sorted merge of their remainders. Fingerprints whose merged count is above one name the only
+Each partition packs the 64-bit fingerprints of its texts into runs: the high bits choose a block, in which the whole
+fingerprints are kept in sorted order with a count. It is a counting filter without quotienting: no remainders are cut
+off. Runs of one block merge without loss by a sorted merge. Fingerprints whose merged count is above one name the only
 texts that can have a copy; those texts, and no others, are compared byte by byte.
 
 Cases: a null text counts as empty; empty texts equal each other; rows that repeat one doc_id with one text count
@@ -28,7 +28,7 @@ BLOCK_FINGERPRINTS = 100_000
 
 
 class CountingQuotientFilter:
-    """Sorted remainders with counts, for each block of quotients; 64-bit fingerprints are stored without loss."""
+    """Sorted whole 64-bit fingerprints with counts, for each block of high bits; no remainders, in spite of the name."""
 
     def __init__(self, block_bits: int):
         self.block_bits = block_bits
