@@ -267,7 +267,10 @@ def similar_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     n_rows = described.count()
     groups = common.stage(groups, "groups", n_rows)
     alone = groups.where("copies > 1")
-    spare = sets.join(alone, "sig").where("doc_id <> rep").select("doc_id").distinct()
+    # An id that has other texts too stays with all of them: what links to those must still find it.
+    several_sets = F.min("sig") != F.max("sig")
+    single = sets.where("doc_id is not null").groupBy("doc_id").agg(several_sets.alias("several")).where("not several").select("doc_id")
+    spare = sets.join(alone, "sig").where("doc_id <> rep").select("doc_id").distinct().join(single, "doc_id", "left_semi")
     spare = common.checked(common.stage(spare, "spare", n_rows))
     reps = chosen.where("doc_id is not null").join(spare, "doc_id", "left_anti")
 

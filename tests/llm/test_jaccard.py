@@ -87,3 +87,12 @@ def test_columns_and_empty_tables(clashing, no_docs):
     assert all(r["hub"] == f"hub{r['doc_id']}" for r in kept.collect())
     assert jaccard.similar_components(no_docs).count() == 0
     assert jaccard.keep_one_of_each(no_docs).count() == 0
+
+
+def test_a_copy_with_another_text_under_its_id_stays(spark):
+    """Id 5 has the text of 3 and one that 9 nearly has, so all three are one component."""
+    rng = random.Random(12)
+    a, b = ([f"w{rng.randrange(5000)}" for _ in range(80)] for _ in range(2))
+    rows = [(3, " ".join(a)), (5, " ".join(a)), (5, " ".join(b)), (9, " ".join([*b[:-1], "other"])), (12, "far from all of them")]
+    found = jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(3, 3), (5, 3), (5, 3), (9, 3), (12, 12)]
