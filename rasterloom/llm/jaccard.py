@@ -4,13 +4,16 @@ Each text is the set of its distinct word shingles, as 64-bit hashes. For a thre
 that is the same for all texts: two sets that link must share one of the first n - ceil(t n) + 1 shingles. This holds
 under every order, so a pair must pass it under each of several orders before the sets themselves are compared.
 
-* All orders put shingles that are frequent in the corpus last, by a count sketch of fixed size over all texts, and
-  differ in how they order shingles of like frequency. A sketch that counts too high costs time, never a link.
+* All orders put shingles that are frequent in the corpus last, by a count sketch over all texts, and differ in how they
+  order shingles of like frequency. A sketch that counts too high costs time, never a link. Counts are held against the
+  sketch's own noise, so shingles that would make large buckets stand out however large the corpus is.
 * Texts with equal sets are collapsed to one representative before the join; they share its component.
-* Buckets (texts sharing a prefix shingle) are never paired out in full. Each bucket first pairs its texts with one hub;
-  what links is merged; then only texts that lie in another component than the hub are paired with the rest of their
-  bucket. While that is still too much, the hubs' rounds are repeated with other hubs. Pairs inside one component are never
-  needed, so no link between components is lost.
+* Prefixes are dealt by shingle once; shingles in one prefix only are dropped where they arrive.
+* Buckets (texts sharing a prefix shingle) are never paired out in full. Each bucket first pairs its texts with one hub:
+  the text with the fewest rarer shingles before the common one, which is the least edited of a family of copies, and to
+  which all link that can link with many. What links is merged; then only texts that lie in another component than the
+  hub are paired with the rest of their bucket. While that is still too much, the hubs' rounds are repeated with hubs
+  from other components. Pairs inside one component are never needed, so no link between components is lost.
 
 Cases: null and empty texts have empty sets and link with nothing; with fewer words than a shingle holds, the whole
 text is one shingle; rows that repeat an id are one node; a null id has a null component; ties in the order are broken
@@ -37,9 +40,11 @@ SKETCH_BITS, BLOCK_BITS = 21, 16
 ORDERS = 3
 #: Pairs to be weighed (not made) beyond this multiple of the texts in buckets call for another round of hubs first.
 PAIRS_PER_TEXT = 200
-MAX_HUB_ROUNDS = 4
+MAX_HUB_ROUNDS = 3
 #: Pairs that one task compares, where there are few in all.
 PAIRS_PER_TASK = 5000
+#: Prefix rows of one shingle that one task takes, by the sketch; those of a more frequent one are dealt to several.
+SALT_BITS = 15
 
 
 class WordHashes(dict):
@@ -135,7 +140,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, kinds[1]), pa.array(sig, kinds[2]), *[none.cast(k) for k in kinds[3:]]], names)
         poured()
         part = TaskContext.get().partitionId() >> 7
-        for block, counts in enumerate(np.split(np.minimum(counters, 65535).astype(np.uint16), 1 << SKETCH_BITS - BLOCK_BITS)):
+        for block, counts in enumerate(np.split(counters.astype(np.uint32), 1 << SKETCH_BITS - BLOCK_BITS)):
             if counts.any():
                 none = [pa.nulls(1).cast(k) for k in kinds[:3]]
                 yield pa.RecordBatch.from_arrays([*none, pa.array([block], kinds[3]), pa.array([part], kinds[4]), pa.array([zlib.compress(counts.tobytes(), 1)], kinds[5])], names)
@@ -144,69 +149,90 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
 
 
 def frequency_classes(blocks: DataFrame) -> np.ndarray:
-    """One byte per counter of the summed sketch: twice the logarithm of the count. 2 MB, whatever the corpus."""
+    """One byte per counter of the summed sketch: twice the logarithm of what the count is above the sketch's median, which
+    is the noise that other shingles leave in a counter. 2 MB, whatever the corpus."""
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(c), np.uint16).astype(np.int64) for c in frame["counters"])
-        return pd.DataFrame({"block": frame["block"].iloc[:1], "counters": [zlib.compress(np.minimum(total, 65535).astype(np.uint16).tobytes(), 1)]})
+        total = sum(np.frombuffer(zlib.decompress(c), np.uint32 if part >= 0 else np.int64).astype(np.int64) for part, c in zip(frame["part"], frame["counters"], strict=True))
+        return pd.DataFrame({"block": frame["block"].iloc[:1], "part": [-1], "counters": [zlib.compress(total.tobytes(), 1)]})
 
-    schema = "block int, counters binary"
+    schema = "block int, part int, counters binary"
     groups = blocks.groupBy("block", "part").applyInPandas(add, schema)  # 128 partitions at most in a group
-    # Saturated counters stay saturated: beyond 65,535 a shingle is simply among the most frequent.
     total = groups.groupBy("block").applyInPandas(add, schema)
-    classes = np.zeros((1 << SKETCH_BITS - BLOCK_BITS, 1 << BLOCK_BITS), np.uint8)
-    for block, counters in total.collect():
-        classes[block] = (2 * np.log2(np.maximum(np.frombuffer(zlib.decompress(counters), np.uint16), 1))).astype(np.uint8)
-    return classes.ravel()
+    counts = np.zeros((1 << SKETCH_BITS - BLOCK_BITS, 1 << BLOCK_BITS), np.int64)
+    for block, _, counters in total.collect():
+        counts[block] = np.frombuffer(zlib.decompress(counters), np.int64)
+    counts = counts.ravel()
+    return (2 * np.log2(np.maximum(counts - int(np.median(counts)), 0) + 1)).astype(np.uint8)
 
 
 def prefix_table(docs: DataFrame, classes, width: int, num: int, den: int) -> DataFrame:
-    """(token, doc_id, n, place): the prefix of each set under the first order, with each shingle's place in it."""
+    """(token, salt, doc_id, n, place): the prefix of each set under the first order, with each shingle's place in it.
+
+    salt is -1, but for shingles that the sketch shows in more than 1 << SALT_BITS texts: these spread over several salts.
+    """
+    names = ["token", "salt", "doc_id", "n", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list[np.ndarray]] = [[] for _ in range(4)]
+            columns: list[list[np.ndarray]] = [[] for _ in names]
             for doc_id, body in zip(batch.column(0).to_pylist(), common.lowered(batch.column(1)), strict=True):
                 hashes = shingle_set(body, width)
                 if len(hashes):
                     found = prefix(hashes, classes.value, 0, num, den)
                     n = len(found)
-                    for out, x in zip(columns, (found.view(np.int64), np.full(n, doc_id, np.int64), np.full(n, len(hashes), np.int32), np.arange(n, dtype=np.int32)), strict=True):
+                    bits = np.maximum(classes.value[found >> np.uint64(64 - SKETCH_BITS)].astype(np.int64) // 2 - SALT_BITS, 0)
+                    own = int(mix(np.array([doc_id], np.int64).view(np.uint64))[0] >> np.uint64(40))
+                    salt = np.where(bits > 0, own & (1 << bits) - 1, -1)
+                    for out, x in zip(columns, (found.view(np.int64), salt.astype(np.int32), np.full(n, doc_id, np.int64), np.full(n, len(hashes), np.int32), np.arange(n, dtype=np.int32)), strict=True):
                         out.append(x)
             if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], ["token", "doc_id", "n", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names)
 
-    return common.in_arrow(docs, run, "token long, doc_id long, n int, place int", forget)
+    return common.in_arrow(docs, run, "token long, salt int, doc_id long, n int, place int", forget)
 
 
-def order_table(docs: DataFrame, classes, width: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, order1, ...): the prefixes of each set under the other orders."""
-    schema = "doc_id long, n int, " + ", ".join(f"order{k} array<long>" for k in range(1, ORDERS))
-    kinds, names = common.arrow_types(schema), [f.split()[0] for f in schema.split(", ")]
+def met_again(rows: DataFrame) -> DataFrame:
+    """Of rows sorted by token in each task, those (token, doc_id, n, place) whose token a neighbour has too, and all salted ones."""
+    names = ["token", "doc_id", "n", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, twin = None, False  # the row before, and whether its token is that of the row before it
         for batch in batches:
-            columns: list[list] = [[] for _ in names]
-            for doc_id, body in zip(batch.column(0).to_pylist(), common.lowered(batch.column(1)), strict=True):
-                hashes = shingle_set(body, width)
-                columns[0].append(doc_id)
-                columns[1].append(len(hashes))
-                for k in range(1, ORDERS):
-                    columns[1 + k].append(prefix(hashes, classes.value, k, num, den).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+            whole = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+            token = whole.column(0).to_numpy(zero_copy_only=False)
+            same = np.r_[twin, token[1:] == token[:-1]]
+            keep = same | np.r_[same[1:], False] | (whole.column(1).to_numpy(zero_copy_only=False) >= 0)
+            keep[-1] = False
+            yield whole.filter(pa.array(keep)).select([0, 2, 3, 4])
+            last, twin = whole.slice(len(whole) - 1), bool(same[-1])
+        if last is not None and (twin or last.column(1)[0].as_py() >= 0):
+            yield last.select([0, 2, 3, 4])
 
-    return common.in_arrow(docs, run, schema, forget)
+    return common.in_arrow(rows.select("token", "salt", *names[1:]), run, "token long, doc_id long, n int, place int")
 
 
-def set_table(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, hashes): the sets themselves."""
+def filter_table(docs: DataFrame, classes, width: int, num: int, den: int) -> DataFrame:
+    """(doc_id, order1, ..., hashes): the prefixes of each set under the other orders, and the set."""
+    names = ["doc_id", *[f"order{k}" for k in range(1, ORDERS)], "hashes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(body, width).tobytes() for body in common.lowered(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "hashes"])
+            columns: list[list] = [[] for _ in names[1:]]
+            for body in common.lowered(batch.column(1)):
+                hashes = shingle_set(body, width)
+                for k in range(1, ORDERS):
+                    columns[k - 1].append(prefix(hashes, classes.value, k, num, den).tobytes())
+                columns[-1].append(hashes.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.binary()) for c in columns]], names)
 
-    return common.in_arrow(docs, run, "doc_id long, hashes binary", forget)
+    return common.in_arrow(docs, run, "doc_id long, " + ", ".join(f"{c} binary" for c in names[1:]), forget)
+
+
+def first_common(x: np.ndarray, y: np.ndarray) -> tuple[int, int] | None:
+    """Places in x and y of the first value of x that y has too; values of one array differ."""
+    hit = np.flatnonzero(np.isin(x, y, assume_unique=True))
+    return (int(hit[0]), int(np.flatnonzero(y == x[hit[0]])[0])) if len(hit) else None
 
 
 def may_link(n: Column, place: Column, m: Column, other: Column, num: int, den: int) -> Column:
@@ -225,101 +251,116 @@ def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link: under every order their first common shingle comes early enough, and their sets are alike.
-
-    Sets are only formed for texts in pairs that pass the orders, so little but true links is ever moved.
-    """
+    """The pairs (a, b) that link. A pair must pass the filter of every other order before its sets are compared."""
     orders = [f"order{k}" for k in range(1, ORDERS)]
-    n = pairs.count()
-    prefixes = common.stage(order_table(texts_of(docs, pairs), classes, width, num, den), "orders")
-    for side in ("a", "b"):
-        pairs = pairs.join(prefixes.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), *[F.col(o).alias(f"{o}_{side}") for o in orders]), side)
-    for o in orders:
-        pairs = pairs.withColumn("first", F.get(F.array_intersect(f"{o}_a", f"{o}_b"), F.lit(0))).where("first is not null")
-        at = [(F.array_position(f"{o}_{side}", F.col("first")) - 1).cast("int") for side in ("a", "b")]
-        pairs = pairs.where(may_link(F.col("n_a"), at[0], F.col("n_b"), at[1], num, den))
-    pairs = common.stage(pairs.select("a", "b"), "passed", n, PAIRS_PER_TASK)
-    sets = common.stage(set_table(texts_of(docs, pairs), width), "sets")
+    table = common.stage(filter_table(texts_of(docs, pairs), classes, width, num, den), "filters")
     for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("doc_id").alias(side), F.col("hashes").alias(f"set_{side}")), side)
+        pairs = pairs.join(table.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in (*orders, "hashes")]), side)
+
+    def links(left: list[np.ndarray], right: list[np.ndarray]) -> bool:
+        """left, right: prefixes under the orders, then the set."""
+        n, m = len(left[-1]), len(right[-1])
+        for x, y in zip(left[:-1], right[:-1], strict=True):
+            at = first_common(x, y)
+            if at is None or min(n - at[0], m - at[1]) * (num + den) < (n + m) * num:
+                return False
+        both = len(np.intersect1d(left[-1], right[-1], assume_unique=True))
+        return both * den >= num * (n + m - both)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both * den >= num * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
+            sides = [[[np.frombuffer(x.as_buffer(), np.uint64) for x in row] for row in zip(*(batch.column(k) for k in ks), strict=True)] for ks in (range(2, 2 + ORDERS), range(2 + ORDERS, 2 + 2 * ORDERS))]
+            mask = pa.array([links(x, y) for x, y in zip(*sides, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    return common.in_arrow(pairs.select("a", "b", "set_a", "set_b"), compare, "a long, b long")
+    return common.in_arrow(pairs.select("a", "b", *[f"{c}_{side}" for side in ("a", "b") for c in (*orders, "hashes")]), compare, "a long, b long")
 
 
 def similar_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, where sets link if den * common >= num * union."""
     spark = docs.sparkSession
     chosen = _chosen(docs, id_col, text_col)
-    described = common.stage(describe(chosen, width), "described")
-    sets = described.where("block is null").select("doc_id", "n", "sig")
-    classes = spark.sparkContext.broadcast(frequency_classes(described.where("block is not null")))
-    groups = sets.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    n_rows = described.count()
-    groups = common.stage(groups, "groups", n_rows)
+    with common.Staging(spark) as own:
+        described = common.stage(describe(chosen, width), "described")
+        sets = described.where("block is null").select("doc_id", "n", "sig")
+        classes = spark.sparkContext.broadcast(frequency_classes(described.where("block is not null")))  # of a fixed size
+        n_rows = described.count()
+        groups = sets.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+        groups = common.stage(groups, "groups", n_rows)
+        found = linked_components(_representatives(chosen, sets, groups, n_rows), classes, width, num, den)
+        of_set = groups.join(found, groups["rep"] == found["node"], "left").where("copies > 1 or component is not null")
+        of_set = of_set.select("sig", F.coalesce("component", "rep").alias("component"))
+        placed = sets.join(of_set, "sig", "left")
+        component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+        placed = placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+        return own.keep(common.stage(placed, "components"))
+
+
+def _representatives(chosen: DataFrame, sets: DataFrame, groups: DataFrame, n_rows: int) -> DataFrame:
+    """The rows of chosen that take part in the search: of equal sets one, and all texts of an id that has several."""
     alone = groups.where("copies > 1")
     # An id that has other texts too stays with all of them: what links to those must still find it.
     several_sets = F.min("sig") != F.max("sig")
     single = sets.where("doc_id is not null").groupBy("doc_id").agg(several_sets.alias("several")).where("not several").select("doc_id")
     spare = sets.join(alone, "sig").where("doc_id <> rep").select("doc_id").distinct().join(single, "doc_id", "left_semi")
     spare = common.checked(common.stage(spare, "spare", n_rows))
-    reps = chosen.where("doc_id is not null").join(spare, "doc_id", "left_anti")
-
-    prefixes = common.stage(prefix_table(reps, classes, width, num, den), "prefixes")
-    # Most prefix shingles are in one text only; they go before anything wider than a count is moved. Each of these tables
-    # is staged, so that the rows of a hot key can be split among tasks in the join.
-    n_prefixes = prefixes.count()
-    several = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
-    several = prefixes.join(common.stage(several, "several", n_prefixes), "token")
-    several = common.stage(several, "buckets", n_prefixes)
+    return chosen.where("doc_id is not null").join(spare, "doc_id", "left_anti")
+
+
+def buckets_of(reps: DataFrame, classes, width: int, num: int, den: int) -> DataFrame:
+    """(token, doc_id, n, place, texts, hub): prefix shingles that several texts have, and the hub of their bucket."""
+    dealt = prefix_table(reps, classes, width, num, den).repartition("token", "salt").sortWithinPartitions("token")
+    rows = common.stage(met_again(dealt), "buckets")
+    n_rows = rows.count()
     # Shingles of one passage mostly have the same texts. Of buckets with equal texts (by their number and two sums of
     # 64-bit hashes) the first in the order stays, which is the one with the smallest places; it yields the same pairs.
     member = F.xxhash64("doc_id")
-    hubs = several.groupBy("token").agg(F.max("texts").alias("texts"), F.bit_xor(member).alias("x"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(38,0)")).alias("s"), F.sum("place").alias("places"), F.min(F.struct("doc_id", "n", "place")).alias("hub"))
-    hubs = hubs.groupBy("texts", "x", "s").agg(F.min(F.struct("places", "token", "hub")).alias("kept")).select("kept.token", "kept.hub")
-    n_several = several.count()
-    shared = common.stage(several.join(common.stage(hubs, "hubs", n_several), "token"), "shared", n_several)
+    hubs = rows.groupBy("token").agg(F.count(F.lit(1)).alias("texts"), F.bit_xor(member).alias("x"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(38,0)")).alias("s"), F.sum("place").alias("places"), F.min(F.struct("place", "doc_id", "n")).alias("hub"))
+    hubs = hubs.where("texts > 1").groupBy("texts", "x", "s").agg(F.min(F.struct("places", "token", "hub")).alias("kept")).select("kept.token", "texts", "kept.hub")
+    # Both sides are staged, so that the rows of a hot key can be split among tasks in the join.
+    return common.stage(rows.join(common.stage(hubs, "hubs", n_rows), "token"), "shared", n_rows)
+
+
+def linked_components(reps: DataFrame, classes, width: int, num: int, den: int) -> DataFrame:
+    """(node, component) of the texts that link with another one."""
+    shared = buckets_of(reps, classes, width, num, den)
     n_shared = shared.count()
     n_texts = shared.select("doc_id").distinct().count()
+    alike = may_link(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place"), num, den)
+
+    def with_hub(rows: DataFrame) -> DataFrame:
+        return rows.where(alike & (F.col("doc_id") != F.col("hub.doc_id"))).select(*pair(F.col("doc_id"), F.col("hub.doc_id"))).distinct()
 
     def pair(x: Column, y: Column) -> list[Column]:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-    alike = may_link(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place"), num, den)
-    pairs = common.stage(shared.where(alike & (F.col("doc_id") != F.col("hub.doc_id"))).select(*pair(F.col("doc_id"), F.col("hub.doc_id"))).distinct(), "pairs", n_shared)
-    tried = pairs
+    pairs = tried = common.stage(with_hub(shared), "pairs", n_shared)
     edges = common.stage(verified(pairs, reps, classes, width, num, den), "links", pairs.count(), PAIRS_PER_TASK)
     found = graph.components(edges)
     for turn in range(1, MAX_HUB_ROUNDS + 1):
-        placed = shared.select("token", "doc_id", "n", "place", "texts").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        placed = shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
-        # The hub of the turn stands for its component; min by a hash picks another text each time.
-        seed = F.xxhash64("doc_id", F.lit(turn))
-        turn_hubs = placed.groupBy("token").agg(F.min_by(F.struct("doc_id", "n", "place", "component"), seed).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").drop("low", "high")
+        # Next hubs come from outside the first hub's component: the most central text there, and then any.
+        rank = F.col("place").cast("long") if turn == 1 else F.xxhash64("doc_id", F.lit(turn))
+        outside = F.when(F.col("component") != F.col("hub_component"), F.struct(rank.alias("rank"), "doc_id", "n", "place", "component"))
+        first = found.select(F.col("node").alias("hub_id"), F.col("component").alias("hub_component"))
+        first = placed.withColumn("hub_id", F.col("hub.doc_id")).join(first, "hub_id", "left").withColumn("hub_component", F.coalesce("hub_component", "hub_id"))
+        turn_hubs = first.groupBy("token").agg(F.min(outside).alias("hub")).where("hub is not null")
         turn_hubs = common.stage(turn_hubs, "hubs", n_shared)
-        placed = common.stage(placed.join(turn_hubs, "token"), "placed", n_shared)
+        placed = common.stage(placed.drop("hub").join(turn_hubs, "token"), "placed", n_shared)
         apart = placed.where("component <> hub.component")
         waiting = apart.agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0]
-        last = waiting <= PAIRS_PER_TEXT * max(n_texts, 1) or turn == MAX_HUB_ROUNDS
         if waiting == 0:
             break
+        last = waiting <= PAIRS_PER_TEXT * max(n_texts, 1) or turn == MAX_HUB_ROUNDS
         if last:
             one = apart.select("token", *[F.col(c).alias(f"{c}_1") for c in ("doc_id", "n", "place", "component")])
             two = placed.select("token", "doc_id", "n", "place", "component")
             new = one.join(two, (one["token"] == two["token"]) & (F.col("component") != F.col("component_1")) & may_link(F.col("n"), F.col("place"), F.col("n_1"), F.col("place_1"), num, den))
-            new = new.select(*pair(F.col("doc_id"), F.col("doc_id_1")))
+            new = new.select(*pair(F.col("doc_id"), F.col("doc_id_1"))).distinct()
         else:
-            new = apart.where(alike).select(*pair(F.col("doc_id"), F.col("hub.doc_id")))
-        new = common.stage(new.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+            new = with_hub(apart)
+        new = common.stage(new.join(tried, ["a", "b"], "left_anti"), "pairs")
         more = common.stage(verified(new, reps, classes, width, num, den), "links", new.count(), PAIRS_PER_TASK)
         if not more.isEmpty():
             edges = edges.unionByName(more)
@@ -327,15 +368,15 @@ def similar_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
         tried = tried.unionByName(new)
         if last:
             break
-    of_set = groups.join(found, groups["rep"] == found["node"], "left").where("copies > 1 or component is not null")
-    of_set = of_set.select("sig", F.coalesce("component", "rep").alias("component"))
-    placed = sets.join(of_set, "sig", "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    return found
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns unchanged, whose id is the smallest of its component; a null id stays."""
-    found = similar_components(docs, width, num, den, id_col, text_col)
-    lost = common.stage(found.where("doc_id <> component_id").select("doc_id").distinct(), "lost", docs.count()).withColumnRenamed("doc_id", "__lost")
-    return docs.join(common.checked(lost), docs[id_col].cast("long") == F.col("__lost"), "left_anti")
+    with common.Staging(docs.sparkSession) as own:
+        found = similar_components(docs, width, num, den, id_col, text_col)
+        [name] = common.unused(docs, "lost")
+        lost = found.where("doc_id <> component_id").select("doc_id").distinct()
+        lost = own.keep(common.stage(lost, "lost", found.count()))
+        lost = common.checked(lost.withColumnRenamed("doc_id", name))
+    return docs.join(lost, docs[id_col].cast("long") == F.col(name), "left_anti")

@@ -80,7 +80,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = common.stage(blob_keys(docs, id_col, text_col), "blobs")
     first = keys.groupBy("blob").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
     known = None
-    if ledger is not None and _exists(spark, ledger):
+    if ledger is not None and common.exists(spark, ledger):
         known = spark.read.parquet(ledger).where(F.col("rule_version") == rule_version)
         first = first.join(known.select("blob").distinct(), "blob", "left_anti")
     first = common.stage(first, "unseen")
@@ -108,7 +108,3 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     findings = common.stage(findings.select("blob", "starts", "places", "ends").dropDuplicates(["blob"]), "findings")
     return keys.join(findings, "blob", "left")
 
-
-def _exists(spark, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

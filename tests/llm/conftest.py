@@ -14,14 +14,6 @@ def words_of(language: int, rng: random.Random, n: int) -> list[str]:
     return ["".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(n)]
 
 
-@pytest.fixture(scope="session", autouse=True)
-def no_leftovers(spark):
-    yield
-    from rasterloom.llm import common
-
-    common.clear_stages(spark)
-
-
 @pytest.fixture(scope="session")
 def corpus():
     """(doc_id, text, lang, source, n_chars) rows: prose in three languages with copies, near copies, shared passages,
