@@ -20,7 +20,6 @@ ORACLE_SQL = None
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: texts without a letter, or too far from every language, go."""
-    common.clear_stages(spark)
     model = langid.fit(docs.where(common.fold_of("doc_id", 4) != 2))
     found = docs.withColumn("__language", langid.language_of(model, F.col("text")))
     return found.where(~F.col("__language.rejected")).drop("__language")
@@ -28,25 +27,21 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact dedup: of equal texts, the one with the largest id stays."""
-    common.clear_stages(spark)
     return exact_dedup.keep_one_of_each(docs)
 
 
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join on five-word shingles at 0.8: of each component, the smallest id stays."""
-    common.clear_stages(spark)
     return jaccard.keep_one_of_each(docs, width=5, num=80, den=100)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: each document as often as its source's rate says."""
-    common.clear_stages(spark)
     return mixing.mixed(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: doc_id, n_tokens, ids_sha256, decoded_sha256, ids."""
-    common.clear_stages(spark)
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.encode_table(docs, ranks, public_tokenizers.PATTERN, with_ids=True)
 
@@ -61,11 +56,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
+    """All stages over the documents of sf_dir. Each stage's table goes once the next one is written; the last goes when
+    the driver ends."""
     docs = common.documents(spark, sf_dir)
     base = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    common.delete_at_end(spark, base)
+    before = None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
-    common.clear_stages(spark)
+        with common.Staging(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        if before is not None:
+            common.delete(spark, f"{base}/{before}")
+        docs, before = spark.read.parquet(f"{base}/{name}"), name
     return docs
