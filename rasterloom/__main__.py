@@ -9,7 +9,7 @@ import argparse
 import sys
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.model import RasterInfo, RunConfig
@@ -57,14 +57,16 @@ def parser() -> argparse.ArgumentParser:
 def one_run(spark: SparkSession, tiles: DataFrame, info: RasterInfo, chain: Chain, config: RunConfig, mode: str, output: str) -> DataFrame:
     """Run, write, and return the stats row. The time is that of the chain and its mosaic, the file's is not in it."""
     columns, rows = grid_size(info.width, info.height, config.tile_size)
-    if mode == "sequential":
+    one_task = mode == "sequential"
+    if one_task:
         tiles = tiles.coalesce(1)
+    seen = Observation()
     began = time.monotonic()
-    done = run_on_tiles(tiles, info, chain, config)
-    canvas = tile_ops.canvas_tiles(done, info, config.tile_size).cache()
+    done = run_on_tiles(tiles, info, chain, config, one_task).observe(seen, F.count(F.lit(1)).alias("written"))
+    canvas = tile_ops.canvas_tiles(done, info, config.tile_size, one_task).cache()
     canvas.count()
     seconds = time.monotonic() - began
-    written = done.select("tile_row", "tile_col").count()
+    written = seen.get["written"]
     tiff.write_tiff(canvas, info, output)
     canvas.unpersist()
     counters = (columns * rows, written, columns * rows - written, written)

@@ -68,13 +68,10 @@ def hsv_to_rgb(pixels: DataFrame) -> DataFrame:
     wide = wide.withColumn("chroma", F.col("value") * F.col("s")).withColumn("turn", (F.col("h") / _single(60)).cast("float"))
     wide = wide.withColumn("second", F.col("chroma") * (_single(1) - F.abs(F.col("turn") % _single(2) - _single(1))))
     wide = wide.withColumn("rest", F.col("value") - F.col("chroma")).withColumn("sector", F.floor("turn").cast("int") % 6)
-    zero = _single(0)
-    # Which of chroma, second and nothing each of r, g, b holds, sector by sector.
-    letters = {"c": F.col("chroma"), "x": F.col("second"), "0": zero}
-    samples = []
-    for held in ("cx00xc", "xccx00", "00xccx"):
-        value = F
-        for k, letter in enumerate(held[:5]):
-            value = value.when(F.col("sector") == k, letters[letter])
-        samples.append(_whole((value.otherwise(letters[held[5]]) + F.col("rest")) * _single(255) + _single(0.5)))
+    chroma, second, none, sector = F.col("chroma"), F.col("second"), _single(0), F.col("sector")
+    # Which of chroma, second and nothing red, green and blue hold in each sixth of the circle.
+    red = F.when(sector == 0, chroma).when(sector == 1, second).when(sector == 2, none).when(sector == 3, none).when(sector == 4, second).otherwise(chroma)
+    green = F.when(sector == 0, second).when(sector == 1, chroma).when(sector == 2, chroma).when(sector == 3, second).when(sector == 4, none).otherwise(none)
+    blue = F.when(sector == 0, none).when(sector == 1, none).when(sector == 2, second).when(sector == 3, chroma).when(sector == 4, chroma).otherwise(second)
+    samples = [_whole((held + F.col("rest")) * _single(255) + _single(0.5)) for held in (red, green, blue)]
     return by_sample(wide, samples)

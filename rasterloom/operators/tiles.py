@@ -46,7 +46,7 @@ def tiles_from_pixels(pixels: DataFrame, info: RasterInfo, tile_size: int) -> Da
     return tiled(pixels, info, tile_size).groupBy("tile_row", "tile_col").applyInPandas(assemble, TILE)
 
 
-def with_halo(tiles: DataFrame, info: RasterInfo, tile_size: int, halo: int, border: str) -> DataFrame:
+def with_halo(tiles: DataFrame, info: RasterInfo, tile_size: int, halo: int, border: str, one_task: bool = False) -> DataFrame:
     """Tiles of the whole image with their halos. Each tile sends its neighbours only the strips that they lack, so a
     shuffle moves the image once plus the strips."""
     if halo == 0:
@@ -82,7 +82,12 @@ def with_halo(tiles: DataFrame, info: RasterInfo, tile_size: int, halo: int, bor
         return pd.DataFrame({n: [v] for n, v in zip(_NAMES, values, strict=True)})
 
     sent = tiles.mapInArrow(strips, "tile_row int, tile_col int, y int, x int, h int, w int, piece binary")
-    return sent.groupBy("tile_row", "tile_col").applyInPandas(join, TILE)
+    return dealt(sent, ["tile_row", "tile_col"], one_task).groupBy("tile_row", "tile_col").applyInPandas(join, TILE)
+
+
+def dealt(rows: DataFrame, keys: list[str], one_task: bool) -> DataFrame:
+    """rows by their keys; in one task, if all is to run in sequence."""
+    return rows.coalesce(1).repartition(1, *keys) if one_task else rows
 
 
 def run_tiles(tiles: DataFrame, steps: list[Step], info: RasterInfo) -> DataFrame:
@@ -114,7 +119,7 @@ def pixels_from_tiles(tiles: DataFrame, info: RasterInfo) -> DataFrame:
     return tiles.mapInArrow(run, PIXEL)
 
 
-def canvas_tiles(tiles: DataFrame, canvas: RasterInfo, tile_size: int) -> DataFrame:
+def canvas_tiles(tiles: DataFrame, canvas: RasterInfo, tile_size: int, one_task: bool = False) -> DataFrame:
     """The whole canvas as a grid of tiles: pieces in raster order of the tiles they come from, so the last one wins,
     over zeros. A shuffle moves each piece once; samples are never rows."""
     columns, rows = grid_size(canvas.width, canvas.height, tile_size)
@@ -147,4 +152,5 @@ def canvas_tiles(tiles: DataFrame, canvas: RasterInfo, tile_size: int) -> DataFr
 
     blank = tiles.sparkSession.range(columns * rows).selectExpr(f"cast(id div {columns} as int) to_row", f"cast(id % {columns} as int) to_col", "-1 tile_row", "-1 tile_col", "0 y", "0 x", "0 h", "0 w", "cast('' as binary) piece")
     blank = blank.withColumns({"y": F.col("to_row") * tile_size, "x": F.col("to_col") * tile_size})
-    return tiles.mapInArrow(cut, schema).unionByName(blank).groupBy("to_row", "to_col").applyInPandas(lay, TILE)
+    pieces = dealt(tiles.mapInArrow(cut, schema).unionByName(blank), ["to_row", "to_col"], one_task)
+    return pieces.groupBy("to_row", "to_col").applyInPandas(lay, TILE)

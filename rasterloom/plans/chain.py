@@ -87,12 +87,13 @@ def run_on_pixels(pixels: DataFrame, info: RasterInfo, chain: Chain, config: Run
     return tiles
 
 
-def run_on_tiles(tiles: DataFrame, info: RasterInfo, chain: Chain, config: RunConfig) -> DataFrame:
-    """A chain over a table of tiles without halo: one exchange of strips if the first step reads a halo, then one pass."""
+def run_on_tiles(tiles: DataFrame, info: RasterInfo, chain: Chain, config: RunConfig, one_task: bool = False) -> DataFrame:
+    """A chain over a table of tiles without halo: one exchange of strips if the first step reads a halo, then one pass.
+    one_task: everything in one task after the other, for comparison."""
     chain.check()
     steps = chain.rewritten().steps
     halo = effective_halo(chain, config) if steps[0].halo else 0
-    return tile_ops.run_tiles(tile_ops.with_halo(tiles, info, config.tile_size, halo, config.border), list(steps), info)
+    return tile_ops.run_tiles(tile_ops.with_halo(tiles, info, config.tile_size, halo, config.border, one_task), list(steps), info)
 
 
 def canvas_of(chain: Chain, info: RasterInfo, canvas: str) -> RasterInfo:
@@ -103,11 +104,20 @@ def canvas_of(chain: Chain, info: RasterInfo, canvas: str) -> RasterInfo:
     return replace(info, width=max(1, width), height=max(1, height))
 
 
+def covers_canvas(chain: Chain, canvas: str) -> bool:
+    """Is every sample of the canvas in the chain's output, whatever the input lacks? A rotation computes each sample of
+    the image, and steps that keep its size lose none."""
+    kinds = [type(s) for s in chain.steps]
+    return canvas == "input" and Rotate in kinds and all(k in (Identity, Blur, Rotate) for k in kinds)
+
+
 def render(pixels: DataFrame, info: RasterInfo, chain: Chain, config: RunConfig | None = None, canvas: str = "input") -> DataFrame:
     """The chain's image as a pixel table, every sample of the canvas."""
     config = config or RunConfig()
     tiles = run_on_pixels(pixels, info, chain, config)
     target = canvas_of(chain, info, canvas)
+    if covers_canvas(chain, canvas):  # no join with a grid of the canvas
+        return mosaic(tiles).select(F.lit(target.image_id).alias("image_id"), "y", "x", "c", "v")
     check_bounds(tiles, target)
     return on_canvas(mosaic(tiles), target)
 

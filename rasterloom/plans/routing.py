@@ -74,9 +74,15 @@ def route_summary(routed: DataFrame) -> DataFrame:
     return routed.groupBy("device", "reason").agg(F.count(F.lit(1)).alias("n_tiles"))
 
 
-def learned_rate(timings: DataFrame, keys: list[str], order: str, start: float, keep: float = 0.9) -> DataFrame:
+#: The rates in megapixels per second that devices begin with.
+START_RATES = {"GPU": SchedulerConfig.gpu_mpix_per_sec, "CPU": SchedulerConfig.cpu_mpix_per_sec}
+
+
+def learned_rate(timings: DataFrame, keys: list[str], order: str, start: float | dict[str, float], keep: float = 0.9) -> DataFrame:
     """A rate per key that each timing (`seconds`, `pixels`) moves towards its own: keep of the old, the rest of the new.
 
+    start: where rates begin, one for all keys or one for each value of the first key; keys without one are left out.
+
     Timings that are not positive are ignored. A closed form, so that no list is gathered per key: with n timings left
     after a row, the row weighs (1 - keep) * keep ** n. Rows whose weight underflows add nothing.
     """
@@ -87,4 +93,17 @@ def learned_rate(timings: DataFrame, keys: list[str], order: str, start: float,
     rate = F.col("pixels").cast("double") / (F.col("seconds") * F.lit(1e6))
     weighed = used.select(*keys, rate.alias("rate"), left.alias("left"))
     added = F.sum(F.lit(1 - keep) * F.pow(F.lit(keep), F.col("left")) * F.col("rate"))
-    return weighed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), added.alias("added")).select(*keys, "n", (F.lit(start) * F.pow(F.lit(keep), F.col("n")) + F.col("added")).alias("rate"))
+    begin = F.lit(start) if isinstance(start, float) else F.try_element_at(F.create_map(*[F.lit(x) for pair in start.items() for x in pair]), F.col(keys[0]))
+    found = weighed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), added.alias("added"))
+    return found.withColumn("start", begin).where("start is not null").select(*keys, "n", (F.col("start") * F.pow(F.lit(keep), F.col("n")) + F.col("added")).alias("rate"))
+
+
+def scheduler_stats(log: DataFrame) -> DataFrame:
+    """(device, n_tiles, rate) of a log (seq, device, seconds, pixels, reset): a reset sets the counts of tiles to nothing and
+    leaves the rates, so tiles count from after the last one, and rates follow all timings."""
+    last = log.agg(F.max(F.when(F.col("reset"), F.col("seq")))).first()[0]
+    since = F.lit(True) if last is None else F.col("seq") > last
+    counts = log.where(~F.col("reset")).groupBy("device").agg(F.count_if(since).alias("n_tiles"))
+    rates = learned_rate(log.where(~F.col("reset")), ["device"], "seq", START_RATES).select("device", "rate")
+    begin = F.create_map(*[F.lit(x) for pair in START_RATES.items() for x in pair])
+    return counts.join(rates, "device", "left").select("device", "n_tiles", F.coalesce("rate", F.try_element_at(begin, F.col("device"))).alias("rate"))

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import functools
+import math
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom import oracle
 from rasterloom.functions import color
 from rasterloom.model import RasterInfo, RunConfig
-from rasterloom.operators import grid, halo, mosaic
+from rasterloom.operators import grid, halo, mosaic, single
 from rasterloom.operators import tiles as tile_ops
 from rasterloom.operators.transforms import Blur, Crop, Identity, Origin, Resize, Rotate, Step
 from rasterloom.plans import chain as chains
 from rasterloom.plans import metrics, routing
-from rasterloom.sources import synthetic, tables
+from rasterloom.sources import store, synthetic, tables, tiff
 
 RASTERS = {"E": tables.embedding_raster, "V": tables.event_raster, "O": tables.order_raster}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,10 +169,19 @@ def _mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _sql = oracle.chain_ctes("E", [Resize(0.3, 0.3)], 50, 16)
 register("mosaic", _mosaic, oracle.query([*_sql.ctes, oracle.mosaic_cte(_sql)], "SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(c AS INTEGER) AS c, CAST(v AS INTEGER) AS v FROM mos"))
+
+
+def _canvas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fifths of the width and three of the height are laid down, the rest is zero."""
+    pixels, info = tables.order_raster(spark, sf_dir)
+    part = pixels.where((F.col("x") * 5 < info.width * 2) & (F.col("y") * 5 < info.height * 3))
+    return mosaic.on_canvas(part.select("y", "x", "c", "v"), info)
+
+
 register(
     "canvas",
-    lambda spark, sf_dir: (lambda p, i: mosaic.on_canvas(p.where("x < 20 and y < 30").select("y", "x", "c", "v"), i))(*tables.order_raster(spark, sf_dir)),
-    "WITH px AS (" + oracle.PIXELS["O"] + ") SELECT 'O' AS image_id, y, x, c, CASE WHEN x < 20 AND y < 30 THEN v ELSE 0 END AS v FROM px WHERE y < (SELECT count(*) // 50 FROM orders)",
+    _canvas,
+    "WITH px AS (" + oracle.PIXELS["O"] + "), dim AS (" + oracle.SIZES["O"] + ") SELECT 'O' AS image_id, y, x, c, CASE WHEN x * 5 < w * 2 AND y * 5 < h * 3 THEN v ELSE 0 END AS v FROM px, dim WHERE y < h",
 )
 _SIZES = ["identity", "blur 4", "rotate 30", "crop 5 5 45 80", "resize 0.3 0.7", "rotate 30 | resize 0.5 0.5", "crop 5 5 45 80 | resize 2 2", "crop 60 0 20 10"]
 
@@ -184,10 +197,94 @@ register(
     "SELECT * FROM (VALUES ('identity', 1001, 777), ('blur 4', 1001, 777), ('rotate 30', 1001, 777), ('crop 5 5 45 80', 40, 75), ('resize 0.3 0.7', CAST(round(1001 * 0.3::DOUBLE) AS INTEGER), CAST(round(777 * 0.7::DOUBLE) AS INTEGER)), ('rotate 30 | resize 0.5 0.5', 501, 389), ('crop 5 5 45 80 | resize 2 2', 80, 150), ('crop 60 0 20 10', 0, 10)) t(chain, width, height)",
 )
 
+# -- single precision --------------------------------------------------------------------------------------------
+
+_S = lambda x: f"CAST({x} AS FLOAT)"
+
+
+def _single_sql(points: str, width: str, height: str, channels: int, pixels: str, more: str = "") -> str:
+    """points: (y, x, fx, fy); pixels: (y, x, c, v)."""
+    held = lambda v, n: f"greatest({_S(0)}, least({v}, CAST({n} - 1 AS FLOAT)))"
+    p = {n: f"CAST(coalesce({n}.v, 0) AS FLOAT)" for n in ("p00", "p10", "p01", "p11")}
+    value = f"({_S(1)} - dy) * (({_S(1)} - dx) * {p['p00']} + dx * {p['p10']}) + dy * (({_S(1)} - dx) * {p['p01']} + dx * {p['p11']})"
+    joins = " ".join(f"LEFT JOIN px {n} ON {n}.c = k.c AND {n}.x = k.{x} AND {n}.y = k.{y}" for n, x, y in (("p00", "x0", "y0"), ("p10", "x1", "y0"), ("p01", "x0", "y1"), ("p11", "x1", "y1")))
+    return f"""WITH px AS ({pixels}), spot AS (SELECT y, x, {held("fx", width)} AS hx, {held("fy", height)} AS hy FROM ({points})),
+    cor AS (SELECT y, x, CAST(floor(hx) AS INTEGER) AS x0, CAST(floor(hy) AS INTEGER) AS y0, least(CAST(floor(hx) AS INTEGER) + 1, {width} - 1) AS x1, least(CAST(floor(hy) AS INTEGER) + 1, {height} - 1) AS y1,
+      hx - CAST(floor(hx) AS FLOAT) AS dx, hy - CAST(floor(hy) AS FLOAT) AS dy, unnest(range(0, {channels})) AS c FROM spot)
+    SELECT CAST(k.y AS INTEGER) AS y, CAST(k.x AS INTEGER) AS x, CAST(k.c AS INTEGER) AS c, CAST(floor(greatest({_S(0)}, least({value}, {_S(255)}))) AS INTEGER) AS v FROM cor k {joins}{more}"""
+
+
+def _bilinear_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels, info = tables.embedding_raster(spark, sf_dir)
+    places = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.lit(0).alias("y"), F.col("event_id").cast("int").alias("x"), (single.single(F.col("value") % 80) - single.single(5.0)).alias("fx"), (single.single(F.col("event_id") % 997) * single.single(0.37)).alias("fy"))
+    return single.sample_points(places, ["y", "x"], pixels, info)
+
+
+_H = "(SELECT count(*) FROM embeddings)"
+register("bilinear_single", _bilinear_single, _single_sql(f"SELECT 0 AS y, event_id AS x, {_S('value % 80')} - {_S(5)} AS fx, {_S('event_id % 997')} * {_S(0.37)} AS fy FROM events", "64", _H, 1, oracle.PIXELS["E"]))
+
+
+def _resize_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels, info = tables.embedding_raster(spark, sf_dir)
+    return single.resize_single(pixels, info, 45, info.height * 3 // 10, 0.7, 0.3)
+
+
+register(
+    "resize_single",
+    _resize_single,
+    _single_sql(f"SELECT y, x, ({_S('x')} + {_S(0.5)}) / {_S(0.7)} - {_S(0.5)} AS fx, ({_S('y')} + {_S(0.5)}) / {_S(0.3)} - {_S(0.5)} AS fy FROM (SELECT y, unnest(range(0, 45)) AS x FROM (SELECT unnest(range(0, {_H} * 3 // 10)) AS y))", "64", _H, 1, oracle.PIXELS["E"]),
+)
+
+
+def _rotate_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A core as wide as the image less 8 and as high as half of it, read from a buffer that is larger by 3 on each side."""
+    pixels, info = tables.order_raster(spark, sf_dir)
+    height = info.height // 2
+    return single.rotate_single(pixels, info, 17.3, (4, 5, 42, height), (1, 2, 48, height + 6), ((info.width - 1) * 0.5, (info.height - 1) * 0.5))
+
+
+_angle = float(np.float32(17.3)) * math.pi / 180.0
+_cos, _sin, _minus = (_S(repr(float(np.float32(x)))) for x in (math.cos(_angle), math.sin(_angle), -math.sin(_angle)))
+_mid_x, _mid_y = _S(24.5), "CAST((h - 1) * 0.5 AS FLOAT)"
+_dx, _dy = f"({_S(4)} + {_S('x')} - {_mid_x})", f"({_S(5)} + {_S('y')} - {_mid_y})"
+_turned = f"""SELECT y, x, h, {_mid_x} + ({_cos} * {_dx} + {_sin} * {_dy}) - {_S(1)} AS fx, {_mid_y} + ({_minus} * {_dx} + {_cos} * {_dy}) - {_S(2)} AS fy
+    FROM (SELECT *, unnest(range(0, 42)) AS x FROM (SELECT h, unnest(range(0, h // 2)) AS y FROM ({oracle.SIZES["O"]})))"""
+_seen = f"(fx >= 0 AND fx < {_S(47)} AND fy >= 0 AND fy < CAST(h // 2 + 5 AS FLOAT))"
+_half = "(SELECT count(*) // 50 // 2 + 6 FROM orders)"
+register(
+    "rotate_single",
+    _rotate_single,
+    _single_sql(
+        f"SELECT y, x, fx, fy FROM ({_turned}) WHERE {_seen}", "48", _half, 3,
+        f"SELECT y - 2 AS y, x - 1 AS x, c, v FROM ({oracle.PIXELS['O']}) WHERE x >= 1 AND x < 49 AND y >= 2 AND y < 2 + {_half}",
+        f" UNION ALL SELECT CAST(y AS INTEGER), CAST(x AS INTEGER), CAST(unnest(range(0, 3)) AS INTEGER), 0 FROM ({_turned}) WHERE NOT {_seen}",
+    ),
+)
+
+# -- files -------------------------------------------------------------------------------------------------------
+
+
+def _through_a_file(spark: SparkSession, sf_dir: str, raster: str, tile_size: int) -> DataFrame:
+    """A raster written as TIFF and read again by tiles of another size."""
+    pixels, info = RASTERS[raster](spark, sf_dir)
+    pixels = pixels.where((F.col("y") < info.height) & (F.col("x") < info.width))
+    path = f"{store.shared_folder(spark)}/round-trip-{uuid.uuid4().hex}.tiff"
+    tiff.write_tiff(tile_ops.tiles_from_pixels(pixels, info, 32), info, path)
+    store.delete_at_end(spark, path)
+    tiles, found = tiff.read_tiff(spark, path, tile_size, raster)
+    return tile_ops.pixels_from_tiles(tiles, found)
+
+
+for _r in ("O", "V"):
+    register(
+        f"tiff_round_trip_{_r.lower()}",
+        lambda spark, sf_dir, r=_r: _through_a_file(spark, sf_dir, r, 20),
+        f"WITH px AS ({oracle.PIXELS[_r]}), dim AS ({oracle.SIZES[_r]}) SELECT '{_r}' AS image_id, px.* FROM px, dim WHERE y < h",
+    )
+
 # -- colour ------------------------------------------------------------------------------------------------------
 
 _WIDE = f"SELECT y, x, max(v) FILTER (c = 0) AS r, max(v) FILTER (c = 1) AS g, max(v) FILTER (c = 2) AS b FROM ({oracle.PIXELS['O']}) GROUP BY y, x"
-_S = lambda x: f"CAST({x} AS FLOAT)"
 _HSV = f"""
  one AS (SELECT y, x, {_S("r")} / {_S(255)} AS r, {_S("g")} / {_S(255)} AS g, {_S("b")} / {_S(255)} AS b FROM ({_WIDE})),
  two AS (SELECT *, greatest(r, g, b) AS mx, greatest(r, g, b) - least(r, g, b) AS d FROM one),
@@ -243,6 +340,46 @@ register("route_tiles", _route_tiles, _ROUTES + "SELECT * FROM routes")
 register("route_summary", lambda spark, sf_dir: routing.route_summary(_route_tiles(spark, sf_dir)), _ROUTES + "SELECT device, reason, count(*) AS n_tiles FROM routes GROUP BY device, reason")
 
 
+_REASONS = {"no gpu": (routing.SchedulerConfig(gpu_available=False), 0.0), "small tiles": (routing.SchedulerConfig(min_gpu_tile_pixels=512 * 512), 0.0), "full": (routing.SchedulerConfig(bytes_per_sec=1e12), 1.7), "free": (routing.SchedulerConfig(bytes_per_sec=1e12), -0.4)}
+
+
+def _route_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occupancies beyond 0 and 1 count as 0 and 1."""
+    boxes = grid.tile_grid(spark, _WIDE_INFO, 512).select("*", F.lit(16).alias("halo"), F.lit(4).alias("channels"))
+    found = [routing.route_tiles(boxes, chains.Chain.parse("blur 4"), config, full).select(F.lit(name).alias("case"), "tile_row", "tile_col", "device", "reason") for name, (config, full) in _REASONS.items()]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+register(
+    "route_reasons",
+    _route_reasons,
+    """WITH g AS (SELECT r, q, least(512, 1408 - q * 512) AS cw, least(512, 1300 - r * 512) AS ch FROM (SELECT r, unnest(range(0, 3)) AS q FROM (SELECT unnest(range(0, 3)) AS r))),
+    s AS (SELECT * FROM (VALUES ('no gpu', FALSE, 1, 8e9::DOUBLE, 0.0::DOUBLE), ('small tiles', TRUE, 262144, 8e9::DOUBLE, 0.0::DOUBLE), ('full', TRUE, 1, 1e12::DOUBLE, 1.0::DOUBLE), ('free', TRUE, 1, 1e12::DOUBLE, 0.0::DOUBLE)) t(name, gpu, least_pixels, rate, occupancy)),
+    t AS (SELECT *, (cw * ch / 3e8::DOUBLE) / ((cw + 32) * (ch + 32) * 4 * 2 / rate + 1e-12::DOUBLE) AS ratio FROM g, s),
+    u AS (SELECT *, CASE WHEN NOT gpu THEN 'No GPU available' WHEN cw * ch < least_pixels THEN 'Tile too small for GPU' WHEN ratio < 1 THEN 'PCIe transfer dominates' WHEN occupancy >= 0.99 THEN 'GPU queue full' ELSE 'Compute-heavy transform' END AS reason FROM t)
+    SELECT name AS "case", CAST(r AS INTEGER) AS tile_row, CAST(q AS INTEGER) AS tile_col, CASE reason WHEN 'Compute-heavy transform' THEN 'GPU' ELSE 'CPU' END AS device, reason FROM u""",
+)
+_CHECKS = {"blur 16": 16, "blur 17": 16, "blur 3 | crop 0 0 9 9": 2, "identity | blur 1": 16, "identity | blur 0": 16, "crop 0 0 9 9 | rotate 5": 0}
+
+
+def _halo_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a buffer's halo, given beside the chain, and the place of a blur allow the chain."""
+
+    def fine(line: str, ring: int) -> bool:
+        chain = chains.Chain.parse(line)
+        try:
+            chain.check()
+            halo.check_halo(ring, getattr(chain.steps[0], "radius", 0), "blur")
+        except ValueError:
+            return False
+        return True
+
+    return spark.createDataFrame([(line, ring, fine(line, ring)) for line, ring in _CHECKS.items()], "chain string, halo int, fine boolean")
+
+
+register("halo_checks", _halo_checks, "SELECT * FROM (VALUES ('blur 16', 16, TRUE), ('blur 17', 16, FALSE), ('blur 3 | crop 0 0 9 9', 2, FALSE), ('identity | blur 1', 16, FALSE), ('identity | blur 0', 16, TRUE), ('crop 0 0 9 9 | rotate 5', 0, TRUE)) t(chain, halo, fine)")
+
+
 def _timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("device"), F.col("event_id").alias("seq"), (F.col("value") / 1000.0).alias("seconds"), F.lit(262144).alias("pixels"))
 
@@ -255,6 +392,23 @@ register(
 )
 
 
+def _device_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles by turns on two devices, and a reset at every two-thousandth event."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    device = F.when(F.col("event_id") % 3 == 0, "GPU").otherwise("CPU")
+    return events.select(F.col("event_id").alias("seq"), device.alias("device"), (F.col("value") / 1000.0).alias("seconds"), F.lit(262144).alias("pixels"), (F.col("event_id") % 2000 == 700).alias("reset"))
+
+
+register(
+    "scheduler_stats",
+    lambda spark, sf_dir: routing.scheduler_stats(_device_log(spark, sf_dir)).select("device", "n_tiles", F.round("rate", 6).alias("rate")),
+    """WITH l AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'GPU' ELSE 'CPU' END AS device, value / 1000.0::DOUBLE AS s, event_id % 2000 = 700 AS reset FROM events),
+    z AS (SELECT max(event_id) FILTER (reset) AS last FROM l),
+    r AS (SELECT device, round(list_reduce(list(262144 / (s * 1e6::DOUBLE) ORDER BY event_id) FILTER (s > 0), lambda a, x: 0.9::DOUBLE * a + 0.1::DOUBLE * x, CASE device WHEN 'GPU' THEN 1000.0::DOUBLE ELSE 100.0::DOUBLE END), 6) AS rate FROM l WHERE NOT reset GROUP BY device)
+    SELECT device, count(*) FILTER (last IS NULL OR event_id > last) AS n_tiles, rate FROM l JOIN r USING (device) CROSS JOIN z WHERE NOT reset GROUP BY device, rate""",
+)
+
+
 def _tile_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels, info = tables.order_raster(spark, sf_dir)
     boxes = Crop(7, 11, 41, 90).first(Origin(info, pixels, 16, 16, "clamp")).boxes

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +32,20 @@ def write_tiles(tiles: DataFrame, path: str) -> None:
 def read_tiles(spark: SparkSession, path: str, image_id: str) -> DataFrame:
     names = ["image_id", "tile_row", "tile_col", "global_x", "global_y", "core_w", "core_h", "halo", "fmt", "data"]
     return spark.read.parquet(path).where(F.col("image_id") == image_id).select(*names)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; only where that is unset and all runs on one machine,
+    the local one for temporary files."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}"
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have a file deleted when the driver ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

@@ -52,6 +52,11 @@ def _open(path: str):
     return where.open_input_file(inner)
 
 
+def _create(path: str):
+    where, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return where.open_output_stream(inner)
+
+
 def read_layout(path: str) -> TiffLayout:
     with _open(path) as f:
         head = f.read_at(16, 0)
@@ -123,6 +128,8 @@ def read_block(f, layout: TiffLayout, index: int) -> np.ndarray:
 
 def read_region(f, layout: TiffLayout, x: int, y: int, w: int, h: int) -> np.ndarray:
     """A rectangle inside the image. Rows of plain strips are read as byte ranges; other blocks are decoded one by one."""
+    if not layout.tiled and layout.compression == NONE:
+        return read_rows(f, layout, x, y, w, h)
     out = np.zeros((h, w, layout.channels), np.uint8)
     across = -(-layout.width // layout.block_w)
     for row in range(y // layout.block_h, (y + h - 1) // layout.block_h + 1):
@@ -135,6 +142,21 @@ def read_region(f, layout: TiffLayout, x: int, y: int, w: int, h: int) -> np.nda
     return out
 
 
+def read_rows(f, layout: TiffLayout, x: int, y: int, w: int, h: int) -> np.ndarray:
+    """A rectangle of an image in plain strips: of each row only the bytes wanted. Rows that follow each other in the file
+    are read at once if the rectangle is as wide as the image."""
+    row_bytes, n = layout.width * layout.channels, w * layout.channels
+    at = [layout.offsets[k // layout.block_h] + k % layout.block_h * row_bytes + x * layout.channels for k in range(y, y + h)]
+    parts, k = [], 0
+    while k < h:
+        end = k + 1
+        while end < h and n == row_bytes and at[end] == at[end - 1] + n:
+            end += 1
+        parts.append(f.read_at((end - k) * n, at[k]))
+        k = end
+    return np.frombuffer(b"".join(parts), np.uint8).reshape(h, w, layout.channels)
+
+
 def read_tiff(spark: SparkSession, path: str, tile_size: int = 512, image_id: str | None = None) -> tuple[DataFrame, RasterInfo]:
     """The tiles of an image, without halo."""
     layout = read_layout(path)
@@ -157,9 +179,25 @@ def read_tiff(spark: SparkSession, path: str, tile_size: int = 512, image_id: st
     return spark.range(0, rows * columns, 1, tasks).mapInArrow(read, TILE), info
 
 
+def bands(tiles: DataFrame, info: RasterInfo) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, samples) of each row of the grid of tiles, from the top; absent samples are 0."""
+    top, band = 0, None
+    for row in tiles.orderBy("global_y", "global_x").toLocalIterator():
+        if band is not None and row["global_y"] != top:
+            yield top, band
+            band = None
+        if band is None:
+            top, band = row["global_y"], np.zeros((row["core_h"], info.width, info.channels), np.uint8)
+        core = np.frombuffer(row["data"], np.uint8).reshape(row["core_h"], row["core_w"], info.channels)
+        band[: row["core_h"], row["global_x"] : row["global_x"] + row["core_w"]] = core
+    if band is not None:
+        yield top, band
+
+
 def write_tiff(tiles: DataFrame, info: RasterInfo, path: str) -> None:
     """One file, plain, a row to a strip; Big beyond 3 GiB. The tiles must form a grid, without halo. They pass through
-    the driver one band of tiles after the other, so memory is that of a band."""
+    the driver one band of tiles after the other, so memory is that of a band. The file is written from its beginning to
+    its end, so it may lie in any store that pyarrow's file systems reach."""
     row_bytes = info.width * info.channels
     big = row_bytes * info.height > BIG_FROM
     word = "Q" if big else "I"
@@ -171,15 +209,16 @@ def write_tiff(tiles: DataFrame, info: RasterInfo, path: str) -> None:
         *([(EXTRA_SAMPLES, 3, [2])] if info.channels == 4 else []),
     ]
     end = head + row_bytes * info.height
-    with open(path, "wb") as f:
+    with _create(path) as f:
         f.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, end) if big else struct.pack("<2sHI", b"II", 42, end))
-        f.truncate(end)
-        for row in tiles.orderBy("global_y", "global_x").toLocalIterator():
-            core = np.frombuffer(row["data"], np.uint8).reshape(row["core_h"], row["core_w"] * info.channels)
-            for k, line in enumerate(core):
-                f.seek(head + (row["global_y"] + k) * row_bytes + row["global_x"] * info.channels)
-                f.write(line.tobytes())
-        f.seek(end)
+        done = 0
+        for top, band in bands(tiles, info):
+            for _ in range(done, top):
+                f.write(bytes(row_bytes))
+            f.write(band.tobytes())
+            done = top + len(band)
+        for _ in range(done, info.height):
+            f.write(bytes(row_bytes))
         values_at = end + (8 + 20 * len(tags) + 8 if big else 2 + 12 * len(tags) + 4)
         entries, values = b"", b""
         for tag, field, numbers in tags:
