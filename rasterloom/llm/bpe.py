@@ -4,7 +4,7 @@ Of the tokenizations of a byte string by the ranks, exactly one is what merging
 that can be tested pair by pair: two neighbouring tokens may stand side by side only if merging their joined bytes
 gives those two tokens back. Hence each prefix of a string has one valid last token: the only token that ends there and
 may follow the last token of the prefix before it. Storing that token for every prefix makes appending exact (older
-entries never change) and lets an edit be re-encoded from the place where it begins.
+entries never change) and lets an edit be re-encoded from the place where it begins to where the old tokens return.
 
 Texts are first split by the pattern; each piece is encoded on its own. Cases: a null text counts as empty and has no
 tokens; bytes that no merge covers are single-byte tokens; strings that look like special tokens are ordinary text.
@@ -13,6 +13,7 @@ tokens; bytes that no merge covers are single-byte tokens; strings that look lik
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -35,31 +36,45 @@ def load_ranks(path: str) -> bytes:
 
 
 class PrefixEncoder:
-    """A byte string under encoding: last[i] is the valid last token of its first i bytes."""
+    """A byte string under encoding: last[i] is the valid last token of its first i bytes; computed counts the prefixes
+    that were worked out so far."""
 
     def __init__(self, bpe: Bpe, data: bytes = b""):
-        self.bpe, self.data, self.last = bpe, b"", [_NO_TOKEN]
+        self.bpe, self.data, self.last, self.computed = bpe, b"", [_NO_TOKEN], 0
         self.append(data)
 
     def append(self, more: bytes) -> None:
         """Add bytes at the end; only their own prefixes are computed."""
-        data = self.data = self.data + more
-        ranks, last, fits = self.bpe.ranks, self.last, self.bpe.fits
-        reach = self.bpe.reach
-        for end in range(len(last), len(data) + 1):
-            for start in range(max(0, end - reach.get(data[max(0, end - 2) : end], 1)), end):
-                token = ranks.get(data[start:end])
-                if token is not None and (start == 0 or fits(last[start], token)):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError("the ranks lack a single byte")
+        self.data += more
+        for end in range(len(self.last), len(self.data) + 1):
+            self.last.append(self._last_of(end))
+
+    def _last_of(self, end: int) -> int:
+        data, last, ranks, fits = self.data, self.last, self.bpe.ranks, self.bpe.fits
+        self.computed += 1
+        for start in range(max(0, end - self.bpe.reach.get(data[max(0, end - 2) : end], 1)), end):
+            token = ranks.get(data[start:end])
+            if token is not None and (start == 0 or fits(last[start], token)):
+                return token
+        raise ValueError("the ranks lack a single byte")
 
     def replace(self, start: int, stop: int, with_bytes: bytes) -> None:
-        """Replace data[start:stop]; prefixes up to start keep their tokens."""
-        tail = with_bytes + self.data[stop:]
-        self.data, self.last = self.data[:start], self.last[: start + 1]
-        self.append(tail)
+        """Replace data[start:stop]; prefixes up to start keep their tokens.
+
+        A prefix's token depends on the bytes that a token can span and on the tokens of the prefixes that end among them.
+        So once as many prefixes in a row as the longest token has bytes, all of them past the edit, have the tokens that
+        they had before, all later ones keep theirs and are not computed.
+        """
+        before, shift = self.last, len(with_bytes) - (stop - start)
+        edited, same = start + len(with_bytes), 0
+        self.data = self.data[:start] + with_bytes + self.data[stop:]
+        self.last = before[: start + 1]
+        for end in range(start + 1, len(self.data) + 1):
+            self.last.append(self._last_of(end))
+            same = same + 1 if end >= edited and self.last[end] == before[end - shift] else 0
+            if same >= self.bpe.longest:
+                self.last += before[end - shift + 1 :]
+                break
 
     def tokens(self) -> list[int]:
         found, end = [], len(self.data)
@@ -69,6 +84,46 @@ class PrefixEncoder:
         return found[::-1]
 
 
+class TextEncoder:
+    """A text under encoding: its pieces by the pattern, the ids of each, and how many pieces were encoded so far.
+
+    Where a piece ends depends on at most look_ahead characters after it (two, for a pattern that takes `'ll` as one piece
+    and `'` as another). So an edit leaves alone the pieces that end that far before it. From there on pieces are found
+    again, until one begins where an old one began past the edit; from that place on, the old pieces stay.
+    """
+
+    def __init__(self, bpe: Bpe, text: str = "", look_ahead: int = 2):
+        self.bpe, self.text, self.look_ahead, self.encoded = bpe, "", look_ahead, 0
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.ids: list[list[int]] = []
+        self.append(text)
+
+    def append(self, more: str) -> None:
+        self.replace(len(self.text), len(self.text), more)
+
+    def replace(self, start: int, stop: int, with_text: str) -> None:
+        """Replace text[start:stop]."""
+        first = bisect.bisect_right(self.ends, start - self.look_ahead)
+        at, shift, rest = self.ends[first - 1] if first else 0, len(with_text) - (stop - start), len(self.starts)
+        self.text = self.text[:start] + with_text + self.text[stop:]
+        found: list[tuple[int, int, list[int]]] = []
+        for match in self.bpe.pattern.finditer(self.text, at):
+            was = match.start() - shift
+            old = bisect.bisect_left(self.starts, was, first)
+            if was >= stop and old < len(self.starts) and self.starts[old] == was:
+                rest = old
+                break
+            found.append((match.start(), match.end(), self.bpe.encode_bytes(match.group().encode())))
+            self.encoded += 1
+        self.starts[first:] = [x for x, _, _ in found] + [x + shift for x in self.starts[rest:]]
+        self.ends[first:] = [x for _, x, _ in found] + [x + shift for x in self.ends[rest:]]
+        self.ids[first:] = [x for _, _, x in found] + self.ids[rest:]
+
+    def tokens(self) -> list[int]:
+        return [t for piece in self.ids for t in piece]
+
+
 class Bpe:
     def __init__(self, rank_file: bytes, pattern: str):
         lines = (line.split() for line in rank_file.splitlines() if line)
@@ -89,6 +144,7 @@ class Bpe:
         self.reach: dict[bytes, int] = {}
         for data in self.ranks:
             self.reach[data[-2:]] = max(len(data), self.reach.get(data[-2:], 1))
+        self.longest = max(self.reach.values(), default=1)
 
     def _merged(self, data: bytes, below: int) -> list[int]:
         """Merge bytes, lowest rank first and leftmost on ties, with ranks under `below` only."""
@@ -195,4 +251,4 @@ def encode_table(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str =
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names)
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return common.in_arrow(chosen, run, schema)
+    return common.stage(common.in_arrow(chosen, run, schema), "encoded")

@@ -61,6 +61,13 @@ class Staging:
         for path in self.paths:
             delete(self.spark, path)
 
+    def folder(self, name: str) -> str:
+        """A new folder in shared storage that goes with this scope; whoever asks fills it."""
+        path = _new_path(self.spark, name)
+        self.paths.append(path)
+        delete_at_end(self.spark, path)
+        return path
+
     def keep(self, table: DataFrame) -> DataFrame:
         """A staged table that outlives this scope."""
         self.paths.remove(table.staged_at)
@@ -98,6 +105,10 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
     files.deleteOnExit(where)
 
 
+def _new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/stages/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str, rows: int | None = None, rows_per_file: int = 100_000) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, so a lost executor costs no recomputation.
 
@@ -105,7 +116,7 @@ def stage(df: DataFrame, name: str, rows: int | None = None, rows_per_file: int
     has; a large one keeps them all. The innermost open Staging owns the table.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stages/{name}-{uuid.uuid4().hex}"
+    path = _new_path(spark, name)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // rows_per_file)))
     if _scopes:
@@ -187,7 +198,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str, l
 
 
 def arrow_types(schema: str) -> list[pa.DataType]:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
     return [kinds[part.strip().split(" ")[1]] for part in schema.split(",")]
 
 

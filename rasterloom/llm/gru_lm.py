@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import heapq
 import struct
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -40,6 +41,9 @@ END = b""
 CLASS_WORDS, CLASSES = 64, 64
 VOCABULARY = CLASS_WORDS * CLASSES
 RARE_CLASSES = 16
+#: The classes of rarer words begin with the letters of so many words, drawn by a hash, and then learn from all in rounds.
+SPELLER_WORDS = 10_000
+SPELLER_ROUNDS = 2
 UNITS = 32
 #: Words whose counts are broadcast, at most.
 HEAD_WORDS = 150_000
@@ -52,6 +56,7 @@ PART_TOKENS = 2_000_000
 PART_LANES = 256
 PIECES = 64
 LANES = 512
+LOGITS = 60.0
 #: Words of a task that are scored together.
 CHUNK_WORDS = 3_000_000
 _BIGRAMS = 1 << 9
@@ -105,24 +110,53 @@ class Speller:
             found.append((np.add.reduceat(self.weights[pairs], starts, axis=0) + self.prior).argmax(axis=1))
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
+    def expected(self, words: list[bytes]) -> np.ndarray:
+        """Whole numbers (classes, bigrams + 1): how much of each bigram, and last of the words, falls to each class."""
+        total = np.zeros((RARE_CLASSES, _BIGRAMS + 1), np.int64)
+        for at in range(0, len(words), 20_000):
+            pairs, starts = self.slots(words[at : at + 20_000])
+            scores = (np.add.reduceat(self.weights[pairs], starts, axis=0) + self.prior) / 1000
+            share = np.exp(scores - scores.max(axis=1, keepdims=True))
+            share = np.rint(share / share.sum(axis=1, keepdims=True) * 1000).astype(np.int64)
+            owner = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(pairs)]))
+            for k in range(RARE_CLASSES):  # sums below 2 ** 53 are exact in floating point
+                total[k, :-1] += np.bincount(pairs, share[owner, k], _BIGRAMS).astype(np.int64)
+            total[:, -1] += share.sum(axis=0)
+        return total
+
+    @classmethod
+    def of(cls, expected: np.ndarray) -> Speller:
+        letters = expected[:, :-1] / 1000 + 0.1
+        words = expected[:, -1] / 1000 + 1
+        return cls((np.log(letters / letters.sum(axis=1, keepdims=True)).T * 1000).astype(np.int32), (np.log(words / words.sum()) * 1000).astype(np.int32))
+
     @classmethod
     def learn(cls, words: list[bytes], rounds: int = 20, seed: int = 3) -> Speller:
-        rng = np.random.default_rng(seed)
-        words = words[:20_000]
-        seen = np.zeros((max(len(words), 1), _BIGRAMS), np.float32)
-        if words:
-            pairs, starts = cls.slots(words)
-            owner = np.repeat(np.arange(len(words)), np.diff(np.r_[starts, len(pairs)]))
-            np.add.at(seen, (owner, pairs[: len(owner)]), 1)
-        share = rng.dirichlet(np.full(RARE_CLASSES, 0.3), len(seen)).astype(np.float32)
-        for _ in range(rounds):
-            letters = share.T @ seen + 0.1
-            log_p = np.log(letters / letters.sum(axis=1, keepdims=True))
-            prior = np.log((share.sum(axis=0) + 1) / (len(seen) + RARE_CLASSES))
-            scores = seen @ log_p.T + prior
-            share = np.exp(scores - scores.max(axis=1, keepdims=True))
-            share /= share.sum(axis=1, keepdims=True)
-        return cls((log_p.T * 1000).astype(np.int32), (prior * 1000).astype(np.int32))
+        """By expectation maximisation over a list of words, from random weights."""
+        start = np.random.default_rng(seed).dirichlet(np.full(_BIGRAMS, 0.3), RARE_CLASSES)
+        found = cls.of(np.c_[start * 1e6, np.ones(RARE_CLASSES)])
+        for _ in range(rounds if words else 0):
+            found = cls.of(found.expected(words))
+        return found
+
+    def learned_from(self, counts: DataFrame, but: set[bytes]) -> Speller:
+        """A round over all words of a (word, c) table but some, on the executors."""
+        shared = counts.sparkSession.sparkContext.broadcast((self, but))  # of a bounded size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, but = shared.value
+            total = np.zeros(RARE_CLASSES * (_BIGRAMS + 1), np.int64)
+            for batch in batches:
+                words = [w for w in batch.column(0).to_pylist() if w not in but]
+                if words:
+                    total += own.expected(words).ravel()
+            met = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(total[met])], ["cell", "n"])
+
+        found = np.zeros(RARE_CLASSES * (_BIGRAMS + 1), np.int64)
+        for cell, n in common.in_arrow(counts.select("word"), run, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():
+            found[cell] = n
+        return Speller.of(found.reshape(RARE_CLASSES, -1)) if found.any() else self
 
 
 @dataclass
@@ -172,16 +206,18 @@ def build_lexicon(counts: DataFrame) -> Lexicon:
         at = words.index(END)
         rows.insert(VOCABULARY - 1, rows.pop(at))
         words = [w for _, w in rows]
-    speller = Speller.learn(words[VOCABULARY:])
+    frequent = {*words[:VOCABULARY], END}
+    begin = sorted(words[VOCABULARY:], key=lambda w: (zlib.crc32(w), w))[:SPELLER_WORDS]
+    speller = Speller.learn(begin)
+    for _ in range(SPELLER_ROUNDS):
+        speller = speller.learned_from(counts, frequent)
     lexicon = Lexicon({w: i for i, w in enumerate(words)}, np.array([c for c, _ in rows], np.int64), total, distinct, least, speller)
     lexicon.codes = np.arange(len(words), dtype=np.int32)
     lexicon.codes[VOCABULARY:] = VOCABULARY + speller.classes(words[VOCABULARY:])
-    frequent = set(words[:VOCABULARY])
-
     def rare_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mass, kinds = np.zeros(RARE_CLASSES, np.int64), np.zeros(RARE_CLASSES, np.int64)
         for batch in batches:
-            pairs = [(w, c) for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w not in frequent and w != END]
+            pairs = [(w, c) for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w not in frequent]
             if pairs:
                 own = speller.classes([w for w, _ in pairs])
                 np.add.at(mass, own, [c for _, c in pairs])
@@ -197,8 +233,27 @@ def build_lexicon(counts: DataFrame) -> Lexicon:
     return lexicon
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _sign(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|), in place: like tanh between -1 and 1, and much cheaper. Its slope is (1 - |result|) ** 2."""
+    below = np.abs(x)
+    below += 1
+    x /= below
+    return x
+
+
+def _gates(x: np.ndarray) -> np.ndarray:
+    """Between 0 and 1, in place."""
+    x = _sign(x)
+    x *= 0.5
+    x += 0.5
+    return x
+
+
+def _weights(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unnormalised probabilities, in place, and their sums; logits beyond LOGITS count as LOGITS."""
+    np.clip(logits, -LOGITS, LOGITS, out=logits)
+    np.exp(logits, out=logits)
+    return logits, logits.sum(axis=1)
 
 
 @dataclass
@@ -231,25 +286,32 @@ class Gru:
     def step(self, h: np.ndarray, code: np.ndarray) -> np.ndarray:
         g = self.inputs[code]
         a = h @ self.loop
-        gates = _sigmoid(g[:, : 2 * UNITS] + a[:, : 2 * UNITS])
+        g[:, : 2 * UNITS] += a[:, : 2 * UNITS]
+        gates = _gates(g[:, : 2 * UNITS])
         update, reset = gates[:, :UNITS], gates[:, UNITS:]
-        candidate = np.tanh(g[:, 2 * UNITS :] + reset * a[:, 2 * UNITS :])
+        candidate = g[:, 2 * UNITS :]
+        candidate += reset * a[:, 2 * UNITS :]
+        candidate = _sign(candidate)
         return candidate + update * (h - candidate)
 
     def log_probs(self, h: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Natural log of P(class), times P(word | class) for frequent words, for each row of states."""
         own = np.where(code < VOCABULARY, code // CLASS_WORDS, CLASSES + code - VOCABULARY)
-        logits = h @ self.to_class + self.class_bias
-        top = logits.max(axis=1)
-        found = (logits[np.arange(len(own)), own] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))).astype(np.float64)
-        order = np.argsort(own, kind="stable")
-        cuts = np.searchsorted(own[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            rows = order[cuts[k] : cuts[k + 1]]
-            if len(rows):
-                logits = h[rows] @ self.to_word[k] + self.word_bias[k]
-                top = logits.max(axis=1)
-                found[rows] += logits[np.arange(len(rows)), code[rows] % CLASS_WORDS] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+        order = np.argsort(own.astype(np.uint8), kind="stable")
+        code, own, h = code[order], own[order], h[order]
+        logits = h @ self.to_class
+        logits += self.class_bias
+        weights, sums = _weights(logits)
+        ratio = weights[np.arange(len(own)), own] / sums
+        cuts = np.searchsorted(own, np.arange(CLASSES + 1))
+        for k in np.flatnonzero(np.diff(cuts)):
+            at = slice(cuts[k], cuts[k + 1])
+            logits = h[at] @ self.to_word[k]
+            logits += self.word_bias[k]
+            weights, sums = _weights(logits)
+            ratio[at] *= weights[np.arange(len(sums)), code[at] % CLASS_WORDS] / sums
+        found = np.empty(len(own))
+        found[order] = np.log(np.maximum(ratio, np.float32(1e-38)))
         return found
 
 
@@ -284,61 +346,105 @@ def learn_texts(model: Gru, squares: dict[str, np.ndarray], texts: list[np.ndarr
         stream, fresh = (np.resize(x, lanes * length).reshape(lanes, length).T for x in (stream, fresh))
         h = np.zeros((lanes, UNITS), np.float32)
         for at in range(0, length, STEPS):
-            codes, new = stream[at : at + STEPS], fresh[at : at + STEPS]
-            kept, states = [], []
-            for code, first in zip(codes, new, strict=True):
-                h = h * ~first[:, None]
-                states.append(h)
-                g, a = model.inputs[code], h @ model.loop
-                gates = _sigmoid(g[:, : 2 * UNITS] + a[:, : 2 * UNITS])
-                update, reset = gates[:, :UNITS], gates[:, UNITS:]
-                candidate = np.tanh(g[:, 2 * UNITS :] + reset * a[:, 2 * UNITS :])
-                kept.append((h, a[:, 2 * UNITS :], update, reset, candidate, first))
-                h = candidate + update * (h - candidate)
-            state, code = np.concatenate(states), codes.ravel()
-            n = np.float32(lanes)
-            own = np.where(code < VOCABULARY, code // CLASS_WORDS, CLASSES + code - VOCABULARY)
-            logits = state @ model.to_class + model.class_bias
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(own)), own] -= 1
-            p /= n
-            back = p @ model.to_class.T
-            on_class, on_class_bias = state.T @ p, p.sum(axis=0)
-            order_of = np.argsort(own, kind="stable")
-            cuts = np.searchsorted(own[order_of], np.arange(CLASSES + 1))
-            for k in np.flatnonzero(np.diff(cuts)):
-                rows = order_of[cuts[k] : cuts[k + 1]]
-                logits = state[rows] @ model.to_word[k] + model.word_bias[k]
-                q = np.exp(logits - logits.max(axis=1, keepdims=True))
-                q /= q.sum(axis=1, keepdims=True)
-                q[np.arange(len(rows)), code[rows] % CLASS_WORDS] -= 1
-                q /= n
-                back[rows] += q @ model.to_word[k].T
-                gradient, bias = state[rows].T @ q, q.sum(axis=0)
-                move("to_word", gradient, k)
-                move("word_bias", bias, k)
-            move("to_class", on_class)
-            move("class_bias", on_class_bias)
-            back = back.reshape(len(codes), lanes, UNITS)
-            through, on_loop, on_inputs = np.zeros((lanes, UNITS), np.float32), np.zeros_like(model.loop), []
-            for t in range(len(codes) - 1, -1, -1):
-                before, a, update, reset, candidate, first = kept[t]
-                d_candidate = through * (1 - update) * (1 - candidate**2)
-                d_update = through * (before - candidate) * update * (1 - update)
-                d_reset = d_candidate * a * reset * (1 - reset)
-                d_gates = np.concatenate([d_update, d_reset, d_candidate], axis=1)
-                on_inputs.append(d_gates)
-                d_loop = np.concatenate([d_update, d_reset, d_candidate * reset], axis=1)
-                on_loop += before.T @ d_loop
-                through = through * update + d_loop @ model.loop.T + back[t]
-                through *= ~first[:, None]
-            move("loop", np.clip(on_loop, -1, 1))
-            met = codes[::-1].ravel()
-            by_word = np.argsort(met, kind="stable")
-            words, begins = np.unique(met[by_word], return_index=True)
-            summed = np.add.reduceat(np.concatenate(on_inputs)[by_word], begins, axis=0)
-            move("inputs", np.clip(summed, -1, 1), words)
+            h, gradients, (words, on_words) = window_gradients(model, h, stream[at : at + STEPS], fresh[at : at + STEPS])
+            for name in ("to_word", "word_bias"):
+                met, gradient = gradients[name]
+                move(name, gradient, met)
+            move("to_class", gradients["to_class"])
+            move("class_bias", gradients["class_bias"])
+            move("loop", np.clip(gradients["loop"], -1, 1))
+            move("inputs", np.clip(on_words, -1, 1), words)
+
+
+def window_gradients(model: Gru, h: np.ndarray, codes: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, dict, tuple[np.ndarray, np.ndarray]]:
+    """One window (steps, lanes): the state after it, the gradients of the loss summed over its tokens and divided by the
+    lanes, and those of the words met. fresh marks where a text begins: there the state starts from zero.
+
+    Gradients of to_word and word_bias are (classes met, gradients of these).
+    """
+    lanes = codes.shape[1]
+    kept, states = [], []
+    for code, first in zip(codes, fresh, strict=True):
+        if first.any():
+            h = h * ~first[:, None]
+        states.append(h)
+        g, a = model.inputs[code], h @ model.loop
+        g[:, : 2 * UNITS] += a[:, : 2 * UNITS]
+        gates = _gates(g[:, : 2 * UNITS])
+        update, reset = gates[:, :UNITS], gates[:, UNITS:]
+        candidate = g[:, 2 * UNITS :]
+        candidate += reset * a[:, 2 * UNITS :]
+        candidate = _sign(candidate)
+        kept.append((h, a[:, 2 * UNITS :], update, reset, candidate, first))
+        h = candidate + update * (h - candidate)
+    # The output layer, with the tokens in the order of their classes.
+    code = codes.ravel()
+    own = np.where(code < VOCABULARY, code // CLASS_WORDS, CLASSES + code - VOCABULARY).astype(np.uint8)
+    order = np.argsort(own, kind="stable")
+    code, own, state = code[order], own[order], np.concatenate(states)[order]
+    kind = model.loop.dtype
+    share = kind.type(1 / lanes)
+    p = state @ model.to_class
+    p += model.class_bias
+    p, sums = _weights(p)
+    p *= (share / sums)[:, None]
+    p[np.arange(len(own)), own] -= share
+    back = p @ model.to_class.T
+    gradients = {"to_class": state.T @ p, "class_bias": p.sum(axis=0)}
+    cuts = np.searchsorted(own, np.arange(CLASSES + 1))
+    met = np.flatnonzero(np.diff(cuts))
+    on_word, on_bias = np.empty((len(met), UNITS, CLASS_WORDS), kind), np.empty((len(met), CLASS_WORDS), kind)
+    for i, k in enumerate(met):
+        at = slice(cuts[k], cuts[k + 1])
+        q = state[at] @ model.to_word[k]
+        q += model.word_bias[k]
+        q, sums = _weights(q)
+        q *= (share / sums)[:, None]
+        q[np.arange(len(q)), code[at] % CLASS_WORDS] -= share
+        back[at] += q @ model.to_word[k].T
+        np.matmul(state[at].T, q, out=on_word[i])
+        q.sum(axis=0, out=on_bias[i])
+    gradients |= {"to_word": (met, on_word), "word_bias": (met, on_bias)}
+    spread = np.empty_like(back)
+    spread[order] = back
+    back = spread.reshape(len(codes), lanes, UNITS)
+    # Back through the steps.
+    through = np.zeros((lanes, UNITS), kind)
+    on_gates, on_loop = np.empty((len(codes), lanes, 3 * UNITS), kind), np.zeros_like(model.loop)
+    for t in range(len(codes) - 1, -1, -1):
+        before, a, update, reset, candidate, first = kept[t]
+        d = on_gates[t]
+        kept_share = 1 - update
+        d[:, 2 * UNITS :] = through * kept_share * (1 - np.abs(candidate)) ** 2
+        # The slope of a gate 0.5 + 0.5 s is 0.5 (1 - |s|) ** 2, which is 2 min(gate, 1 - gate) ** 2.
+        d[:, :UNITS] = through * (before - candidate) * 2 * np.minimum(update, kept_share) ** 2
+        d[:, UNITS : 2 * UNITS] = d[:, 2 * UNITS :] * a * 2 * np.minimum(reset, 1 - reset) ** 2
+        d_loop = d.copy()
+        d_loop[:, 2 * UNITS :] *= reset
+        on_loop += before.T @ d_loop
+        through = through * update + d_loop @ model.loop.T + back[t]
+        if first.any():
+            through *= ~first[:, None]
+    gradients["loop"] = on_loop
+    flat = codes.ravel()
+    by_word = np.argsort(flat.astype(np.uint16), kind="stable")
+    in_order = flat[by_word]
+    begins = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]])
+    summed = run_sums(on_gates.reshape(len(flat), -1)[by_word], begins)
+    return h, gradients, (in_order[begins], summed)
+
+
+def run_sums(rows: np.ndarray, begins: np.ndarray, few: int = 8) -> np.ndarray:
+    """Sum of the rows of each run. The first few rows of all runs are added side by side, as most runs are short."""
+    ends = np.r_[begins[1:], len(rows)]
+    lengths = ends - begins
+    found = rows[begins]
+    for k in range(1, few):
+        longer = np.flatnonzero(lengths > k)
+        found[longer] += rows[begins[longer] + k]
+    for i in np.flatnonzero(lengths > few):
+        found[i] += rows[begins[i] + few : ends[i]].sum(axis=0)
+    return found
 
 
 def to_vector(model: Gru, squares: dict[str, np.ndarray]) -> np.ndarray:
@@ -492,11 +598,30 @@ def score_table(docs: DataFrame, held_out: Column, train_tokens: int = TRAIN_TOK
     base_score is the log10 probability under smoothed counts of single tokens; score is the model's.
     """
     spark = docs.sparkSession
-    learn = docs.where(~held_out)
-    counts = common.stage(count_words(learn, text_col), "counts")
-    lexicon = build_lexicon(counts)
-    model, _ = fit(learn, lexicon, train_tokens, id_col, text_col)
-    shared = spark.sparkContext.broadcast((lexicon, model))  # of bounded size
+    with common.Staging(spark) as own:
+        learn = docs.where(~held_out)
+        counts = common.stage(count_words(learn, text_col), "counts")
+        lexicon = build_lexicon(counts)
+        model, _ = fit(learn, lexicon, train_tokens, id_col, text_col)
+        rows = common.stage(scored(docs, held_out, lexicon, model, id_col, text_col), "scored")  # a lost executor repeats no scoring
+        joined = rows.join(counts.where(F.col("c") < lexicon.least), "word", "left")
+        tail_log = F.when(F.col("times") > 0, F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).otherwise(F.lit(0.0))
+        summed = joined.groupBy("row").agg(
+            F.max("doc_id").alias("doc_id"),
+            F.max("held_out").alias("held_out"),
+            F.sum("n_tokens").alias("n_tokens"),
+            (F.coalesce(F.sum("n_known"), F.lit(0)) + F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(F.lit(0)))).alias("n_known"),
+            (F.sum("base") + F.sum(tail_log)).alias("base_score"),
+            (F.sum("score") + F.sum(tail_log)).alias("score"),
+        )
+        found = summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(lexicon.total).cast("long").alias("train_tokens"), "base_score", "score")
+        return own.keep(common.stage(found, "scores"))
+
+
+def scored(docs: DataFrame, held_out: Column, lexicon: Lexicon, model: Gru, id_col: str, text_col: str) -> DataFrame:
+    """Of each row of docs what the head of the counts and the network say of it, and a row (row, word, times) for each of
+    its words beyond the head."""
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon, model))  # of bounded size
     schema = "row long, doc_id long, held_out boolean, word binary, times long, n_tokens long, n_known long, base double, score double"
     kinds, names = common.arrow_types(schema), [f.split()[0] for f in schema.split(", ")]
     log_all = float(np.log10(lexicon.total + 0.5 * (lexicon.distinct + 1)))
@@ -539,16 +664,4 @@ def score_table(docs: DataFrame, held_out: Column, train_tokens: int = TRAIN_TOK
         yield from pour()
 
     chosen = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    rows = common.in_arrow(chosen, run, schema)
-    tail_counts = counts.where(F.col("c") < lexicon.least)
-    joined = rows.join(tail_counts, "word", "left")
-    tail_log = F.when(F.col("times") > 0, F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).otherwise(F.lit(0.0))
-    summed = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("held_out").alias("held_out"),
-        F.sum("n_tokens").alias("n_tokens"),
-        (F.coalesce(F.sum("n_known"), F.lit(0)) + F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(F.lit(0)))).alias("n_known"),
-        (F.sum("base") + F.sum(tail_log)).alias("base_score"),
-        (F.sum("score") + F.sum(tail_log)).alias("score"),
-    )
-    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(lexicon.total).cast("long").alias("train_tokens"), "base_score", "score")
+    return common.in_arrow(chosen, run, schema)

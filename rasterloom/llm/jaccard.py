@@ -43,6 +43,8 @@ PAIRS_PER_TEXT = 200
 MAX_HUB_ROUNDS = 3
 #: Pairs that one task compares, where there are few in all.
 PAIRS_PER_TASK = 5000
+#: Texts whose sets a task remembers while it compares pairs.
+TEXTS_KEPT = 256
 #: Prefix rows of one shingle that one task takes, by the sketch; those of a more frequent one are dealt to several.
 SALT_BITS = 15
 
@@ -212,23 +214,6 @@ def met_again(rows: DataFrame) -> DataFrame:
     return common.in_arrow(rows.select("token", "salt", *names[1:]), run, "token long, doc_id long, n int, place int")
 
 
-def filter_table(docs: DataFrame, classes, width: int, num: int, den: int) -> DataFrame:
-    """(doc_id, order1, ..., hashes): the prefixes of each set under the other orders, and the set."""
-    names = ["doc_id", *[f"order{k}" for k in range(1, ORDERS)], "hashes"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns: list[list] = [[] for _ in names[1:]]
-            for body in common.lowered(batch.column(1)):
-                hashes = shingle_set(body, width)
-                for k in range(1, ORDERS):
-                    columns[k - 1].append(prefix(hashes, classes.value, k, num, den).tobytes())
-                columns[-1].append(hashes.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.binary()) for c in columns]], names)
-
-    return common.in_arrow(docs, run, "doc_id long, " + ", ".join(f"{c} binary" for c in names[1:]), forget)
-
-
 def first_common(x: np.ndarray, y: np.ndarray) -> tuple[int, int] | None:
     """Places in x and y of the first value of x that y has too; values of one array differ."""
     hit = np.flatnonzero(np.isin(x, y, assume_unique=True))
@@ -251,29 +236,40 @@ def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link. A pair must pass the filter of every other order before its sets are compared."""
-    orders = [f"order{k}" for k in range(1, ORDERS)]
-    table = common.stage(filter_table(texts_of(docs, pairs), classes, width, num, den), "filters")
+    """The pairs (a, b) that link. A pair must pass the filter of every other order before its sets are compared.
+
+    Texts travel, not sets: hashes cannot be compressed and would take three times the room.
+    """
+    texts = texts_of(docs, pairs)
     for side in ("a", "b"):
-        pairs = pairs.join(table.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in (*orders, "hashes")]), side)
+        pairs = pairs.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")), side)
 
-    def links(left: list[np.ndarray], right: list[np.ndarray]) -> bool:
-        """left, right: prefixes under the orders, then the set."""
-        n, m = len(left[-1]), len(right[-1])
-        for x, y in zip(left[:-1], right[:-1], strict=True):
+    def links(left: tuple, right: tuple) -> bool:
+        n, m = len(left[0]), len(right[0])
+        for x, y in zip(left[1], right[1], strict=True):
             at = first_common(x, y)
             if at is None or min(n - at[0], m - at[1]) * (num + den) < (n + m) * num:
                 return False
-        both = len(np.intersect1d(left[-1], right[-1], assume_unique=True))
+        both = len(np.intersect1d(left[0], right[0], assume_unique=True))
         return both * den >= num * (n + m - both)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, tuple] = {}  # hubs come again and again
+
+        def described(body: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+            if body not in known:
+                if len(known) >= TEXTS_KEPT:
+                    known.clear()
+                hashes = shingle_set(body, width)
+                known[body] = hashes, [prefix(hashes, classes.value, k, num, den) for k in range(1, ORDERS)]
+            return known[body]
+
         for batch in batches:
-            sides = [[[np.frombuffer(x.as_buffer(), np.uint64) for x in row] for row in zip(*(batch.column(k) for k in ks), strict=True)] for ks in (range(2, 2 + ORDERS), range(2 + ORDERS, 2 + 2 * ORDERS))]
-            mask = pa.array([links(x, y) for x, y in zip(*sides, strict=True)], pa.bool_())
+            bodies = zip(common.lowered(batch.column(2)), common.lowered(batch.column(3)), strict=True)
+            mask = pa.array([links(described(x), described(y)) for x, y in bodies], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    return common.in_arrow(pairs.select("a", "b", *[f"{c}_{side}" for side in ("a", "b") for c in (*orders, "hashes")]), compare, "a long, b long")
+    return common.in_arrow(pairs.select("a", "b", "text_a", "text_b"), compare, "a long, b long", forget)
 
 
 def similar_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,11 +308,10 @@ def buckets_of(reps: DataFrame, classes, width: int, num: int, den: int) -> Data
     dealt = prefix_table(reps, classes, width, num, den).repartition("token", "salt").sortWithinPartitions("token")
     rows = common.stage(met_again(dealt), "buckets")
     n_rows = rows.count()
-    # Shingles of one passage mostly have the same texts. Of buckets with equal texts (by their number and two sums of
-    # 64-bit hashes) the first in the order stays, which is the one with the smallest places; it yields the same pairs.
-    member = F.xxhash64("doc_id")
-    hubs = rows.groupBy("token").agg(F.count(F.lit(1)).alias("texts"), F.bit_xor(member).alias("x"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(38,0)")).alias("s"), F.sum("place").alias("places"), F.min(F.struct("place", "doc_id", "n")).alias("hub"))
-    hubs = hubs.where("texts > 1").groupBy("texts", "x", "s").agg(F.min(F.struct("places", "token", "hub")).alias("kept")).select("kept.token", "texts", "kept.hub")
+    # Shingles of one passage mostly have the same texts. Of buckets with equal texts (by their number and two
+    # 64-bit digests) the first in the order stays, which is the one with the smallest places; it yields the same pairs.
+    hubs = rows.groupBy("token").agg(F.count(F.lit(1)).alias("texts"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"), F.sum("place").alias("places"), F.min(F.struct("place", "doc_id", "n")).alias("hub"))
+    hubs = hubs.where("texts > 1").groupBy("texts", "x", "y").agg(F.min(F.struct("places", "token", "hub")).alias("kept")).select("kept.token", "texts", "kept.hub")
     # Both sides are staged, so that the rows of a hot key can be split among tasks in the join.
     return common.stage(rows.join(common.stage(hubs, "hubs", n_rows), "token"), "shared", n_rows)
 

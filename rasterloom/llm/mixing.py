@@ -74,21 +74,24 @@ def copies(rate: Column, id_column: Column, seed: int = 0) -> Column:
 
 def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
     """(doc_id, source, size, source_size, target, rate, copies) of each document."""
-    sizes = common.stage(with_sizes(docs), "sizes")
-    rates = source_rates(sizes, weights, share, most)
+    with common.Staging(docs.sparkSession) as own:
+        sizes = own.keep(common.stage(with_sizes(docs), "sizes"))
+        rates = own.keep(source_rates(sizes, weights, share, most))
     joined = _with_rates(sizes, rates, "source")
     return joined.select("doc_id", "source", "size", "source_size", "target", "rate", copies(F.col("rate"), F.col("doc_id"), seed).alias("copies"))
 
 
 def _with_rates(rows: DataFrame, rates: DataFrame, source_col: str) -> DataFrame:
-    named = common.checked(rates.withColumnRenamed("source", "__source"))
-    return rows.join(named, rows[source_col].cast("string").eqNullSafe(F.col("__source"))).drop("__source")
+    [name] = common.unused(rows, "own_source")
+    named = common.checked(rates.withColumnRenamed("source", name))
+    return rows.join(named, rows[source_col].cast("string").eqNullSafe(F.col(name))).drop(name)
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
     """The mix itself: each row of docs, all columns unchanged, as often as it is taken."""
     names = docs.columns
-    rates = source_rates(with_sizes(docs), weights, share, most).select("source", F.col("rate").alias("__rate"))
-    times = copies(F.col("__rate"), F.col("doc_id"), seed)
-    taken = _with_rates(docs, rates, "source").withColumn("__n", times).where("__n > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*names)
+    rate, times, number = common.unused(docs, "own_rate", "times_taken", "copy_number")
+    with common.Staging(docs.sparkSession) as own:
+        rates = own.keep(source_rates(with_sizes(docs), weights, share, most)).select("source", F.col("rate").alias(rate))
+    taken = _with_rates(docs, rates, "source").withColumn(times, copies(F.col(rate), F.col("doc_id"), seed)).where(F.col(times) > 0)
+    return taken.withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*names)

@@ -15,13 +15,43 @@ SQL_UPPER, SQL_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 
 
 def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeated_passages(common.documents(spark, sf_dir))
+    """Without other_id: of the texts that share a passage, the operator names one that it met."""
+    return suffix_dedup.repeated_passages(common.documents(spark, sf_dir)).drop("other_id")
+
+
+OP3_SQL = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{SQL_UPPER}', '{SQL_LOWER}'), '{SQL_WORD}') AS ws FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT doc_id, ws, unnest(range(0, len(ws) - {suffix_dedup.LEAST_WORDS} + 1)) AS i FROM w WHERE len(ws) >= {suffix_dedup.LEAST_WORDS}),
+k AS (SELECT doc_id, i, array_to_string(ws[i + 1 : i + {suffix_dedup.LEAST_WORDS}], ' ') AS body FROM g),
+s AS (SELECT body FROM k GROUP BY body HAVING min(doc_id) < max(doc_id)),
+h AS (SELECT DISTINCT doc_id, i FROM k JOIN s USING (body)),
+b AS (SELECT doc_id, i, coalesce(i > lag(i) OVER p + {suffix_dedup.LEAST_WORDS}, true) AS fresh FROM h WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT doc_id, i, count_if(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM b)
+SELECT doc_id, CAST(min(i) AS INTEGER) AS start_word, CAST(max(i) + {suffix_dedup.LEAST_WORDS} AS INTEGER) AS end_word,
+  CAST(max(i) + {suffix_dedup.LEAST_WORDS} - min(i) AS INTEGER) AS n_words
+FROM n GROUP BY doc_id, run
+"""
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(common.documents(spark, sf_dir), width=3, num=90, den=100)
 
 
+OP4_SQL = f"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{SQL_UPPER}', '{SQL_LOWER}'), '{SQL_WORD}') AS ws FROM documents),
+g AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0),
+t AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 2], ' ') AS shingle FROM g),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have FROM t a JOIN t b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_have >= 90 * (x.n + y.n - both_have)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, min(b) AS low FROM r GROUP BY a)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(m.low, w.doc_id)) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.a = w.doc_id
+"""
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(common.documents(spark, sf_dir))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
@@ -109,6 +139,36 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op10_sql() -> str:
+    """Starts of matches are the lengths of what stands before: the pieces between matches, and the matches."""
+    letters = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)  # noqa: E731  RE2's own folding would go beyond A-Z
+    names = "|".join(letters(x) for x in ("password", "passwd", "secret", "token", "api_?key"))
+    patterns = {"assign": rf"(?:{names})[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"}
+    patterns |= {kind: pattern.replace("'", "''") for kind, pattern, *_ in secret_scan.RULES[1:]}
+    found = " UNION ALL ".join(
+        f"SELECT row, {k} AS place, '{kind}' AS kind, {least} AS least, {1 if group else 0} AS own, '{patterns[kind]}' AS rule, regexp_extract_all(t, '{patterns[kind]}') AS hits, regexp_extract_all(t, '{patterns[kind]}', {1 if group else 0}) AS parts, string_split_regex(t, '{patterns[kind]}') AS gaps FROM d"
+        for k, (kind, _, group, least) in enumerate(secret_scan.RULES)
+    )
+    span = "kind || ':' || start || ':' || (start + size)"
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({found}),
+u AS (SELECT row, place, kind, least, hits, parts, gaps, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(hits) > 0),
+s AS (SELECT row, place, kind, length(hits[i]) AS size,
+        list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS start
+      FROM u WHERE length(parts[i]) >= least),
+f AS (SELECT row, count_if(place = 0) AS n_assign, count_if(place = 1) AS n_access, count_if(place = 2) AS n_hex,
+        string_agg({span}, ',' ORDER BY start, place) FILTER (place < {len(secret_scan.BASE_RULES)}) AS base, string_agg({span}, ',' ORDER BY start, place) AS spans
+      FROM s GROUP BY row)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN f USING (row)
+"""
+
+
+OP10_SQL = _op10_sql()
+
+
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.score_table(common.documents(spark, sf_dir), common.fold_of("doc_id", 5) == 1)
 
@@ -129,9 +189,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     model = langid.fit(docs.where(common.fold_of("doc_id", 4) != 2))
-    found = docs.select("doc_id", langid.language_of(model, F.col("text")).alias("p"))
-    return found.select("doc_id", (common.fold_of("doc_id", 4) == 2).alias("held_out"), "p.lang_pred", "p.score", "p.rejected")
+    found = langid.language_table(docs, model)
+    return found.select("doc_id", (common.fold_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 QUERIES = {"op1_lm_score": op1_lm_score, "op2_bpe": op2_bpe, "op3_suffix": op3_suffix, "op4_jaccard": op4_jaccard, "op5_exact_dedup": op5_exact_dedup, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_language": op8_language, "op9_mixing": op9_mixing, "op10_secrets": op10_secrets}
-ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op6_quality": OP6_SQL, "op9_mixing": OP9_SQL}
+ORACLE_SQL = {"op3_suffix": OP3_SQL, "op4_jaccard": OP4_SQL, "op10_secrets": OP10_SQL, "op5_exact_dedup": OP5_SQL, "op6_quality": OP6_SQL, "op9_mixing": OP9_SQL}

@@ -16,7 +16,7 @@ whose next words occur in another text take part in the sort. It is a sort by ra
 texts share is spread over many tasks; every suffix meets its two neighbours only, never all texts that share a key.
 
 Cases: null, empty and shorter texts hold no passage; repeats inside one text are not reported; rows that repeat an id
-are one text; a null id is left out; ties in the order are broken by id and place; very long texts take linear time.
+and a text are one; where an id has several texts, passages of all of them are reported under it, places counted in each; a null id is left out; ties in the order are broken by id and place; very long texts take linear time.
 """
 
 from __future__ import annotations
@@ -260,30 +260,35 @@ def merged(spans: DataFrame) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per repeated stretch of a text: doc_id, start_word, end_word (exclusive), n_words, other_id."""
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    table = common.stage(suffix_table(chosen, least), "suffixes")
-    texts = table.where("sig is not null").select("doc_id", "n", "sig")
-    groups = texts.groupBy("sig").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    groups = common.stage(groups, "groups")
-    copies = common.stage(texts.join(groups, "sig"), "copies")
-    whole = copies.select("doc_id", F.lit(0).alias("start"), F.col("n").alias("end"), F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other")).distinct()
-    spare = common.checked(common.stage(copies.where("doc_id <> low").select("doc_id").distinct(), "spare"))
-    suffixes = table.where("sig is null").select("near", "far", "doc_id", "place").join(spare, "doc_id", "left_anti")
-    common_keys = suffixes.groupBy("near").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("near")
-    common_keys = common.stage(common_keys, "common-keys")  # as a table of its own, so that a hot key's rows can be split among tasks
-    kept = common.stage(suffixes.join(common_keys, "near", "left_semi"), "kept")
-    found = sorted_neighbours(kept)
-    low_first = F.col("doc_a") < F.col("doc_b")
-    ordered = [F.when(low_first, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{c}_{x}") for c in ("doc", "at") for x, y in (("a", "b"), ("b", "a"))]
-    pairs = found.select(*ordered).groupBy("doc_a", "doc_b").agg(F.collect_set(F.struct("at_a", "at_b")).alias("anchors"))
-    pairs = common.stage(pairs, "pairs")
-    ids = common.stage(pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct(), "ids")
-    bodies = chosen.join(common.checked(ids), "doc_id", "left_semi")
-    spans = common.stage(match_table(pairs, bodies, least), "spans")
-    windows = common.stage(open_windows(bodies, kept, spans, least), "windows")
-    shared = windows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    shared = common.stage(shared, "shared-windows")
-    late = windows.join(shared, "key").select("doc_id", F.col("place").alias("start"), (F.col("place") + least).alias("end"), F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other"))
-    # A copy stands for its whole group: what its first text shares with others lies inside the whole-text row.
-    merged_rows = merged(spans.unionByName(late).unionByName(whole))
-    return merged_rows.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"), F.col("other").alias("other_id"))
+    with common.Staging(docs.sparkSession) as own:
+        chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+        table = common.stage(suffix_table(chosen, least), "suffixes")
+        texts = table.where("sig is not null").select("doc_id", "n", "sig")
+        groups = texts.groupBy("sig").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+        groups = common.stage(groups, "groups")
+        copies = common.stage(texts.join(groups, "sig"), "copies")
+        whole = copies.select("doc_id", F.lit(0).alias("start"), F.col("n").alias("end"), F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other")).distinct()
+        # An id that has other texts too stays with all of them: passages of those must still be found.
+        single = texts.groupBy("doc_id").agg((F.min("sig") == F.max("sig")).alias("single")).where("single").select("doc_id")
+        spare = copies.where("doc_id <> low").select("doc_id").distinct().join(single, "doc_id", "left_semi")
+        spare = common.checked(common.stage(spare, "spare"))
+        suffixes = table.where("sig is null").select("near", "far", "doc_id", "place").join(spare, "doc_id", "left_anti")
+        common_keys = suffixes.groupBy("near").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("near")
+        common_keys = common.stage(common_keys, "common-keys")  # as a table of its own, so that a hot key's rows can be split among tasks
+        kept = common.stage(suffixes.join(common_keys, "near", "left_semi"), "kept")
+        found = sorted_neighbours(kept)
+        low_first = F.col("doc_a") < F.col("doc_b")
+        ordered = [F.when(low_first, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{c}_{x}") for c in ("doc", "at") for x, y in (("a", "b"), ("b", "a"))]
+        pairs = found.select(*ordered).groupBy("doc_a", "doc_b").agg(F.collect_set(F.struct("at_a", "at_b")).alias("anchors"))
+        pairs = common.stage(pairs, "pairs")
+        ids = common.stage(pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct(), "ids")
+        bodies = chosen.join(common.checked(ids), "doc_id", "left_semi")
+        spans = common.stage(match_table(pairs, bodies, least), "spans")
+        windows = common.stage(open_windows(bodies, kept, spans, least), "windows")
+        shared = windows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+        shared = common.stage(shared, "shared-windows")
+        late = windows.join(shared, "key").select("doc_id", F.col("place").alias("start"), (F.col("place") + least).alias("end"), F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other"))
+        # A copy stands for its whole group: what its first text shares with others lies inside the whole-text row.
+        merged_rows = merged(spans.unionByName(late).unionByName(whole))
+        found = merged_rows.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"), F.col("other").alias("other_id"))
+        return own.keep(common.stage(found, "passages"))

@@ -268,13 +268,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     learnable = docs.select("doc_id", "lang", "text")
     ids = marked.join(learnable.select("doc_id"), "doc_id", "left_semi")
-    sample = langid.hash_sample(ids, "doc_id", "toxic", rows_per_label, "toxic")
+    sample = langid.hash_sample(ids, "doc_id", "toxic", rows_per_label, "toxic", 2)
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([word_slots(t).tobytes() for t in b.column(3).to_pylist()], pa.binary())], ["doc_id", "lang", "toxic", "slots"])
 
-    chosen = learnable.join(F.broadcast(sample), "doc_id").select("doc_id", "lang", "toxic", "text")  # a bounded sample
+    chosen = learnable.join(common.checked(sample), "doc_id").select("doc_id", "lang", "toxic", "text")
     rows = sorted((r[0], r[1] or "", r[2], bytes(r[3])) for r in common.in_arrow(chosen, slots, "doc_id long, lang string, toxic int, slots binary").collect())
     texts = [np.frombuffer(r[3], np.uint32) for r in rows]
     y = np.array([r[2] for r in rows], np.float32)
@@ -300,4 +300,4 @@ def score_table(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([ids.slice(at, 512), pa.array(found, pa.float64())], ["doc_id", "score"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return common.in_arrow(chosen, score, "doc_id long, score double")
+    return common.stage(common.in_arrow(chosen, score, "doc_id long, score double"), "toxicity")

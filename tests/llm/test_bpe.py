@@ -44,6 +44,38 @@ def test_appends_and_edits_are_exact(text, data):
     assert encoder.tokens() == (WHOLE.encode_ordinary(edited) if edited else [])
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aeinrst' lXé\n1.", max_size=60), st.lists(st.tuples(st.integers(0, 60), st.integers(0, 6), st.text(alphabet="l' re\ns1", max_size=6)), max_size=6))
+def test_edits_of_texts_are_exact(text, edits):
+    encoder = bpe.TextEncoder(MODEL, text)
+    for at, length, new in edits:
+        at = min(at, len(text))
+        encoder.replace(at, min(at + length, len(text)), new)
+        text = text[:at] + new + text[min(at + length, len(text)) :]
+        assert encoder.text == text
+        assert encoder.tokens() == PLAIN.encode_ordinary(text)
+    encoder.append("'ll do")
+    assert encoder.tokens() == PLAIN.encode_ordinary(text + "'ll do")
+
+
+def test_an_edit_encodes_only_what_is_near():
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(1, 9))) for _ in range(2000))
+    encoder = bpe.TextEncoder(MODEL, text)
+    before = encoder.encoded
+    encoder.replace(5000, 5003, "new words")
+    assert encoder.encoded - before <= 6
+    assert encoder.tokens() == PLAIN.encode_ordinary(encoder.text)
+    raw = text.replace(" ", "").encode()
+    whole = bpe.PrefixEncoder(MODEL, raw)
+    assert whole.computed == len(raw)
+    for start, stop, new in ((4000, 4003, b"xyz"), (100, 100, b"inserted"), (6000, 6020, b"")):
+        before = whole.computed
+        whole.replace(start, stop, new)
+        assert whole.computed - before <= len(new) + 4 * MODEL.longest
+        assert whole.tokens() == WHOLE.encode_ordinary(whole.data.decode())
+
+
 def test_special_strings_are_ordinary():
     assert MODEL.encode("a<|endoftext|>b") == PLAIN.encode_ordinary("a<|endoftext|>b")
 

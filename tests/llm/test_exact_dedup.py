@@ -1,9 +1,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from rasterloom.llm import exact_dedup
 
@@ -33,20 +34,41 @@ def test_only_ascii_letters_are_lowered(spark):
 
 def test_filters_merge_without_loss():
     rng = np.random.default_rng(1)
-    values = rng.integers(0, 2**63, 3000).astype(np.uint64)
-    values = np.r_[values, values[:500], values[:100]]
+    bits = 40
+    values = rng.integers(0, 2**bits, 3000).astype(np.uint64)
+    values = np.r_[values, values[:500], values[:100], np.full(700, values[0]), np.arange(50, dtype=np.uint64)]  # many in one run
     rng.shuffle(values)
-    runs = defaultdict(list)
-    for part in np.array_split(values, 7):
-        cqf = exact_dedup.CountingQuotientFilter(3)
-        for piece in np.array_split(part, 3):
-            cqf.add(piece)
-        for block, remainders, counts in cqf.packed():
-            runs[block].append((np.frombuffer(remainders, np.uint64), np.frombuffer(counts, np.int64)))
-    merged = [exact_dedup.merge_sorted(r) for _, r in sorted(runs.items())]
+    parts = [exact_dedup.CountingQuotientFilter.of_all(x, bits) for x in np.array_split(values, 7)]
+    merged = exact_dedup.CountingQuotientFilter.merged([exact_dedup.CountingQuotientFilter.unpacked(x.packed()) for x in parts])
     want, n = np.unique(values, return_counts=True)
-    assert (np.concatenate([m[0] for m in merged]) == want).all()
-    assert (np.concatenate([m[1] for m in merged]) == n).all()
+    found, counts = merged.items()
+    assert (found == want).all()
+    assert (counts == n).all()
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 1000])
+def test_filters_hold_remainders_only(n):
+    values = np.unique(np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+    one = exact_dedup.CountingQuotientFilter.of_all(values, 64)
+    assert one.quotient_bits >= 1
+    assert len(one.occupied) == 1 << one.quotient_bits
+    assert (one.remainders < np.uint64(1 << 64 - one.quotient_bits)).all()
+    assert one.run_ends.sum() == one.occupied.sum()
+    assert one.items()[0].tolist() == values.tolist()
+    again = exact_dedup.CountingQuotientFilter.unpacked(one.packed())
+    assert again.items()[0].tolist() == values.tolist()
+    assert len(one.packed()) < 18 + 9 * n + 2
+
+
+def test_blocks_and_partial_filters(docs, monkeypatch):
+    """However fingerprints are dealt to filters, the same ones are found to repeat."""
+    keys = exact_dedup.text_keys(docs).cache()
+    fps = [r["fp"] for r in keys.collect()]
+    want = sorted(x for x, n in Counter(fps).items() if n > 1)
+    for partial, block in ((10**6, 10**5), (500, 20), (500, 10**5)):
+        monkeypatch.setattr(exact_dedup, "PARTIAL_FINGERPRINTS", partial)
+        monkeypatch.setattr(exact_dedup, "BLOCK_FINGERPRINTS", block)
+        assert sorted(r["fp"] for r in exact_dedup.repeated_fingerprints(keys, len(fps)).collect()) == want
 
 
 def test_odd_rows(odd_docs):

@@ -25,7 +25,7 @@ def test_folds_match_crc32(docs):
 
 def test_languages_are_told_apart(docs, corpus):
     model = langid.fit(docs.where(common.fold_of("doc_id", 4) != 2))
-    found = docs.select("doc_id", langid.language_of(model, F.col("text")).alias("p")).select("doc_id", "p.*").collect()
+    found = langid.language_table(docs, model).collect()
     lang = {r[0]: r[2] for r in corpus}
     words = {r[0]: len((r[1] or "").split()) for r in corpus}
     held = [r for r in found if fold(r["doc_id"], 4) == 2 and words[r["doc_id"]] > 20]
@@ -49,7 +49,7 @@ def test_far_texts_are_rejected_and_centroids_are_several(docs):
 def test_language_of_empty_tables(no_docs, docs):
     model = langid.fit(no_docs)
     assert model.predict(["words here"])[0] == ["und"]
-    assert no_docs.select(langid.language_of(model, F.col("text"))).count() == 0
+    assert langid.language_table(no_docs, model).count() == 0
 
 
 def test_prediction_is_of_the_whole_text(docs):

@@ -24,8 +24,8 @@ TEXTS = ["", None, " ", "a", "a b", "a b c", "a b c d", "a a a a", "a a a a a a"
 
 def test_measures_against_brute_force(spark, docs, corpus):
     rows = [(i, t) for i, t in enumerate(TEXTS)]
-    found = {r["doc_id"]: r for r in quality.measured(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    found |= {r["doc_id"] + 1000: r for r in quality.measured(docs).collect()}
+    found = {r["doc_id"]: r for r in quality.quality_filter(spark.createDataFrame(rows, "doc_id long, text string"), keep_measures=True).collect()}
+    found |= {r["doc_id"] + 1000: r for r in quality.quality_filter(docs, keep_measures=True).collect()}
     for i, t in rows + [(r[0] + 1000, r[1]) for r in corpus]:
         r = found[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute(t), t and t[:40]
@@ -47,6 +47,26 @@ def test_rules_with_most_rejection_per_cost_come_first(spark):
     assert [r.name for r in quality.rule_order(docs, [dear, cheap])] == ["cheap", "dear"]
 
 
+def test_dear_measures_are_only_taken_where_their_rule_is_reached(docs):
+    """Of what the rules need beyond the returned columns, nothing stands in the plan but inside the CASE, and a rule that
+    rejects a text keeps those after it from being evaluated."""
+    plan = quality.quality_filter(docs, keep_measures=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("!!") == plan.count("[^A-Z]") == 1
+    assert min(plan.index("!!"), plan.index("[^A-Z]")) > plan.index("CASE WHEN")
+    first = quality.Rule("first", F.col("doc_id") >= 0, 0.0)
+    second = quality.Rule("second", F.raise_error(F.lit("reached")).isNull(), 1.0)
+    rows = docs.where("doc_id is not null")
+    assert {r["failed_rule"] for r in rows.withColumn("failed_rule", quality.cascade([first, second])).collect()} == {"first"}
+
+
+def test_order_is_the_same_in_every_run_and_weighs_what_is_left(spark):
+    """The second rule rejects less than the third, but the first one has rejected all that the third would."""
+    docs = spark.createDataFrame([(i, f"word {i} " * 30) for i in range(300)], "doc_id long, text string")
+    rules = [quality.Rule("a", F.col("doc_id") < 100, 0.0), quality.Rule("b", F.col("doc_id") >= 280, 1.0), quality.Rule("c", F.col("doc_id") < 90, 1.0)]
+    for order in ([0, 1, 2], [2, 1, 0], [1, 2, 0]):
+        assert [r.name for r in quality.rule_order(docs, [rules[i] for i in order])] == ["a", "b", "c"]
+
+
 def test_plan_is_native(docs):
     plan = quality.quality_filter(docs, keep_measures=True)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))

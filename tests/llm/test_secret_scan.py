@@ -48,18 +48,34 @@ def test_table_against_brute_force(docs, corpus, spark):
         assert got[r[0]] == [(s, p, e) for s, p, e, _ in brute(r[1])]
 
 
-def test_ledger_scans_only_unseen_pairs(spark, tmp_path, monkeypatch):
+def scans(spark, ledger):
+    """How often each pair of blob and rule version was scanned."""
+    return [r["n"] for r in spark.read.parquet(ledger).select("blob", F.explode("scanned").alias("v")).groupBy("blob", "v").agg(F.count("v").alias("n")).collect()]
+
+
+def spans_of(found):
+    return sorted((r["doc_id"], tuple(zip(r["starts"] or [], r["places"] or [], r["ends"] or [], strict=True))) for r in found.collect())
+
+
+def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
+    """Several versions of a path, copies, later runs with more versions and with a changed and a new rule."""
     ledger = str(tmp_path / "ledger")
     schema = "doc_id long, text string"
-    first = spark.createDataFrame([(1, TEXTS[0]), (2, TEXTS[0]), (3, TEXTS[2])], schema)
-    secret_scan.scan_secrets(first, ledger=ledger).count()
+    rules = secret_scan.BASE_RULES
+    rows = [(1, TEXTS[0]), (1, TEXTS[2]), (2, TEXTS[0]), (3, TEXTS[2])]
+    want = lambda rows, rules: sorted((i, tuple(s[:3] for s in secret_scan.find_spans(t, rules))) for i, t in rows)
+    assert spans_of(secret_scan.scan_secrets(spark.createDataFrame(rows, schema), ledger=ledger, rules=rules)) == want(rows, rules)
     assert spark.read.parquet(ledger).count() == 2
-    second = spark.createDataFrame([(1, TEXTS[0]), (4, TEXTS[2]), (5, TEXTS[3])], schema)
-    found = {r["doc_id"]: r["places"] for r in secret_scan.scan_secrets(second, ledger=ledger).collect()}
-    assert spark.read.parquet(ledger).count() == 3
-    assert all(found.values())
-    secret_scan.scan_secrets(second, ledger=ledger, rule_version="2").count()
-    assert spark.read.parquet(ledger).groupBy("rule_version").count().where(F.col("rule_version") == "2").first()["count"] == 3
+    rows += [(1, TEXTS[3]), (4, TEXTS[2])]
+    assert spans_of(secret_scan.scan_secrets(spark.createDataFrame(rows, schema), ledger=ledger, rules=rules)) == want(rows, rules)
+    assert scans(spark, ledger) == [1] * 9
+    changed = (("assign", r"token=([a-z]+)", 1, 3), *rules[1:], secret_scan.MORE_RULES[0])
+    rows.append((5, TEXTS[7]))
+    assert spans_of(secret_scan.scan_secrets(spark.createDataFrame(rows, schema), ledger=ledger, rules=changed)) == want(rows, changed)
+    assert scans(spark, ledger) == [1] * (9 + 3 * 2 + 4)
+    before = spark.read.parquet(ledger).count()
+    assert spans_of(secret_scan.scan_secrets(spark.createDataFrame(rows, schema), ledger=ledger, rules=changed)) == want(rows, changed)
+    assert spark.read.parquet(ledger).count() == before
 
 
 @pytest.mark.parametrize("limit", [0, 10**6])
@@ -68,6 +84,11 @@ def test_every_text_is_scanned_whatever_its_ids(spark, limit, monkeypatch):
 
     monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
     rows = [(3, TEXTS[0]), (5, TEXTS[0]), (5, TEXTS[2]), (None, TEXTS[3]), (None, TEXTS[0]), (7, TEXTS[5]), (7, TEXTS[0]), (8, TEXTS[0]), (9, TEXTS[0])]
+    for rows in (rows, [r for r in rows if r[0] not in (5, 7)][:1] + [(None, TEXTS[3]), (8, TEXTS[0]), (9, TEXTS[0])], rows):
+        check(spark, rows)
+
+
+def check(spark, rows):
     found = secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     got = sorted((str(r["doc_id"]), sorted(zip(r["starts"], r["places"], r["ends"], strict=True))) for r in found)
     assert got == sorted((str(i), sorted(s[:3] for s in secret_scan.find_spans(t))) for i, t in rows)

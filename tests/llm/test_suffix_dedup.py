@@ -55,3 +55,12 @@ def test_odd_and_empty_tables(odd_docs, no_docs, clashing, docs):
     assert {(r["doc_id"], r["start_word"], r["end_word"], r["other_id"]) for r in found} == {(1, 0, 4, 2), (2, 0, 4, 1)}
     assert suffix_dedup.repeated_passages(no_docs).count() == 0
     assert sorted(suffix_dedup.repeated_passages(clashing).collect()) == sorted(suffix_dedup.repeated_passages(docs).collect())
+
+
+def test_passages_of_an_id_with_several_texts(spark):
+    """Id 5 has the text of 1 and another one, whose passage 9 holds too."""
+    rng = random.Random(21)
+    a, b, c = ([f"w{rng.randrange(5000)}" for _ in range(90)] for _ in range(3))
+    rows = [(1, " ".join(a)), (5, " ".join(a)), (5, " ".join(b)), (9, " ".join([*c[:20], *b[:79]])), (9, " ".join([*c[:20], *b[:79]]))]
+    found = suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["start_word"], r["end_word"]) for r in found) == [(1, 0, 90), (5, 0, 90), (9, 20, 99)]
