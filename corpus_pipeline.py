@@ -2,6 +2,11 @@
 
 Each stage takes all that the one before kept, is written as Parquet and read again. run() does that in the shared
 folder of spark.checkpoint.dir and returns the last stage's table.
+
+Cases: a null or empty text has no language and goes in the first stage; so do texts without a letter. Rows that repeat an
+id and a text count once from the second stage on; rows with one id and different texts are one node of the third, and stay
+or go together. A null id stays where its text does. Ties are settled by the ids, as each stage says. A null source is a
+source of its own. Empty tables give empty tables. Columns of any other name come through all stages but the last.
 """
 
 from __future__ import annotations
@@ -10,7 +15,6 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rasterloom.llm import bpe, common, exact_dedup, jaccard, langid, mixing
 
@@ -21,8 +25,7 @@ ORACLE_SQL = None
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: texts without a letter, or too far from every language, go."""
     model = langid.fit(docs.where(common.fold_of("doc_id", 4) != 2))
-    found = docs.withColumn("__language", langid.language_of(model, F.col("text")))
-    return found.where(~F.col("__language.rejected")).drop("__language")
+    return langid.keep_known(docs, model)
 
 
 def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
