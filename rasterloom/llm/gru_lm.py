@@ -57,6 +57,8 @@ PART_LANES = 256
 PIECES = 64
 LANES = 512
 LOGITS = 60.0
+#: Rows that pass through the output layer at once, and states that are gathered for it.
+BLOCK, POUR = 2048, 65_536
 #: Words of a task that are scored together.
 CHUNK_WORDS = 3_000_000
 _BIGRAMS = 1 << 9
@@ -283,33 +285,43 @@ class Gru:
             np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32),
         )
 
-    def step(self, h: np.ndarray, code: np.ndarray) -> np.ndarray:
-        g = self.inputs[code]
+    def parts(self, h: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(update, reset, what the loop adds to the candidate, candidate) of a step."""
+        g = self.inputs.take(code, axis=0)
         a = h @ self.loop
-        g[:, : 2 * UNITS] += a[:, : 2 * UNITS]
-        gates = _gates(g[:, : 2 * UNITS])
-        update, reset = gates[:, :UNITS], gates[:, UNITS:]
-        candidate = g[:, 2 * UNITS :]
-        candidate += reset * a[:, 2 * UNITS :]
-        candidate = _sign(candidate)
-        return candidate + update * (h - candidate)
+        gates = _gates(g[:, : 2 * UNITS] + a[:, : 2 * UNITS])
+        update, reset, added = gates[:, :UNITS], gates[:, UNITS:], a[:, 2 * UNITS :]
+        candidate = reset * added
+        candidate += g[:, 2 * UNITS :]
+        return update, reset, added, _sign(candidate)
+
+    def step(self, h: np.ndarray, code: np.ndarray) -> np.ndarray:
+        update, _, _, candidate = self.parts(h, code)
+        h = h - candidate
+        h *= update
+        h += candidate
+        return h
 
     def log_probs(self, h: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Natural log of P(class), times P(word | class) for frequent words, for each row of states."""
         own = np.where(code < VOCABULARY, code // CLASS_WORDS, CLASSES + code - VOCABULARY)
         order = np.argsort(own.astype(np.uint8), kind="stable")
-        code, own, h = code[order], own[order], h[order]
-        logits = h @ self.to_class
-        logits += self.class_bias
-        weights, sums = _weights(logits)
-        ratio = weights[np.arange(len(own)), own] / sums
+        code, own, h = code[order], own[order], h.take(order, axis=0)
+        ratio = np.empty(len(own), h.dtype)
+        for at in range(0, len(own), BLOCK):  # as much as caches hold
+            rows = slice(at, at + BLOCK)
+            logits = h[rows] @ self.to_class
+            logits += self.class_bias
+            weights, sums = _weights(logits)
+            ratio[rows] = weights[np.arange(len(sums)), own[rows]] / sums
         cuts = np.searchsorted(own, np.arange(CLASSES + 1))
         for k in np.flatnonzero(np.diff(cuts)):
-            at = slice(cuts[k], cuts[k + 1])
-            logits = h[at] @ self.to_word[k]
-            logits += self.word_bias[k]
-            weights, sums = _weights(logits)
-            ratio[at] *= weights[np.arange(len(sums)), code[at] % CLASS_WORDS] / sums
+            for at in range(cuts[k], cuts[k + 1], BLOCK):
+                rows = slice(at, min(at + BLOCK, cuts[k + 1]))
+                logits = h[rows] @ self.to_word[k]
+                logits += self.word_bias[k]
+                weights, sums = _weights(logits)
+                ratio[rows] *= weights[np.arange(len(sums)), code[rows] % CLASS_WORDS] / sums
         found = np.empty(len(own))
         found[order] = np.log(np.maximum(ratio, np.float32(1e-38)))
         return found
@@ -332,9 +344,23 @@ def learn_texts(model: Gru, squares: dict[str, np.ndarray], texts: list[np.ndarr
     if not texts:
         return
 
-    def move(name: str, gradient: np.ndarray, rows=slice(None)) -> None:
-        squares[name][rows] += gradient**2
-        getattr(model, name)[rows] -= rate * gradient / np.sqrt(squares[name][rows])
+    def move(name: str, gradient: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """An Adagrad step of a whole array or of some of its rows; gradient is used up."""
+        sums, weights = squares[name], getattr(model, name)
+        if rows is not None and len(rows) < len(sums):
+            own = sums[rows]
+            own += gradient * gradient
+            sums[rows] = own
+        else:
+            rows = None
+            sums += gradient * gradient
+            own = sums
+        gradient *= rate
+        gradient /= np.sqrt(own)
+        if rows is None:
+            weights -= gradient
+        else:
+            weights[rows] -= gradient
 
     for _ in range(epochs):
         order = rng.permutation(len(texts))
@@ -368,29 +394,29 @@ def window_gradients(model: Gru, h: np.ndarray, codes: np.ndarray, fresh: np.nda
         if first.any():
             h = h * ~first[:, None]
         states.append(h)
-        g, a = model.inputs[code], h @ model.loop
-        g[:, : 2 * UNITS] += a[:, : 2 * UNITS]
-        gates = _gates(g[:, : 2 * UNITS])
-        update, reset = gates[:, :UNITS], gates[:, UNITS:]
-        candidate = g[:, 2 * UNITS :]
-        candidate += reset * a[:, 2 * UNITS :]
-        candidate = _sign(candidate)
-        kept.append((h, a[:, 2 * UNITS :], update, reset, candidate, first))
+        update, reset, added, candidate = model.parts(h, code)
+        kept.append((h, added, update, reset, candidate, first))
         h = candidate + update * (h - candidate)
     # The output layer, with the tokens in the order of their classes.
     code = codes.ravel()
     own = np.where(code < VOCABULARY, code // CLASS_WORDS, CLASSES + code - VOCABULARY).astype(np.uint8)
     order = np.argsort(own, kind="stable")
-    code, own, state = code[order], own[order], np.concatenate(states)[order]
+    code, own, state = code[order], own[order], np.concatenate(states).take(order, axis=0)
     kind = model.loop.dtype
     share = kind.type(1 / lanes)
-    p = state @ model.to_class
-    p += model.class_bias
-    p, sums = _weights(p)
-    p *= (share / sums)[:, None]
-    p[np.arange(len(own)), own] -= share
-    back = p @ model.to_class.T
-    gradients = {"to_class": state.T @ p, "class_bias": p.sum(axis=0)}
+    back = np.empty_like(state)
+    on_class, on_class_bias = np.zeros_like(model.to_class), np.zeros_like(model.class_bias)
+    for at in range(0, len(own), BLOCK):
+        rows = slice(at, at + BLOCK)
+        p = state[rows] @ model.to_class
+        p += model.class_bias
+        p, sums = _weights(p)
+        p *= (share / sums)[:, None]
+        p[np.arange(len(p)), own[rows]] -= share
+        np.matmul(p, model.to_class.T, out=back[rows])
+        on_class += state[rows].T @ p
+        on_class_bias += p.sum(axis=0)
+    gradients = {"to_class": on_class, "class_bias": on_class_bias}
     cuts = np.searchsorted(own, np.arange(CLASSES + 1))
     met = np.flatnonzero(np.diff(cuts))
     on_word, on_bias = np.empty((len(met), UNITS, CLASS_WORDS), kind), np.empty((len(met), CLASS_WORDS), kind)
@@ -430,7 +456,7 @@ def window_gradients(model: Gru, h: np.ndarray, codes: np.ndarray, fresh: np.nda
     by_word = np.argsort(flat.astype(np.uint16), kind="stable")
     in_order = flat[by_word]
     begins = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]])
-    summed = run_sums(on_gates.reshape(len(flat), -1)[by_word], begins)
+    summed = run_sums(on_gates.reshape(len(flat), -1).take(by_word, axis=0), begins)
     return h, gradients, (in_order[begins], summed)
 
 
@@ -503,7 +529,7 @@ def score_texts(model: Gru, texts: list[np.ndarray], lanes: int = LANES) -> np.n
         states.append(h)
         places.append(where)
         held += active
-        if held >= 16_384:
+        if held >= POUR:
             pour()
         h = model.step(h, flat[where])
     if held:
