@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from rasterloom.llm import common
 
 #: Encoded pieces that a Python worker remembers, in each of two generations.
-PIECES = 350_000
+PIECES = 250_000
 _NO_TOKEN = -1
 
 

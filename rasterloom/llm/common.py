@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -153,10 +154,18 @@ def in_arrow(df: DataFrame, run: Callable, schema: str, after: Callable[[], None
         finally:
             if after is not None:
                 after()
+            give_back()
 
     return df.mapInArrow(whole, schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: a worker that lives on would keep it from the others."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Texts are long: a batch of them is held by the scan, by Arrow and by Python at once. Inside, batches are of BATCH_ROWS
