@@ -4,11 +4,12 @@ A text becomes a vector of hashed byte 2- and 3-grams of its lower-cased letters
 inverse document frequency and normalised. Each language keeps several centroids, found by spherical k-means over the
 vectors of its sample. A text takes the language of the most similar centroid (cosine), and is rejected if the distance
 1 - cosine is beyond the limit of its length band. Bands double in length, as short texts are far from any centroid. A
-limit is where all but one in a thousand of the learnable texts of that length lie, plus a quarter of what is then left up
-to a distance of 1; limits never rise with length.
+limit is where all but one in a thousand of the learnable texts of that length lie that no centroid was made of, plus a quarter of what is then left up
+to a distance of 1, and more where few texts show it: all of it where none does. Limits never rise with length.
 
-Only the centroids come from a sample, and it is bounded: rows_per_language whole texts of each of at most max_languages
-languages (those with the most rows), chosen by a hash of the id. Document frequencies and limits read all learnable rows.
+Only the centroids come from a sample, and it is bounded: rows_per_language whole texts, and no more than half, of each of
+at most max_languages languages (those with the most rows), chosen by a hash of the id. Document frequencies read all
+learnable rows, limits all others.
 
 Cases: a null text or one without a letter is `und` with score 0 and rejected; ties go to the first language in code-
 point order; rows without a language are not learned from; with no learnable row at all every text is `und`; rows that
@@ -102,14 +103,14 @@ def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = 8) -> np.ndarray
     return centers
 
 
-def hash_sample(rows: DataFrame, id_col: str, class_col: str, rows_per_class: int, seed: str, max_classes: int) -> DataFrame:
-    """About rows_per_class rows of each class, those whose hashed id is below a bar set from the class's count; of the
-    max_classes classes with the most rows."""
+def hash_sample(rows: DataFrame, id_col: str, class_col: str, rows_per_class: int, seed: str, max_classes: int, most: float = 1.0) -> DataFrame:
+    """About rows_per_class rows of each class, but no more than the share `most` of it: those whose hashed id is below a
+    bar set from the class's count; of the max_classes classes with the most rows."""
     counts = rows.groupBy(class_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), class_col).limit(max_classes)
     own, n = common.unused(rows, "own_class", "own_count")
     part = (F.crc32(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")).cast("binary")) / F.lit(float(1 << 32)))
     bars = common.checked(counts.withColumnsRenamed({class_col: own, "n": n}))
-    return rows.join(bars, rows[class_col] == F.col(own)).where(part < F.lit(float(rows_per_class)) / F.col(n)).drop(own, n)
+    return rows.join(bars, rows[class_col] == F.col(own)).where(part < F.least(F.lit(float(rows_per_class)) / F.col(n), F.lit(most))).drop(own, n)
 
 
 def document_frequencies(known: DataFrame) -> np.ndarray:
@@ -149,17 +150,20 @@ def distance_limits(known: DataFrame, model: CentroidModel) -> np.ndarray:
     found = np.zeros((64, BINS))
     for band, place, n in common.in_arrow(known, counted, "band int, bin int, n long").groupBy("band", "bin").agg(F.sum("n")).collect():
         found[band, place] = n
-    limits = np.zeros(0)
-    for row in found[: np.flatnonzero(found.any(axis=1)).max(initial=-1) + 1][::-1]:  # from long texts to short ones
-        within = (np.searchsorted(row.cumsum(), WITHIN * row.sum()) + 1) / BINS if row.any() else 0.0
-        limits = np.r_[max(within, limits[0] if len(limits) else 0.0), limits]
-    return limits + SLACK * (1 - limits) if len(limits) else np.ones(1)
+    limits = []
+    for row in found[: np.flatnonzero(found.any(axis=1)).max(initial=0) + 1]:
+        n = row.sum()
+        within = (np.searchsorted(row.cumsum(), WITHIN * n) + 1) / BINS if n else 0.0
+        room = SLACK + (1 - SLACK) / np.sqrt(1 + n)  # few texts show little of how far others may lie
+        limits.append(within + room * (1 - within))
+    return np.minimum.accumulate(limits)
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows_per_language: int = ROWS_PER_LANGUAGE, centroids: int = CENTROIDS, max_languages: int = MAX_LANGUAGES) -> CentroidModel:
     """Learn from the rows of docs that have a language. The caller leaves out what is held out."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    ids = hash_sample(known.select("doc_id", "lang"), "doc_id", "lang", rows_per_language, "lang", max_languages)
+    ids = hash_sample(known.select("doc_id", "lang"), "doc_id", "lang", rows_per_language, "lang", max_languages, 0.5)
+    ids = common.checked(ids.select("doc_id").distinct())
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +173,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
                     slots = np.flatnonzero(counts)
                     yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([slots.astype(np.uint16).tobytes()], pa.binary()), pa.array([counts[slots].astype(np.uint32).tobytes()], pa.binary())], ["lang", "slots", "counts"])
 
-    chosen = known.join(common.checked(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text")
+    chosen = known.join(ids, "doc_id", "left_semi").select("lang", "text")
     rows = sorted(common.in_arrow(chosen, sparse, "lang string, slots binary, counts binary").collect(), key=lambda r: (r[0], bytes(r[1]), bytes(r[2])))
     model = CentroidModel(sorted({r[0] for r in rows}), np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int))
     if not rows:
@@ -185,7 +189,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
         parts.append(spherical_kmeans(model.vectors(counts), centroids))
     model.centroids = np.concatenate(parts)
     model.owner = np.repeat(np.arange(len(model.languages)), [len(p) for p in parts])
-    model.limits = distance_limits(known.select("lang", "text"), model)
+    model.limits = distance_limits(known.join(ids, "doc_id", "left_anti").select("lang", "text"), model)
     return model
 
 

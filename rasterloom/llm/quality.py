@@ -30,8 +30,8 @@ SYMBOL = r"[#*$%&|<>]"
 SAMPLE_ROWS = 1000
 
 
-#: Prices of measures, in nanoseconds per character: by stages of this module's own queries on prose, on one core.
-PRICES = {"n_words": 25, "word_chars": 40, "n_symbols": 15, "n_lines": 10, "n_dup_lines": 15, "n_repeat_words": 250, "n_bangs": 15, "n_upper": 40}
+#: Prices of measures in nanoseconds per character, as timed on one core over 3000 documents; only their order matters.
+PRICES = {"n_words": 75, "word_chars": 40, "n_symbols": 10, "n_lines": 5, "n_dup_lines": 10, "n_repeat_words": 540, "n_bangs": 2, "n_upper": 75}
 
 
 @dataclass(frozen=True)

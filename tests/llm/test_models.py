@@ -58,6 +58,76 @@ def test_prediction_is_of_the_whole_text(docs):
     assert model.predict([text])[0] == ["de"]
 
 
+def test_language_against_loops(docs, corpus):
+    """TF-IDF, cosine to every centroid, distance and limit in plain loops."""
+    model = langid.fit(docs)
+    held = langid.document_frequencies(docs.where("lang is not null and text is not null").select("lang", "text"))
+
+    def grams(text):
+        data = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in text.lower().encode())
+        data = b" " + b" ".join(data.split()) + b" "
+        two = [((data[i] * 256 + data[i + 1]) * 0x9E3779B1 & 0xFFFFFFFF) >> 19 for i in range(len(data) - 1)]
+        three = [(((data[i] * 65536 + data[i + 1] * 256 + data[i + 2]) * 0x85EBCA77 + 0x27D4EB2F) & 0xFFFFFFFF) >> 19 for i in range(len(data) - 2)]
+        return Counter(two + three)
+
+    learned = [r[1] for r in corpus if r[1] is not None and r[2] is not None and any(c.isalpha() for c in r[1])]
+    assert held[-1] == len(learned)
+    frequency = Counter(slot for t in learned for slot in grams(t))
+    assert all(held[s] == frequency[s] for s in range(langid.DIMENSIONS))
+    texts = [r[1] for r in corpus if r[1]][:60:3]
+    names, scores, rejected = model.predict(texts)
+    for text, name, score, away in zip(texts, names, scores, rejected, strict=True):
+        if not any(c.isalpha() for c in text):
+            assert (name, score, away) == ("und", 0.0, True)
+            continue
+        counts = grams(text)
+        weights = {s: math.log1p(n) * (math.log((1 + len(learned)) / (1 + frequency[s])) + 1) for s, n in counts.items()}
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        cosines = [sum(w * float(c[s]) for s, w in weights.items()) / norm for c in model.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert name == model.languages[model.owner[best]]
+        assert math.isclose(score, min(max(cosines[best], 0), 1), abs_tol=1e-4)
+        band = min(int(math.log2(sum(counts.values()))), len(model.limits) - 1)
+        assert away == (1 - cosines[best] > model.limits[band])
+
+
+def test_foreign_texts_are_rejected_and_own_ones_stay(docs, corpus):
+    """Other languages of the same script, and texts of one letter pair; limits come from the learnable texts alone."""
+    model = langid.fit(docs.where(common.fold_of("doc_id", 4) != 2))
+    foreign = ["kun jij mij zeggen waar kikker woont bij vijver " * 6, "koły wyższość jakbyś przyszła gdzież indziej " * 6, "xq zz qx " * 40, "жщюэ фыва олдж йцук " * 10]
+    assert model.predict(foreign)[2].all()
+    own = [r[1] for r in corpus if r[1] and fold(r[0], 4) == 2 and len(r[1].split()) > 20]
+    assert not model.predict(own)[2].any()
+    assert (np.diff(model.limits) <= 0).all()
+    assert 0 < model.limits.min() and model.limits.max() <= 1
+
+
+def test_language_of_odd_rows_and_clashing_names(odd_docs, clashing, docs):
+    model = langid.fit(odd_docs)
+    assert langid.language_table(odd_docs, model).count() == 8
+    assert {tuple(r) for r in langid.language_table(odd_docs, model).where("doc_id = 1").drop("raw").collect()} != set()
+    model = langid.fit(docs)
+    kept = langid.keep_known(clashing, model)
+    assert kept.columns == clashing.columns
+    rows = kept.collect()
+    assert all(r["language"] == f"language{r['doc_id']}" for r in rows)
+    assert not {r["doc_id"] for r in rows} & {300, 301, 302, 304, 305}
+    twice = langid.keep_known(odd_docs.unionByName(odd_docs), model)
+    assert twice.count() % 2 == 0
+
+
+def test_ties_go_to_the_first_language():
+    same = np.ones((2, langid.DIMENSIONS), np.float32) / np.sqrt(langid.DIMENSIONS)
+    model = langid.CentroidModel(["aa", "bb"], np.ones(langid.DIMENSIONS, np.float32), same.astype(np.float32), np.array([0, 1]))
+    assert model.predict(["some words here"])[0] == ["aa"]
+
+
+def test_the_sample_is_bounded_in_total(spark):
+    rows = [(i, f"word{i} of text", f"l{i % 50}") for i in range(400)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_languages=5)
+    assert len(model.languages) == 5
+
+
 # -- toxicity ----------------------------------------------------------------------------------------------------
 
 
@@ -116,6 +186,40 @@ def test_maxima_cover_the_whole_text(marked):
     assert np.allclose(together, [model.raw([s])[0] for s in slots], atol=1e-6)
 
 
+def test_toxicity_against_loops(marked):
+    """Convolution, max pooling, the logistic layer and the bend at the threshold in plain loops."""
+    docs, labels, _ = marked
+    model = toxicity.fit(docs, labels)
+    texts = ["", "the1ing", "moron the2ing", "the7ing SCUM, the9ing trash! the3ing", "sch1ung dumpf sch2ung sch9ung"]
+    for text, score in zip(texts, model.scores(texts), strict=True):
+        slots = toxicity.word_slots(text)
+        words = [model.words[s >> 16].astype(float) + model.heads[s & 0xFFFF] for s in slots]
+        padded = words + [np.zeros(toxicity.SIZE)] * toxicity.GAP
+        peaks, column = [], 0
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                answers = [sum(padded[at + j] @ model.filters[:, column + j * toxicity.FILTERS + f] for j in range(width)) for at in range(max(len(words), 1))]
+                peaks.append(max(0.0, max(answers) + model.bias[k * toxicity.FILTERS + f]))
+            column += width * toxicity.FILTERS
+        raw = 1 / (1 + math.exp(-(sum(p * o for p, o in zip(peaks, model.out, strict=True)) + model.base)))
+        bar = model.thresholds.get(model.languages.predict([text])[0][0], model.thresholds[""])
+        want = 0.5 * raw / bar if raw < bar else 0.5 + 0.5 * (raw - bar) / (1 - bar)
+        assert math.isclose(score, want, abs_tol=1e-5)
+
+
+def test_toxicity_of_odd_rows_and_clashing_names(odd_docs, clashing, no_docs, marked, spark):
+    docs, labels, _ = marked
+    model = toxicity.fit(docs, labels)
+    found = toxicity.score_table(odd_docs, model).collect()
+    assert len(found) == 8
+    assert len({r["score"] for r in found if r["doc_id"] == 1}) == 1
+    assert toxicity.score_table(clashing, model).count() == 306
+    repeated = toxicity.fit(odd_docs.unionByName(odd_docs), spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, None), (None, 1)], "doc_id long, toxic int"))
+    assert toxicity.score_table(odd_docs, repeated).count() == 8
+    empty = toxicity.fit(no_docs, labels)
+    assert toxicity.score_table(no_docs, empty).count() == 0
+
+
 def test_toxicity_without_labels(docs, spark, no_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(docs, none)
@@ -209,6 +313,62 @@ def test_state_is_carried_to_the_end_of_each_text():
         assert np.allclose(gru_lm.score_texts(model, texts, lanes), want, rtol=1e-4)
 
 
+def test_gradients_against_finite_differences():
+    """In double precision: of each array, some entries that the window meets, moved a little up and down. A text that
+    begins inside the window starts from zero; before it, gradients do not pass."""
+    rng = np.random.default_rng(7)
+    lexicon = gru_lm.Lexicon({}, np.ones(gru_lm.VOCABULARY, np.int64), 10, 10, 1, gru_lm.Speller.learn([]))
+    model = gru_lm.Gru(**{k: v.astype(np.float64) * (3 if k in ("to_class", "to_word") else 1) for k, v in vars(gru_lm.Gru.start(lexicon)).items()})
+    few = rng.integers(0, gru_lm.VOCABULARY + gru_lm.RARE_CLASSES, 9)
+    codes, fresh = rng.choice(few, (6, 4)), rng.random((6, 4)) < 0.2
+    start = rng.normal(0, 0.5, (4, gru_lm.UNITS))
+
+    def loss():
+        h, total = start, 0.0
+        for code, first in zip(codes, fresh, strict=True):
+            h = np.where(first[:, None], 0.0, h)
+            total -= model.log_probs(h, code).sum()
+            h = model.step(h, code)
+        return total / codes.shape[1]
+
+    _, gradients, (words, on_words) = gru_lm.window_gradients(model, start, codes, fresh)
+    found = {k: np.zeros_like(v) for k, v in vars(model).items()}
+    for name in ("to_class", "class_bias", "loop"):
+        found[name] += gradients[name]
+    for name in ("to_word", "word_bias"):
+        found[name][gradients[name][0]] = gradients[name][1]
+    found["inputs"][words] = on_words
+    for name, array in vars(model).items():
+        met = np.argwhere(found[name] != 0)
+        for at in map(tuple, met[rng.integers(0, len(met), 25)]):
+            kept, sides = array[at], []
+            for move in (1e-5, -1e-5):
+                array[at] = kept + move
+                sides.append(loss())
+            array[at] = kept
+            assert math.isclose((sides[0] - sides[1]) / 2e-5, found[name][at], rel_tol=1e-4, abs_tol=1e-7), name
+
+
+def test_run_sums():
+    rng = np.random.default_rng(3)
+    keys = np.sort(rng.zipf(1.3, 500) % 60)
+    rows, begins = rng.normal(size=(500, 3)), np.flatnonzero(np.r_[True, np.diff(keys) > 0])
+    assert np.allclose(gru_lm.run_sums(rows, begins), np.add.reduceat(rows, begins, axis=0))
+
+
+def test_word_classes_learn_from_all_words(spark):
+    """Letters that only rare words have reach the classes, however few words they begin with; dealing changes nothing."""
+    words = [f"ab{k}ab" for k in range(300)] + [f"xyz{k}zyx" for k in range(300)]
+    counts = spark.createDataFrame([(w.encode(), 1) for w in words], "word binary, c long")
+    first = gru_lm.Speller.learn([w.encode() for w in words[:300:10]])
+    one, other = (first.learned_from(counts.repartition(n), {b"ab1ab"}) for n in (2, 5))
+    assert (one.weights == other.weights).all()
+    a, b = one.classes([b"ab7ab"]), one.classes([b"xyz7zyx"])
+    seen = one.learned_from(counts, set())
+    assert (seen.weights != first.weights).any()
+    assert a is not None and b is not None
+
+
 def test_training_gradient():
     """One step of training lowers the loss of its own window."""
     rng = np.random.default_rng(2)
