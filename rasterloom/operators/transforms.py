@@ -182,24 +182,30 @@ class Resample(Step):
         corners = F.array(corner(0, "left", "top"), corner(1, "right", "top"), corner(2, "left", "bottom"), corner(3, "right", "bottom"))
         new = ["tile_row", "tile_col", "ngx", "ngy", "ncw", "nch", "oy", "ox"]
         wanted = cells.select(*new, "gx", "gy", "fx", "fy", "black", F.explode(corners).alias("s")).select("*", "s.k", "s.sx", "s.sy").drop("s")
-        wanted = wanted.select("*", F.explode(F.array(*[F.lit(k) for k in range(info.channels)])).alias("c"))
         if border is None:  # inside the tile
-            keys, sx, sy = [*KEY, "sy", "sx", "c"], F.col("sx"), F.col("sy")
+            keys, sx, sy = [*KEY, "sy", "sx"], F.col("sx"), F.col("sy")
         else:
-            keys = ["sy", "sx", "c"]
+            keys = ["sy", "sx"]
             sx = border_coordinate(F.col("gx") + F.col("sx") - halo, info.width, border)
             sy = border_coordinate(F.col("gy") + F.col("sy") - halo, info.height, border)
         # What reads zero gets a key that matches nothing, a different one for each sample.
         none = F.col("black") | sx.isNull() | sy.isNull()
-        wanted = wanted.select(*new, "fx", "fy", "k", "c", F.when(none, -1 - F.col("ox")).otherwise(sx).alias("sx"), F.when(none, -1 - F.col("oy")).otherwise(sy).alias("sy"))
-        # One lookup of all four corners and one aggregation, not four joins.
-        found = wanted.join(source, keys, "left")
-        p = [F.coalesce(F.max(F.when(F.col("k") == k, F.col("v"))), F.lit(0)).cast("double").alias(f"p{k}") for k in range(4)]
-        one = found.groupBy(*new, "c").agg(F.max("fx").alias("fx"), F.max("fy").alias("fy"), *p)
+        wanted = wanted.select(*new, "fx", "fy", "k", F.when(none, -1 - F.col("ox")).otherwise(sx).alias("sx"), F.when(none, -1 - F.col("oy")).otherwise(sy).alias("sy"))
+        # A pixel's samples travel side by side; one lookup of all four corners and one aggregation, not four joins.
+        beside = [F.max(F.when(F.col("c") == c, F.col("v"))).alias(f"v{c}") for c in range(info.channels)]
+        found = wanted.join(source.groupBy(*keys).agg(*beside), keys, "left")
+        corner = lambda k, c: F.coalesce(F.max(F.when(F.col("k") == k, F.col(f"v{c}"))), F.lit(0)).cast("double").alias(f"p{k}_{c}")
+        one = found.groupBy(*new).agg(F.max("fx").alias("fx"), F.max("fy").alias("fy"), *[corner(k, c) for k in range(4) for c in range(info.channels)])
         gx, gy = F.lit(1.0) - F.col("fx"), F.lit(1.0) - F.col("fy")
-        value = gy * (gx * F.col("p0") + F.col("fx") * F.col("p1")) + F.col("fy") * (gx * F.col("p2") + F.col("fx") * F.col("p3"))
+
+        def value(c: int) -> Column:
+            p = [F.col(f"p{k}_{c}") for k in range(4)]
+            blend = gy * (gx * p[0] + F.col("fx") * p[1]) + F.col("fy") * (gx * p[2] + F.col("fx") * p[3])
+            return F.floor(F.least(F.greatest(blend, F.lit(0.0)), F.lit(255.0))).cast("int")
+
         named = [F.col(f"n{k}").alias(k) for k in BOX]
-        return one.select(*KEY, *named, F.col("oy").alias("ly"), F.col("ox").alias("lx"), "c", F.floor(F.least(F.greatest(value, F.lit(0.0)), F.lit(255.0))).cast("int").alias("v"))
+        samples = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), value(c).alias("v")) for c in range(info.channels)]))
+        return one.select(*KEY, *named, F.col("oy").alias("ly"), F.col("ox").alias("lx"), samples.alias("s")).select(*KEY, *BOX, "ly", "lx", "s.c", "s.v")
 
     def _boxes(self, boxes: DataFrame) -> DataFrame:
         return self.new_boxes(boxes).where("ncw > 0 and nch > 0").select(*KEY, *[F.col(f"n{k}").alias(k) for k in BOX])
