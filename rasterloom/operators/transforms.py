@@ -192,8 +192,11 @@ class Resample(Step):
         none = F.col("black") | sx.isNull() | sy.isNull()
         wanted = wanted.select(*new, "fx", "fy", "k", F.when(none, -1 - F.col("ox")).otherwise(sx).alias("sx"), F.when(none, -1 - F.col("oy")).otherwise(sy).alias("sy"))
         # A pixel's samples travel side by side; one lookup of all four corners and one aggregation, not four joins.
-        beside = [F.max(F.when(F.col("c") == c, F.col("v"))).alias(f"v{c}") for c in range(info.channels)]
-        found = wanted.join(source.groupBy(*keys).agg(*beside), keys, "left")
+        if info.channels == 1:
+            rows = source.select(*keys, F.col("v").alias("v0"))
+        else:
+            rows = source.groupBy(*keys).agg(*[F.max(F.when(F.col("c") == c, F.col("v"))).alias(f"v{c}") for c in range(info.channels)])
+        found = wanted.join(rows, keys, "left")
         corner = lambda k, c: F.coalesce(F.max(F.when(F.col("k") == k, F.col(f"v{c}"))), F.lit(0)).cast("double").alias(f"p{k}_{c}")
         one = found.groupBy(*new).agg(F.max("fx").alias("fx"), F.max("fy").alias("fy"), *[corner(k, c) for k in range(4) for c in range(info.channels)])
         gx, gy = F.lit(1.0) - F.col("fx"), F.lit(1.0) - F.col("fy")
