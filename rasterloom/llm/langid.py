@@ -159,8 +159,9 @@ def distance_limits(known: DataFrame, model: CentroidModel) -> np.ndarray:
     return np.minimum.accumulate(limits)
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows_per_language: int = ROWS_PER_LANGUAGE, centroids: int = CENTROIDS, max_languages: int = MAX_LANGUAGES) -> CentroidModel:
-    """Learn from the rows of docs that have a language. The caller leaves out what is held out."""
+def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows_per_language: int = ROWS_PER_LANGUAGE, centroids: int = CENTROIDS, max_languages: int = MAX_LANGUAGES, reject: bool = True) -> CentroidModel:
+    """Learn from the rows of docs that have a language. The caller leaves out what is held out. reject: find the limits
+    too, which is a pass over all rows; without them no text with a letter is rejected."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     ids = hash_sample(known.select("doc_id", "lang"), "doc_id", "lang", rows_per_language, "lang", max_languages, 0.5)
     ids = common.checked(ids.select("doc_id").distinct())
@@ -189,7 +190,8 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
         parts.append(spherical_kmeans(model.vectors(counts), centroids))
     model.centroids = np.concatenate(parts)
     model.owner = np.repeat(np.arange(len(model.languages)), [len(p) for p in parts])
-    model.limits = distance_limits(known.join(ids, "doc_id", "left_anti").select("lang", "text"), model)
+    if reject:
+        model.limits = distance_limits(known.join(ids, "doc_id", "left_anti").select("lang", "text"), model)
     return model
 
 

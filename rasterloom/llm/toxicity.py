@@ -283,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL
     model = train([texts[i] for i in learn], y[learn])
     if rows:
         model.thresholds = thresholds_of(count_scores(learnable, marked, model, {rows[i][0] for i in learn}).collect())
-    model.languages = langid.fit(docs)
+    model.languages = langid.fit(docs, reject=False)  # only the language is read
     return model
 
 
