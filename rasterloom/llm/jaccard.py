@@ -8,7 +8,8 @@ under every order, so a pair must pass it under each of several orders before th
   order shingles of like frequency. A sketch that counts too high costs time, never a link. Counts are held against the
   sketch's own noise, so shingles that would make large buckets stand out however large the corpus is.
 * Texts with equal sets are collapsed to one representative before the join; they share its component.
-* Prefixes are dealt by shingle once; shingles in one prefix only are dropped where they arrive.
+* Prefixes are dealt by shingle once; where they arrive, those rows of a shingle are dropped that by size and place can link
+  with no other row of it. A pair that links passes that test at its first common shingle, so both its rows stay.
 * Buckets (texts sharing a prefix shingle) are never paired out in full. Each bucket first pairs its texts with one hub:
   the text with the fewest rarer shingles before the common one, which is the least edited of a family of copies, and to
   which all link that can link with many. What links is merged; then only texts that lie in another component than the
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -47,6 +49,8 @@ PAIRS_PER_TASK = 5000
 TEXTS_KEPT = 256
 #: Prefix rows of one shingle that one task takes, by the sketch; those of a more frequent one are dealt to several.
 SALT_BITS = 15
+#: Prefix rows that a task tests together for whether they can link with another one of their shingle.
+MET_ROWS = 50_000
 
 
 class WordHashes(dict):
@@ -194,24 +198,68 @@ def prefix_table(docs: DataFrame, classes, width: int, num: int, den: int) -> Da
     return common.in_arrow(docs, run, "token long, salt int, doc_id long, n int, place int", forget)
 
 
-def met_again(rows: DataFrame) -> DataFrame:
-    """Of rows sorted by token in each task, those (token, doc_id, n, place) whose token a neighbour has too, and all salted ones."""
-    names = ["token", "doc_id", "n", "place"]
+def may_meet(token: np.ndarray, n: np.ndarray, place: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Mask of the rows that may link with another row of their token, by the test of may_link; rows are sorted by token.
+
+    That test says that either set is no larger than the other one reaches, which depends on its own size and place alone.
+    So of each token's rows in the order of size, those within a row's reach are a stretch, and the greatest reach in it tells.
+    """
+    if not len(token):
+        return np.zeros(0, bool)
+    n, place = n.astype(np.int64), place.astype(np.int64)
+    reach = np.maximum(((n - place) * (num + den) - n * num) // num, 0)
+    order = np.lexsort((n, token))
+    own = np.cumsum(np.r_[0, token[1:] != token[:-1]]) * (max(n.max(), reach.max()) + 2)  # tells tokens apart; a row keeps to its own
+    size, far = (own + n)[order], (own + reach)[order]
+    at, end = np.arange(len(size)), np.searchsorted(size, far, side="right")
+    before = np.minimum(at, end) - 1
+    keep = (before >= 0) & (np.maximum.accumulate(far)[before] >= size)
+    left = np.flatnonzero(~keep & (end > at + 1))
+    length, span, greatest = end[left] - left - 1, 1, far  # greatest reach of `span` rows from each
+    while len(left):
+        use = length < 2 * span
+        i = left[use]
+        keep[i] = np.maximum(greatest[i + 1], greatest[end[i] - span]) >= size[i]
+        left, length = left[~use], length[~use]
+        if len(left):
+            greatest, span = np.maximum(greatest[:-span], greatest[span:]), 2 * span
+    found = np.empty(len(keep), bool)
+    found[order] = keep
+    return found
+
+
+def met_again(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Of rows sorted by token in each task, those (token, doc_id, n, place) that may link with another one of their token,
+    and all salted ones, whose token other tasks have too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, twin = None, False  # the row before, and whether its token is that of the row before it
+        waiting, held, enough = [], 0, MET_ROWS
+
+        def settled(last: bool) -> Iterator[pa.RecordBatch]:
+            """Rows of all tokens but the last one met, of which more may come."""
+            nonlocal waiting, held, enough
+            whole = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            token, n, place = (whole.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
+            cut = len(token) if last else int(np.searchsorted(token, token[-1]))
+            yield whole.slice(0, cut).filter(pa.array(may_meet(token[:cut], n[:cut], place[:cut], num, den)))
+            waiting, held = [whole.slice(cut)], len(token) - cut
+            enough = max(MET_ROWS, 2 * held)
+
         for batch in batches:
-            whole = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-            token = whole.column(0).to_numpy(zero_copy_only=False)
-            same = np.r_[twin, token[1:] == token[:-1]]
-            keep = same | np.r_[same[1:], False] | (whole.column(1).to_numpy(zero_copy_only=False) >= 0)
-            keep[-1] = False
-            yield whole.filter(pa.array(keep)).select([0, 2, 3, 4])
-            last, twin = whole.slice(len(whole) - 1), bool(same[-1])
-        if last is not None and (twin or last.column(1)[0].as_py() >= 0):
-            yield last.select([0, 2, 3, 4])
+            salted = pa.array(batch.column(1).to_numpy(zero_copy_only=False) >= 0)
+            alone, batch = batch.filter(salted), batch.filter(pc.invert(salted))
+            if len(alone):
+                yield alone.select([0, 2, 3, 4])
+            if len(batch):
+                waiting.append(batch.select([0, 2, 3, 4]))
+                held += len(batch)
+                if held >= enough:
+                    yield from settled(False)
+        if held:
+            yield from settled(True)
 
-    return common.in_arrow(rows.select("token", "salt", *names[1:]), run, "token long, doc_id long, n int, place int")
+    names = ["token", "salt", "doc_id", "n", "place"]
+    return common.in_arrow(rows.select(*names), run, "token long, doc_id long, n int, place int")
 
 
 def first_common(x: np.ndarray, y: np.ndarray) -> tuple[int, int] | None:
@@ -306,7 +354,7 @@ def _representatives(chosen: DataFrame, sets: DataFrame, groups: DataFrame, n_ro
 def buckets_of(reps: DataFrame, classes, width: int, num: int, den: int) -> DataFrame:
     """(token, doc_id, n, place, texts, hub): prefix shingles that several texts have, and the hub of their bucket."""
     dealt = prefix_table(reps, classes, width, num, den).repartition("token", "salt").sortWithinPartitions("token")
-    rows = common.stage(met_again(dealt), "buckets")
+    rows = common.stage(met_again(dealt, num, den), "buckets")
     n_rows = rows.count()
     # Shingles of one passage mostly have the same texts. Of buckets with equal texts (by their number and two
     # 64-bit digests) the first in the order stays, which is the one with the smallest places; it yields the same pairs.
@@ -332,17 +380,21 @@ def linked_components(reps: DataFrame, classes, width: int, num: int, den: int)
     pairs = tried = common.stage(with_hub(shared), "pairs", n_shared)
     edges = common.stage(verified(pairs, reps, classes, width, num, den), "links", pairs.count(), PAIRS_PER_TASK)
     found = graph.components(edges)
+    # The hubs' pairs are settled: their rows go, and buckets of two with them.
+    own_row = F.struct("place", "doc_id", "n")
+    left = ["token", "doc_id", "n", "place", "texts", "hub_id"]
+    rest = shared.where((F.col("texts") > 2) & (own_row != F.col("hub"))).withColumn("hub_id", F.col("hub.doc_id")).select(left)
     for turn in range(1, MAX_HUB_ROUNDS + 1):
-        placed = shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        placed = rest.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
         # Next hubs come from outside the first hub's component: the most central text there, and then any.
         rank = F.col("place").cast("long") if turn == 1 else F.xxhash64("doc_id", F.lit(turn))
         outside = F.when(F.col("component") != F.col("hub_component"), F.struct(rank.alias("rank"), "doc_id", "n", "place", "component"))
         first = found.select(F.col("node").alias("hub_id"), F.col("component").alias("hub_component"))
-        first = placed.withColumn("hub_id", F.col("hub.doc_id")).join(first, "hub_id", "left").withColumn("hub_component", F.coalesce("hub_component", "hub_id"))
+        first = placed.join(first, "hub_id", "left").withColumn("hub_component", F.coalesce("hub_component", "hub_id"))
         turn_hubs = first.groupBy("token").agg(F.min(outside).alias("hub")).where("hub is not null")
         turn_hubs = common.stage(turn_hubs, "hubs", n_shared)
-        placed = common.stage(placed.drop("hub").join(turn_hubs, "token"), "placed", n_shared)
+        placed = common.stage(placed.join(turn_hubs, "token"), "placed", n_shared)
         apart = placed.where("component <> hub.component")
         waiting = apart.agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0]
         if waiting == 0:
@@ -363,6 +415,7 @@ def linked_components(reps: DataFrame, classes, width: int, num: int, den: int)
         tried = tried.unionByName(new)
         if last:
             break
+        rest = placed.where(own_row != F.struct("hub.place", "hub.doc_id", "hub.n")).select(left)  # only buckets with texts outside
     return found
 
 

@@ -96,3 +96,42 @@ def test_a_copy_with_another_text_under_its_id_stays(spark):
     rows = [(3, " ".join(a)), (5, " ".join(a)), (5, " ".join(b)), (9, " ".join([*b[:-1], "other"])), (12, "far from all of them")]
     found = jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
     assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(3, 3), (5, 3), (5, 3), (9, 3), (12, 12)]
+
+
+def rows_that_may_meet(rows, num, den):
+    """By a loop over the pairs of each token: (token, doc_id, n, place) that may link with another row."""
+    of_token = {}
+    for r in rows:
+        of_token.setdefault(r[0], []).append(r)
+    for same in of_token.values():
+        for i, (token, _, doc_id, n, place) in enumerate(same):
+            if any(k != i and min(n - place, m - other) * (num + den) >= (n + m) * num for k, (_, _, _, m, other) in enumerate(same)):
+                yield token, doc_id, n, place
+
+
+@pytest.mark.parametrize("num", [50, 80, 90])
+def test_rows_that_can_link_with_none_leave_their_bucket(spark, num):
+    """Buckets of all sizes, some over several batches, and a salted one, which stays whole."""
+    rng = random.Random(num)
+    rows = []
+    for token in range(30_000):
+        for _ in range(rng.choice([1, 2, 2, 3, 5]) if token % 10_000 else 600):
+            n = rng.randrange(1, 300)
+            rows.append((token, -1, len(rows), n, rng.randrange(jaccard.prefix_length(n, num, 100))))
+    salted = [(40_000, k % 4, 10**6 + k, 10 * k + 10, 0) for k in range(700)]
+    frame = spark.createDataFrame(rows + salted, "token long, salt int, doc_id long, n int, place int").coalesce(1).sortWithinPartitions("token")
+    found = [tuple(r) for r in jaccard.met_again(frame, num, 100).collect()]
+    want = [*rows_that_may_meet(rows, num, 100), *((r[0], *r[2:]) for r in salted)]
+    assert len(want) < 0.8 * len(rows)
+    assert sorted(found) == sorted(want)
+
+
+def test_later_rounds_leave_out_what_is_settled(docs, corpus, monkeypatch):
+    """Several rounds of hubs, each over what the one before left, find the components too."""
+    monkeypatch.setattr(jaccard, "PAIRS_PER_TEXT", 0)
+    staged, stage = [], jaccard.common.stage
+    monkeypatch.setattr(jaccard.common, "stage", lambda df, name, *a: staged.append((name, df.columns)) or stage(df, name, *a))
+    found = jaccard.similar_components(docs, 1, 50, 100).collect()
+    rounds = [columns for name, columns in staged if name == "placed"]
+    assert len(rounds) >= 2 and all("hub_id" in columns for columns in rounds)
+    assert {r["doc_id"]: r["component_id"] for r in found} == components_of(sets_of(corpus, 1), 50, 100)
