@@ -16,6 +16,7 @@ keep_measures, a column of docs that is named like a measure or like failed_rule
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -145,12 +146,15 @@ def text_rules(text_col: str = "text") -> list[Rule]:
     return default_rules(measures(text, word_list(text), lines_of(text)) | {"n_words": n_words_of(text)})
 
 
-def rule_order(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> list[Rule]:
-    """The rules by falling rejection per cost, on about sample_rows rows; each is weighed by the texts that those before leave."""
+def rule_order(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS, seed: int = 7, measured: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> list[Rule]:
+    """The rules by falling rejection per cost, on about sample_rows rows; each is weighed by the texts that those before leave.
+
+    measured: adds the columns that the rules and text_col name. It gets the sample alone: Spark takes no sample below a projection.
+    """
     n = docs.count()
     if n == 0:
         return rules
-    sample = docs.sample(fraction=min(1.0, sample_rows / n), seed=seed)
+    sample = measured(docs.sample(fraction=min(1.0, sample_rows / n), seed=seed))
     bits = sum((F.when(F.coalesce(rule.fails, F.lit(False)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, rule in enumerate(rules)), F.lit(0).cast("long"))
     # At most a row for each text of the sample.
     found = sample.select(bits.alias("bits"), F.length(text_of(text_col)).alias("length")).groupBy("bits").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length")).collect()
@@ -197,10 +201,13 @@ def quality_filter(docs: DataFrame, text_col: str = "text", rules: list[Rule] |
         return docs.withColumn("failed_rule", cascade(rule_order(docs, text_rules(text_col) if rules is None else rules, text_col, sample_rows)))
     names = [c for c in docs.columns if c.lower() not in {*BASE, "failed_rule"}]
     text, words, lines = common.unused(docs, "own_text", "own_words", "own_lines")
-    split = docs.withColumn(text, text_of(text_col))
-    split = split.withColumns({words: word_list(F.col(text)), lines: lines_of(F.col(text))})
     every = measures(F.col(text), F.col(words), F.col(lines))
-    table = split.select(*names, text, *[every[name].alias(name) for name in BASE])
+
+    def measured(rows: DataFrame) -> DataFrame:
+        split = rows.withColumn(text, text_of(text_col))
+        split = split.withColumns({words: word_list(F.col(text)), lines: lines_of(F.col(text))})
+        return split.select(*names, text, *[every[name].alias(name) for name in BASE])
+
     rules = default_rules(every | {name: F.col(name) for name in BASE}, BASE)
-    ordered = rule_order(table, rules, text, sample_rows)
-    return table.withColumn("failed_rule", cascade(ordered)).drop(text)
+    ordered = rule_order(docs, rules, text, sample_rows, measured=measured)
+    return measured(docs).withColumn("failed_rule", cascade(ordered)).drop(text)

@@ -78,3 +78,13 @@ def test_odd_and_empty_tables(odd_docs, no_docs, clashing, keep):
     assert quality.quality_filter(no_docs, keep_measures=keep).count() == 0
     found = quality.quality_filter(clashing, keep_measures=keep)
     assert found.where(F.col("size") != F.concat(F.lit("size"), "doc_id")).count() == 0
+
+
+def test_rules_are_ordered_without_measuring_the_whole_table(docs, monkeypatch):
+    """The sample is drawn from the rows as they are, so that only its own texts are measured for the order."""
+    drawn, sample = [], type(docs).sample
+    monkeypatch.setattr(type(docs), "sample", lambda self, **how: drawn.append(self) or sample(self, **how))
+    quality.quality_filter(docs, keep_measures=True, sample_rows=50)
+    [table] = drawn
+    assert table.columns == docs.columns
+    assert "xxhash64" not in table._jdf.queryExecution().optimizedPlan().toString()
