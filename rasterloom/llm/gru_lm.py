@@ -12,6 +12,9 @@ of about PART_TOKENS tokens, in ROUNDS rounds: in each, the executors go on from
 and the weights and Adagrad sums that they reach are averaged. Texts are scored on the executors in lanes: windows of steps over many
 texts at once, the state carried from window to window to the end of each text.
 
+Texts are split into words twice: for the counts, and once more when all of them are encoded. Learning and scoring read the
+encoded texts. Arrow splits and looks up the words of many texts at once.
+
 Words beyond the head of the count table are not looked up from a broadcast: each text's tail words are joined with
 the count table by a shuffle.
 
@@ -27,10 +30,10 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,30 +65,56 @@ BLOCK, POUR = 2048, 65_536
 #: Words of a task that are scored together.
 CHUNK_WORDS = 3_000_000
 _BIGRAMS = 1 << 9
-_PARTIAL_WORDS = 300_000
-
-
-def tokens_of(lowered: bytes) -> list[bytes]:
-    """The words of a lower-cased text, then the end token."""
-    return [*lowered.split(), END]
+_GATES = np.arange(3)[:, None]
+#: Words of a task that are counted together, bytes of texts that are encoded together, bytes of a word that are added side by side.
+COUNTED_WORDS = 3_000_000
+ENCODED_BYTES = 8_000_000
+WORD_BYTES = 256
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of lower-cased texts (null: none), one text after the other, and how many each has."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words, ends = parts.flatten().cast(pa.binary()), parts.offsets.to_numpy()
+    filled = pc.greater(pc.binary_length(words), 0)  # white space at either end of a text leaves empty parts
+    before = np.r_[0, np.cumsum(filled.to_numpy(zero_copy_only=False))]
+    return words.filter(filled), np.diff(before[ends])
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ENCODED_BYTES."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= ENCODED_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def count_words(learn: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, c) of all tokens of a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        held, size, texts = [], 0, 0
 
         def table() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
+            found = pa.chunked_array(held, pa.binary()).value_counts()
+            return pa.RecordBatch.from_arrays(found.flatten(), ["word", "c"])
 
         for batch in batches:
-            for body in common.lowered(batch.column(0)):
-                counts.update(tokens_of(body))
-                if len(counts) > _PARTIAL_WORDS:
-                    yield table()
-                    counts.clear()
-        yield table()
+            words, _ = split_words(batch.column(0))
+            held.append(words)
+            size, texts = size + len(words), texts + len(batch)
+            if size >= COUNTED_WORDS:
+                yield table()
+                held, size = [], 0
+        if size:
+            yield table()
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([texts], pa.int64())], ["word", "c"])
 
     partial = common.in_arrow(learn.select(F.col(text_col).cast("string").alias("text")), run, "word binary, c long")
     return partial.groupBy("word").agg(F.sum("c").alias("c"))
@@ -105,11 +134,26 @@ class Speller:
         pairs = ((data[:-1] * np.uint32(257) + data[1:]) * np.uint32(0x9E3779B1)) >> np.uint32(23)
         return pairs, np.r_[0, np.cumsum(lengths + 1)[:-1]]
 
+    def sums(self, pairs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Of each word, the weights of its bigrams added up: those of all words side by side, the longest words first."""
+        sizes = np.diff(np.r_[starts, len(pairs)])
+        order = np.argsort(-sizes, kind="stable")
+        first, sizes = starts[order], sizes[order]
+        found = np.zeros((len(starts), RARE_CLASSES), np.int32)  # WORD_BYTES weights fit
+        longer = np.searchsorted(-sizes, -np.arange(min(sizes[0], WORD_BYTES)))
+        for k, n in enumerate(longer):
+            found[:n] += self.weights.take(pairs[first[:n] + k], axis=0)
+        spread = np.empty(found.shape, np.int64)
+        spread[order] = found
+        for i in np.flatnonzero(sizes > WORD_BYTES):
+            spread[order[i]] += self.weights[pairs[first[i] + WORD_BYTES : first[i] + sizes[i]]].sum(axis=0)
+        return spread + self.prior
+
     def classes(self, words: list[bytes]) -> np.ndarray:
         found = []
         for at in range(0, len(words), 20_000):
             pairs, starts = self.slots(words[at : at + 20_000])
-            found.append((np.add.reduceat(self.weights[pairs], starts, axis=0) + self.prior).argmax(axis=1))
+            found.append(self.sums(pairs, starts).argmax(axis=1))
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
     def expected(self, words: list[bytes]) -> np.ndarray:
@@ -117,7 +161,7 @@ class Speller:
         total = np.zeros((RARE_CLASSES, _BIGRAMS + 1), np.int64)
         for at in range(0, len(words), 20_000):
             pairs, starts = self.slots(words[at : at + 20_000])
-            scores = (np.add.reduceat(self.weights[pairs], starts, axis=0) + self.prior) / 1000
+            scores = self.sums(pairs, starts) / 1000
             share = np.exp(scores - scores.max(axis=1, keepdims=True))
             share = np.rint(share / share.sum(axis=1, keepdims=True) * 1000).astype(np.int64)
             owner = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(pairs)]))
@@ -175,20 +219,28 @@ class Lexicon:
     rare_mass: np.ndarray = field(default_factory=lambda: np.zeros(RARE_CLASSES))  # tokens of each rare class
     rare_norm: np.ndarray = field(default_factory=lambda: np.zeros(RARE_CLASSES))  # log10 of its smoothed mass
 
-    def encode(self, lowered: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """(codes, place in the head or -1, tail words in order) of a text's tokens."""
-        words = tokens_of(lowered)
-        places = np.fromiter(map(self.head.get, words, repeat(-1)), np.int64, len(words))
-        codes = self.codes[places] if len(self.codes) else np.zeros(len(words), np.int32)
+    def encode(self, texts: pa.Array, head: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+        """Of texts, with the words of the head as an array: how many tokens each has, the code of each token, its place in
+        the head or -1, and the distinct tail words of each text as (text, place in the words, times, words)."""
+        words, sizes = split_words(texts)
+        sizes = sizes + 1
+        ends = np.cumsum(sizes) - 1
+        inside = np.ones(len(words) + len(sizes), bool)
+        inside[ends] = False
+        places = np.full(len(inside), self.head.get(END, -1), np.int64)
+        places[inside] = pc.index_in(words, value_set=head).fill_null(-1).to_numpy()
+        codes = self.codes[places] if len(self.codes) else np.zeros(len(places), np.int32)
         missing = np.flatnonzero(places < 0)
-        tail = [words[i] for i in missing]
-        if tail:
-            ends = [i for i, w in enumerate(tail) if w == END]  # only without any learning text
-            found = self.speller.classes(tail)
-            found[ends] = 0
-            codes = codes.copy()
-            codes[missing] = VOCABULARY + found
-        return codes, places, tail
+        owner = np.searchsorted(ends, missing)
+        at = np.where(inside[missing], missing - owner, len(words))  # ends are in the tail only if they are not in the head
+        tail = pa.concat_arrays([words, pa.array([END], pa.binary())]).take(pa.array(at)).dictionary_encode()
+        kinds, own = tail.dictionary, tail.indices.to_numpy().astype(np.int64)
+        listed = kinds.to_pylist()
+        classes = self.speller.classes(listed)
+        classes[[i for i, w in enumerate(listed) if w == END]] = 0
+        codes[missing] = VOCABULARY + classes[own]
+        met, times = np.unique(owner * max(1, len(kinds)) + own, return_counts=True)
+        return sizes, codes, places, (met // max(1, len(kinds)), met % max(1, len(kinds)), times, kinds)
 
 
 def build_lexicon(counts: DataFrame) -> Lexicon:
@@ -251,11 +303,24 @@ def _gates(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _slope(signed: np.ndarray) -> np.ndarray:
+    """(1 - |signed|) ** 2"""
+    found = np.abs(signed)
+    np.subtract(1, found, out=found)
+    found *= found
+    return found
+
+
 def _weights(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unnormalised probabilities, in place, and their sums; logits beyond LOGITS count as LOGITS."""
     np.clip(logits, -LOGITS, LOGITS, out=logits)
     np.exp(logits, out=logits)
-    return logits, logits.sum(axis=1)
+    return logits, logits @ np.ones(logits.shape[1], logits.dtype)
+
+
+def _cells(rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A flat view of a contiguous array, and in it the places of one column of each row."""
+    return rows.reshape(-1), np.arange(0, rows.size, rows.shape[1]) + columns
 
 
 @dataclass
@@ -286,14 +351,14 @@ class Gru:
         )
 
     def parts(self, h: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(update, reset, what the loop adds to the candidate, candidate) of a step."""
-        g = self.inputs.take(code, axis=0)
-        a = h @ self.loop
-        gates = _gates(g[:, : 2 * UNITS] + a[:, : 2 * UNITS])
-        update, reset, added = gates[:, :UNITS], gates[:, UNITS:], a[:, 2 * UNITS :]
-        candidate = reset * added
-        candidate += g[:, 2 * UNITS :]
-        return update, reset, added, _sign(candidate)
+        """(update, reset, what the loop adds to the candidate, candidate) of a step, each contiguous."""
+        g = self.inputs.reshape(-1, UNITS).take(code * np.intp(3) + _GATES, axis=0)
+        a = np.matmul(h, self.loop.reshape(UNITS, 3, UNITS).transpose(1, 0, 2))
+        g[:2] += a[:2]
+        update, reset = _gates(g[:2])
+        candidate = reset * a[2]
+        candidate += g[2]
+        return update, reset, a[2], _sign(candidate)
 
     def step(self, h: np.ndarray, code: np.ndarray) -> np.ndarray:
         update, _, _, candidate = self.parts(h, code)
@@ -302,6 +367,17 @@ class Gru:
         h += candidate
         return h
 
+    def word_logits(self, h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+        """Logits of the words of each row's class, the classes met, and the rows of each; rows are in the order of classes."""
+        cuts = np.searchsorted(own, np.arange(CLASSES + 1))
+        met = np.flatnonzero(np.diff(cuts))
+        runs = [(k, slice(cuts[k], cuts[k + 1])) for k in met.tolist()]
+        logits = np.empty((len(own), CLASS_WORDS), h.dtype)
+        for k, rows in runs:
+            np.matmul(h[rows], self.to_word[k], out=logits[rows])
+            logits[rows] += self.word_bias[k]
+        return logits, met, runs
+
     def log_probs(self, h: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Natural log of P(class), times P(word | class) for frequent words, for each row of states."""
         own = np.where(code < VOCABULARY, code // CLASS_WORDS, CLASSES + code - VOCABULARY)
@@ -313,15 +389,14 @@ class Gru:
             logits = h[rows] @ self.to_class
             logits += self.class_bias
             weights, sums = _weights(logits)
-            ratio[rows] = weights[np.arange(len(sums)), own[rows]] / sums
-        cuts = np.searchsorted(own, np.arange(CLASSES + 1))
-        for k in np.flatnonzero(np.diff(cuts)):
-            for at in range(cuts[k], cuts[k + 1], BLOCK):
-                rows = slice(at, min(at + BLOCK, cuts[k + 1]))
-                logits = h[rows] @ self.to_word[k]
-                logits += self.word_bias[k]
-                weights, sums = _weights(logits)
-                ratio[rows] *= weights[np.arange(len(sums)), code[rows] % CLASS_WORDS] / sums
+            cells, places = _cells(weights, own[rows])
+            ratio[rows] = cells[places] / sums
+        frequent = np.searchsorted(own, CLASSES)
+        for at in range(0, frequent, BLOCK):
+            rows = slice(at, min(at + BLOCK, frequent))
+            weights, sums = _weights(self.word_logits(h[rows], own[rows])[0])
+            cells, places = _cells(weights, code[rows] % CLASS_WORDS)
+            ratio[rows] *= cells[places] / sums
         found = np.empty(len(own))
         found[order] = np.log(np.maximum(ratio, np.float32(1e-38)))
         return found
@@ -388,75 +463,98 @@ def window_gradients(model: Gru, h: np.ndarray, codes: np.ndarray, fresh: np.nda
 
     Gradients of to_word and word_bias are (classes met, gradients of these).
     """
-    lanes = codes.shape[1]
-    kept, states = [], []
-    for code, first in zip(codes, fresh, strict=True):
+    steps, lanes = codes.shape
+    kind = model.loop.dtype
+    kept, states = [], np.empty((steps, lanes, UNITS), kind)
+    for t, (code, first) in enumerate(zip(codes, fresh, strict=True)):
         if first.any():
             h = h * ~first[:, None]
-        states.append(h)
+        states[t] = h
         update, reset, added, candidate = model.parts(h, code)
         kept.append((h, added, update, reset, candidate, first))
-        h = candidate + update * (h - candidate)
+        h = h - candidate
+        h *= update
+        h += candidate
+    states = states.reshape(-1, UNITS)
     # The output layer, with the tokens in the order of their classes.
     code = codes.ravel()
     own = np.where(code < VOCABULARY, code // CLASS_WORDS, CLASSES + code - VOCABULARY).astype(np.uint8)
     order = np.argsort(own, kind="stable")
-    code, own, state = code[order], own[order], np.concatenate(states).take(order, axis=0)
-    kind = model.loop.dtype
+    code, own, state = code[order], own[order], states.take(order, axis=0)
     share = kind.type(1 / lanes)
     back = np.empty_like(state)
     on_class, on_class_bias = np.zeros_like(model.to_class), np.zeros_like(model.class_bias)
+    ones = np.ones(len(own), kind)
     for at in range(0, len(own), BLOCK):
         rows = slice(at, at + BLOCK)
         p = state[rows] @ model.to_class
         p += model.class_bias
         p, sums = _weights(p)
         p *= (share / sums)[:, None]
-        p[np.arange(len(p)), own[rows]] -= share
+        cells, places = _cells(p, own[rows])
+        cells[places] -= share
         np.matmul(p, model.to_class.T, out=back[rows])
         on_class += state[rows].T @ p
-        on_class_bias += p.sum(axis=0)
+        on_class_bias += ones[: len(p)] @ p
     gradients = {"to_class": on_class, "class_bias": on_class_bias}
-    cuts = np.searchsorted(own, np.arange(CLASSES + 1))
-    met = np.flatnonzero(np.diff(cuts))
-    on_word, on_bias = np.empty((len(met), UNITS, CLASS_WORDS), kind), np.empty((len(met), CLASS_WORDS), kind)
-    for i, k in enumerate(met):
-        at = slice(cuts[k], cuts[k + 1])
-        q = state[at] @ model.to_word[k]
-        q += model.word_bias[k]
-        q, sums = _weights(q)
-        q *= (share / sums)[:, None]
-        q[np.arange(len(q)), code[at] % CLASS_WORDS] -= share
-        back[at] += q @ model.to_word[k].T
-        np.matmul(state[at].T, q, out=on_word[i])
-        q.sum(axis=0, out=on_bias[i])
+    # Words within classes: products by class, all else over all rows at once.
+    frequent = np.searchsorted(own, CLASSES)
+    q, met, runs = model.word_logits(state[:frequent], own[:frequent])
+    q, sums = _weights(q)
+    q *= (share / sums)[:, None]
+    cells, places = _cells(q, code[:frequent] % CLASS_WORDS)
+    cells[places] -= share
+    on_word, on_bias, more = np.empty((len(met), UNITS, CLASS_WORDS), kind), np.empty((len(met), CLASS_WORDS), kind), np.empty((frequent, UNITS), kind)
+    for i, (k, rows) in enumerate(runs):
+        own_q = q[rows]
+        np.matmul(own_q, model.to_word[k].T, out=more[rows])
+        np.matmul(state[rows].T, own_q, out=on_word[i])
+        np.matmul(ones[: len(own_q)], own_q, out=on_bias[i])
+    back[:frequent] += more
     gradients |= {"to_word": (met, on_word), "word_bias": (met, on_bias)}
     spread = np.empty_like(back)
     spread[order] = back
-    back = spread.reshape(len(codes), lanes, UNITS)
-    # Back through the steps.
+    back = spread.reshape(steps, lanes, UNITS)
+    # Back through the steps. Of each token: what reaches the candidate, the gates, and what the loop adds to the candidate.
     through = np.zeros((lanes, UNITS), kind)
-    on_gates, on_loop = np.empty((len(codes), lanes, 3 * UNITS), kind), np.zeros_like(model.loop)
-    for t in range(len(codes) - 1, -1, -1):
-        before, a, update, reset, candidate, first = kept[t]
-        d = on_gates[t]
+    reached = np.empty((4, steps, lanes, UNITS), kind)
+    loops = model.loop.reshape(UNITS, 3, UNITS).transpose(1, 2, 0)
+    for t in range(steps - 1, -1, -1):
+        before, added, update, reset, candidate, first = kept[t]
+        on_candidate, on_update, on_reset, on_added = reached[:, t]
         kept_share = 1 - update
-        d[:, 2 * UNITS :] = through * kept_share * (1 - np.abs(candidate)) ** 2
+        slope = _slope(candidate)
+        slope *= kept_share
+        np.multiply(through, slope, out=on_candidate)
         # The slope of a gate 0.5 + 0.5 s is 0.5 (1 - |s|) ** 2, which is 2 min(gate, 1 - gate) ** 2.
-        d[:, :UNITS] = through * (before - candidate) * 2 * np.minimum(update, kept_share) ** 2
-        d[:, UNITS : 2 * UNITS] = d[:, 2 * UNITS :] * a * 2 * np.minimum(reset, 1 - reset) ** 2
-        d_loop = d.copy()
-        d_loop[:, 2 * UNITS :] *= reset
-        on_loop += before.T @ d_loop
-        through = through * update + d_loop @ model.loop.T + back[t]
+        np.minimum(update, kept_share, out=kept_share)
+        kept_share *= kept_share
+        kept_share *= 2
+        np.subtract(before, candidate, out=on_update)
+        on_update *= kept_share
+        on_update *= through
+        np.subtract(1, reset, out=slope)
+        np.minimum(reset, slope, out=slope)
+        slope *= slope
+        slope *= 2
+        slope *= added
+        np.multiply(on_candidate, slope, out=on_reset)
+        np.multiply(on_candidate, reset, out=on_added)
+        by_loop = np.matmul(reached[1:, t], loops)
+        through *= update
+        through += back[t]
+        for x in by_loop:
+            through += x
         if first.any():
             through *= ~first[:, None]
-    gradients["loop"] = on_loop
+    reached = reached.reshape(4, -1, UNITS)
+    gradients["loop"] = np.matmul(states.T, reached[1:]).transpose(1, 0, 2).reshape(UNITS, 3 * UNITS)
     flat = codes.ravel()
     by_word = np.argsort(flat.astype(np.uint16), kind="stable")
     in_order = flat[by_word]
     begins = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]])
-    summed = run_sums(on_gates.reshape(len(flat), -1).take(by_word, axis=0), begins)
+    gates = by_word[:, None] + np.array([1, 2, 0]) * len(flat)  # rows of update, reset and candidate side by side
+    summed = run_sums(reached.reshape(-1, UNITS).take(gates, axis=0).reshape(len(flat), -1), begins)
     return h, gradients, (in_order[begins], summed)
 
 
@@ -537,19 +635,49 @@ def score_texts(model: Gru, texts: list[np.ndarray], lanes: int = LANES) -> np.n
     return found
 
 
-def encoded(learn: DataFrame, lexicon: Lexicon, bar: int, parts: int, id_col: str, text_col: str) -> DataFrame:
-    """(part, codes) of each learning text, dealt by a hash of id and text: part -1 below the bar, of 1 << 32, else 0 to parts - 1."""
+def dealing(lexicon: Lexicon, train_tokens: int) -> tuple[int, int]:
+    """The bar, of 1 << 32, below which the driver takes a text, and the number of parts of a round."""
+    return int(min(1.0, train_tokens / max(lexicon.total, 1)) * (1 << 32)), max(1, -(-max(0, lexicon.total - train_tokens) // (ROUNDS * PART_TOKENS)))
+
+
+def encoded(docs: DataFrame, held_out: Column, lexicon: Lexicon, train_tokens: int, id_col: str, text_col: str) -> DataFrame:
+    """Of each row of docs: row, doc_id, held_out; part, by a hash of id and text (-1: the driver's, else 0 and on; null: not
+    to be learned from); codes; its distinct tail words, joined by spaces, and how often each occurs; what the head of the
+    counts says of it."""
+    bar, parts = dealing(lexicon, train_tokens)
     text = F.col(text_col).cast("string")
     place = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), text), 32)
-    part = F.when(place < bar, F.lit(-1)).otherwise(F.floor((place - bar) * F.lit(parts) / F.lit(float(max(1, (1 << 32) - bar))))).cast("int")
-    shared = learn.sparkSession.sparkContext.broadcast(lexicon)
+    part = F.when(place < bar, F.lit(-1)).otherwise(F.floor((place - bar) * F.lit(ROUNDS * parts) / F.lit(float(max(1, (1 << 32) - bar))))).cast("int")
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # of a bounded size
+    log_all = float(np.log10(lexicon.total + 0.5 * (lexicon.distinct + 1)))
+    schema = "row long, doc_id long, held_out boolean, part int, codes binary, tail binary, times binary, n_known long, base double, score double"
+    names = [f.split()[0] for f in schema.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = [shared.value.encode(b)[0].astype(np.uint16).tobytes() for b in common.lowered(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], ["part", "codes"])
+    def joined(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """The bytes of so many entries in a row."""
+        ends = np.r_[0, np.cumsum(sizes * data.itemsize)].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
 
-    return common.in_arrow(learn.select(part.alias("part"), text.alias("text")), run, "part int, codes binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = shared.value
+        head = pa.array(list(lexicon.head), pa.binary())
+        logs, norm = np.r_[np.log10(lexicon.counts + 0.5), 0.0], lexicon.rare_norm  # a place of -1 finds 0
+        for batch in gathered(batches):
+            sizes, codes, places, (owner, word, times, kinds) = lexicon.encode(batch.column(4), head)
+            starts = np.r_[0, np.cumsum(sizes)[:-1]]
+            own = logs[places]
+            rare = np.flatnonzero(codes >= VOCABULARY)
+            of_rare = np.zeros(len(codes))
+            of_rare[rare] = own[rare] - norm[codes[rare] - VOCABULARY]
+            tails = np.bincount(owner, minlength=len(batch))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(tails)].astype(np.int32)), kinds.take(pa.array(word)))
+            found = [joined(codes.astype(np.uint16), sizes), pc.binary_join(lists, b" "), joined(times.astype(np.int32), tails)]
+            sums = [pa.array(np.add.reduceat(x, starts)) for x in ((places >= 0).astype(np.int64), own, of_rare)]
+            sums[1] = pc.subtract(sums[1], pa.array(sizes * log_all))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), *found, *sums], names)
+
+    chosen = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.when(~held_out, part).alias("part"), text.alias("text"))
+    return common.in_arrow(chosen, run, schema)
 
 
 def learn_round(coded: DataFrame, model: Gru, squares: dict[str, np.ndarray], first: int, parts: int) -> tuple[Gru, dict[str, np.ndarray], int]:
@@ -591,7 +719,7 @@ def learn_round(coded: DataFrame, model: Gru, squares: dict[str, np.ndarray], fi
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([tokens[k] for k in sums], pa.int64()), pa.array(found, pa.binary())], ["piece", "n", "vector"])
 
     schema = "piece int, n long, vector binary"
-    own = coded.where((F.col("part") >= first) & (F.col("part") < first + parts))
+    own = coded.where((F.col("part") >= first) & (F.col("part") < first + parts)).select("part", "codes")
     dealt = own.repartitionById(parts, F.col("part") - F.lit(first)).sortWithinPartitions("part", "codes")
     rows = common.in_arrow(common.in_arrow(dealt, learned, schema).repartition("piece"), summed, schema).collect()
     shared.unpersist()
@@ -603,18 +731,30 @@ def learn_round(coded: DataFrame, model: Gru, squares: dict[str, np.ndarray], fi
 
 def fit(learn: DataFrame, lexicon: Lexicon, train_tokens: int = TRAIN_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> tuple[Gru, int]:
     """The model of all learning texts, and the number of tokens that it learned from, which is that of all."""
-    bar = int(min(1.0, train_tokens / max(lexicon.total, 1)) * (1 << 32))
-    parts = max(1, -(-max(0, lexicon.total - train_tokens) // (ROUNDS * PART_TOKENS)))
-    coded = encoded(learn, lexicon, bar, ROUNDS * parts, id_col, text_col).persist(StorageLevel.DISK_ONLY)  # read in every round
-    begun = [np.frombuffer(x, np.uint16) for x in sorted(bytes(r[0]) for r in coded.where("part < 0").select("codes").collect())]
+    coded = kept_on_disk(encoded(learn, F.lit(False), lexicon, train_tokens, id_col, text_col))
+    found = fit_encoded(coded, lexicon, train_tokens)
+    coded.unpersist()
+    return found
+
+
+def kept_on_disk(coded: DataFrame) -> DataFrame:
+    """On the executors' disks, as every round and the scoring read it."""
+    with common.small_batches(coded.sparkSession):
+        return coded.persist(StorageLevel.DISK_ONLY)
+
+
+def fit_encoded(coded: DataFrame, lexicon: Lexicon, train_tokens: int) -> tuple[Gru, int]:
+    """The model of the rows of an encoded table that have a part, and the number of its tokens."""
+    with common.small_batches(coded.sparkSession):
+        begun = [np.frombuffer(x, np.uint16) for x in sorted(bytes(r[0]) for r in coded.where("part < 0").select("codes").collect())]
     model = Gru.start(lexicon)
     squares = start_sums(model)
     learn_texts(model, squares, begun, TRAIN_LANES)
     learned = sum(map(len, begun))
+    _, parts = dealing(lexicon, train_tokens)
     for k in range(ROUNDS if learned < lexicon.total else 0):
         model, squares, n = learn_round(coded, model, squares, k * parts, parts)
         learned += n
-    coded.unpersist()
     return model, learned
 
 
@@ -625,11 +765,12 @@ def score_table(docs: DataFrame, held_out: Column, train_tokens: int = TRAIN_TOK
     """
     spark = docs.sparkSession
     with common.Staging(spark) as own:
-        learn = docs.where(~held_out)
-        counts = common.stage(count_words(learn, text_col), "counts")
+        counts = common.stage(count_words(docs.where(~held_out), text_col), "counts")
         lexicon = build_lexicon(counts)
-        model, _ = fit(learn, lexicon, train_tokens, id_col, text_col)
-        rows = common.stage(scored(docs, held_out, lexicon, model, id_col, text_col), "scored")  # a lost executor repeats no scoring
+        coded = kept_on_disk(encoded(docs, held_out, lexicon, train_tokens, id_col, text_col))
+        model, _ = fit_encoded(coded, lexicon, train_tokens)
+        rows = common.stage(scored(coded, model), "scored")  # a lost executor repeats no scoring
+        coded.unpersist()
         joined = rows.join(counts.where(F.col("c") < lexicon.least), "word", "left")
         tail_log = F.when(F.col("times") > 0, F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).otherwise(F.lit(0.0))
         summed = joined.groupBy("row").agg(
@@ -644,50 +785,45 @@ def score_table(docs: DataFrame, held_out: Column, train_tokens: int = TRAIN_TOK
         return own.keep(common.stage(found, "scores"))
 
 
-def scored(docs: DataFrame, held_out: Column, lexicon: Lexicon, model: Gru, id_col: str, text_col: str) -> DataFrame:
-    """Of each row of docs what the head of the counts and the network say of it, and a row (row, word, times) for each of
-    its words beyond the head."""
-    shared = docs.sparkSession.sparkContext.broadcast((lexicon, model))  # of bounded size
+def scored(coded: DataFrame, model: Gru) -> DataFrame:
+    """Of each row of an encoded table what the head of the counts and the network say of it, and a row (row, word, times) for
+    each of its words beyond the head."""
+    shared = coded.sparkSession.sparkContext.broadcast(model)  # of a fixed size
     schema = "row long, doc_id long, held_out boolean, word binary, times long, n_tokens long, n_known long, base double, score double"
     kinds, names = common.arrow_types(schema), [f.split()[0] for f in schema.split(", ")]
-    log_all = float(np.log10(lexicon.total + 0.5 * (lexicon.distinct + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, model = shared.value
-        head_logs = np.log10(lexicon.counts + 0.5)
-        of_text: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         texts: list[np.ndarray] = []
-        tails: list[tuple[int, bytes, int]] = []
-        held = 0
-
-        def pour() -> Iterator[pa.RecordBatch]:
-            nonlocal of_text, texts, tails, held
-            if of_text:
-                logs = score_texts(model, texts) / np.log(10)
-                row, ids, out, n, known, base, score = zip(*of_text, strict=True)
-                # A key with a space in it is no word: it finds no count, and spreads these rows over the tasks.
-                keys = [b" " + struct.pack(">q", r) for r in row]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((row, ids, out, keys, [0] * len(row), n, known, base, logs + np.array(score)), kinds, strict=True)], names)
-            if tails:
-                row, words, times = zip(*tails, strict=True)
-                none = pa.nulls(len(row))
-                yield pa.RecordBatch.from_arrays([pa.array(row, kinds[0]), none.cast(kinds[1]), none.cast(kinds[2]), pa.array(words, kinds[3]), pa.array(times, kinds[4]), *[none.cast(k) for k in kinds[5:]]], names)
-            of_text, texts, tails, held = [], [], [], 0
+        size = 0
+
+        def of_texts() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            logs = score_texts(shared.value, texts) / np.log(10)
+            # A key with a space in it is no word: it finds no count, and spreads these rows over the tasks.
+            keys = [b" " + struct.pack(">q", r) for r in rows["row"].to_pylist()]
+            sizes = [len(t) for t in texts]
+            found = [rows["row"], rows["doc_id"], rows["held_out"], pa.array(keys, kinds[3]), pa.array([0] * len(keys), kinds[4]), pa.array(sizes, kinds[5]), rows["n_known"], rows["base"], pc.add(rows["score"], pa.array(logs))]
+            return pa.Table.from_arrays(found, names).combine_chunks().to_batches()[0]
+
+        def of_tails(batch: pa.RecordBatch) -> pa.RecordBatch:
+            times = [np.frombuffer(x, np.int32) for x in batch.column("times").to_pylist()]
+            met = pa.array([len(x) > 0 for x in times])
+            words = pc.split_pattern(batch.column("tail").filter(met), " ").flatten().cast(kinds[3])
+            row = np.repeat(batch.column("row").to_numpy(), [len(x) for x in times])
+            none = [pa.nulls(len(row), k) for k in kinds]
+            return pa.RecordBatch.from_arrays([pa.array(row), *none[1:3], words, pa.array(np.concatenate(times).astype(np.int64)), *none[5:]], names)
 
         for batch in batches:
-            for row, doc_id, out, body in zip(*(batch.column(k).to_pylist() for k in range(3)), common.lowered(batch.column(3)), strict=True):
-                codes, places, tail = lexicon.encode(body)
-                in_head = places[places >= 0]
-                rare = in_head[lexicon.codes[in_head] >= VOCABULARY] if len(lexicon.codes) else in_head
-                base = head_logs[in_head].sum() - len(codes) * log_all
-                score = head_logs[rare].sum() - lexicon.rare_norm[codes[codes >= VOCABULARY] - VOCABULARY].sum()
-                texts.append(codes)
-                of_text.append((row, doc_id, out, len(codes), len(in_head), float(base), float(score)))
-                tails += [(row, w, k) for w, k in Counter(tail).items()]
-                held += len(codes)
-                if held >= CHUNK_WORDS:
-                    yield from pour()
-        yield from pour()
-
-    chosen = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return common.in_arrow(chosen, run, schema)
+            held.append(batch.select(["row", "doc_id", "held_out", "n_known", "base", "score"]))
+            found = [np.frombuffer(x, np.uint16) for x in batch.column("codes").to_pylist()]
+            texts += found
+            size += sum(map(len, found))
+            yield of_tails(batch)
+            if size >= CHUNK_WORDS:
+                yield of_texts()
+                held, texts, size = [], [], 0
+        if texts:
+            yield of_texts()
+
+    return common.in_arrow(coded.drop("part"), run, schema)

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -405,3 +406,34 @@ def test_the_network_learns_from_all_texts(spark, monkeypatch):
     assert np.allclose(gru_lm.fit(docs, lexicon, 5000)[0].loop, again.loop, atol=1e-5)
     found = gru_lm.score_table(docs, F.lit(False), train_tokens=1).collect()
     assert sum(r["score"] for r in found) > 0.8 * sum(r["base_score"] for r in found)
+
+
+def test_texts_are_split_twice(spark):
+    """Once for the counts and once to encode them; the rounds of learning and the scoring read what was encoded."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    rows = [(i, f"some words of text {i % 7} and w{i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, raw string").select("doc_id", seen.asNondeterministic()("raw").alias("text"))
+    assert gru_lm.score_table(docs, F.lit(False), train_tokens=300).count() == 200
+    assert read.value == 2 * 200
+
+
+def test_words_of_many_texts_at_once():
+    """Arrow splits where bytes.split() does; a text without words, and one that is missing, has none."""
+    texts = ["", None, " \t\n", "  One\x0btwo\x0cTHREE  ", "\x1cfour\x1c \xa0five \u2003", "É é", "x" * 5000]
+    words, sizes = gru_lm.split_words(pa.array(texts))
+    want = [(t or "").encode().lower().split() for t in texts]
+    assert words.to_pylist() == [w for ws in want for w in ws]
+    assert sizes.tolist() == [len(ws) for ws in want]
+
+
+def test_long_words_have_classes_too():
+    words = [b"a", b"abcab" * 40, b"ab" * 3000, b"xyz" * 90, b"x"]
+    speller = gru_lm.Speller.learn([b"ab%d" % k for k in range(50)] + [b"xyz%d" % k for k in range(50)], rounds=3)
+    pairs, starts = speller.slots(words)
+    assert (speller.sums(pairs, starts) == np.add.reduceat(speller.weights[pairs], starts, axis=0) + speller.prior).all()
